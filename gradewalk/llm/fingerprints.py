@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gradewalk.llm.common import cut
 
-LEVELS, SUBSETS = 5, 4
+LEVELS, SUBSETS = 3, 16
 
 
 def terms(text: Column) -> Column:
@@ -50,8 +50,8 @@ def with_fingerprint(df: DataFrame, text: str, shelves: Column, into: str, most_
     out = out.withColumn("_0", F.sort_array(F.filter(terms(F.col(text)), lambda t: F.array_contains(F.get("_shelves", F.pmod(t, F.lit(most_terms)).cast("int")), t)))).drop("_shelves")
     for k in range(1, LEVELS):
         out = out.withColumn(f"_{k}", F.filter(f"_{k - 1}", _bits(2 * k, 3, 0)))
-    hashed = lambda xs: F.when(F.size(xs) == 0, F.lit("-")).otherwise(F.substring(F.lpad(F.hex(F.xxhash64(xs)), 16, "0"), 1, 12))
-    subsets = [F.filter(f"_{k}", _bits(20 + 8 * k, SUBSETS - 1, j)) for k in range(LEVELS) for j in range(SUBSETS)]
+    hashed = lambda xs: F.when(F.size(xs) == 0, F.lit("-")).otherwise(F.substring(F.lpad(F.hex(F.xxhash64(xs)), 16, "0"), 1, 8))
+    subsets = [F.filter(f"_{k}", _bits(16 + 8 * k, SUBSETS - 1, j)) for k in range(LEVELS) for j in range(SUBSETS)]
     out = out.withColumn("_s", F.array(F.col("_0"), *subsets))
     return out.withColumn(into, F.transform("_s", hashed)).drop("_s", *(f"_{k}" for k in range(LEVELS)))
 
