@@ -28,34 +28,32 @@ class KneserNey:
 
     words: np.ndarray
     word_ratio: np.ndarray
-    histories: np.ndarray
-    backoff_ratio: np.ndarray
     pairs: np.ndarray
     pair_ratio: np.ndarray
 
     def features(self, w: Words) -> np.ndarray:
-        """Per text: mean log ratio of its words, and the sum over the root of their number."""
+        """Per text: mean log ratio of its words, and the sum over the root of their number, both clipped."""
         h = w.hash()
         at, known = place(self.words, h)
         ratio = np.where(known, self.word_ratio[at], 0.0) if len(self.words) else np.zeros(len(h))
-        if len(h) > 1 and len(self.histories):
-            follows = w.doc[1:] == w.doc[:-1]
-            at, known = place(self.histories, h[:-1])
-            ratio[1:] += np.where(known & follows, self.backoff_ratio[at], 0.0)
-            rows = np.flatnonzero(known & follows)
+        if len(h) > 1 and len(self.pairs):
+            rows = np.flatnonzero(w.doc[1:] == w.doc[:-1])
             at, known = place(self.pairs, pair_hash(h[rows], h[rows + 1]))
             ratio[rows[known] + 1] = self.pair_ratio[at[known]]
         n = np.bincount(w.doc, minlength=w.n_docs)
         total = np.bincount(w.doc, ratio, minlength=w.n_docs)
-        return np.stack([total / np.maximum(n, 1), total / np.sqrt(np.maximum(n, 1))], axis=1)
+        n = np.maximum(n, 1)
+        return np.stack([np.clip(total / n, -0.2, 0.5), np.clip(total / np.sqrt(n), -3, 6)], axis=1)
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(3) + b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_a_class: int) -> DataFrame:
-    """Texts with ``toxic`` (0 or 1): about ``most_a_class`` documents of each class at most, drawn by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_a_class: int) -> tuple[DataFrame, float]:
+    """Texts with ``toxic`` (0 or 1), drawn by a hash of the id: as many of each class, about ``most_a_class`` at most.
+
+    Equal samples keep continuation counts comparable, as these grow more slowly than the sample.
 
     A document with several labels is toxic if one of them says so; null labels and ids say nothing.
     """
@@ -63,9 +61,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_a_class: int) -> Da
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, int(1e6 * min(1, most_a_class / max(1, counts.get(1, 0))))).otherwise(int(1e6 * min(1, most_a_class / max(1, counts.get(0, 0)))))
-    # twice most_a_class small rows at about the most
-    return docs.select("doc_id", "text").join(F.broadcast(known.where(drawn < share)), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["text", "toxic"])
+    wanted = min(most_a_class, counts.get(0, 0), counts.get(1, 0))
+    share = F.when(F.col("toxic") == 1, int(1e6 * wanted / max(1, counts.get(1, 0)))).otherwise(int(1e6 * wanted / max(1, counts.get(0, 0))))
+    # twice most_a_class small rows at about the most; beside them the odds of class 1 among all labels
+    return docs.select("doc_id", "text").join(F.broadcast(known.where(drawn < share)), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["text", "toxic"]), (counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +89,11 @@ def _count_rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, toxic:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, a, b)), pa.array(zero if toxic else n), pa.array(n if toxic else zero)], ["kind", "key", "a", "b", "n0", "n1"])
 
 
-def fit_kneser_ney(sample: DataFrame, least: int = 3, evidence: float = 12.0) -> KneserNey:
+def fit_kneser_ney(sample: DataFrame, least: int = 3, evidence: float = 10.0, effect: float = 1.0) -> KneserNey:
     """The models from a bounded sample.
 
-    Expressions seen fewer than ``least`` times, or whose counts don't tell the classes apart (see
-    ``differs``), are left to the shared counts.  Word evidence rests on continuation counts, which
+    Expressions seen fewer than ``least`` times, whose counts don't tell the classes apart (see
+    ``differs``) or whose log ratio is under ``effect`` are left to the shared counts.  Word evidence rests on continuation counts, which
     copies of a text don't raise.
     """
     counts = sample.select("text", "toxic").mapInArrow(_counts, "kind int, key long, a long, b long, n0 long, n1 long")
@@ -102,10 +101,10 @@ def fit_kneser_ney(sample: DataFrame, least: int = 3, evidence: float = 12.0) ->
     pairs = counts.where("kind = 1").cache()
     # continuation counts: in how many different left contexts a word stands, by class
     ends = pairs.groupBy("b").agg(F.count_if(F.col("n0") > 0).alias("c0"), F.count_if(F.col("n1") > 0).alias("c1"))
-    starts = pairs.groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n0") > 0).alias("t0"), F.count_if(F.col("n1") > 0).alias("t1"))
+    starts = pairs.groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n0") + F.col("n1") > 0).alias("types"))
     n_ends = ends.agg(F.sum("c0"), F.sum("c1"), F.count_if(F.col("c0") > 0), F.count_if(F.col("c1") > 0)).first()
     e = _arrays(ends.where(F.col("c0") + F.col("c1") >= least))
-    s = _arrays(starts.where((F.col("n0") >= least) & (F.col("n1") >= least)))
+    s = _arrays(starts.where((F.col("n0") >= 50) & (F.col("n1") >= 50)))
     p = _arrays(pairs.where(F.col("n0") + F.col("n1") >= least).select("key", "a", "b", "n0", "n1"))
     pairs.unpersist()
     c, types = [max(1, x or 0) for x in n_ends[:2]], [max(1, x or 0) for x in n_ends[2:]]
@@ -114,25 +113,25 @@ def fit_kneser_ney(sample: DataFrame, least: int = 3, evidence: float = 12.0) ->
     hashes = e["b"].view(np.uint64)
     order = np.argsort(hashes)
     hashes, word = hashes[order], [x[order] for x in word]
-    telling = differs(e["c0"], e["c1"], c[0], c[1], evidence)[order] if len(hashes) else np.zeros(0, bool)
-    ratio = np.where(telling, np.log(word[1]) - np.log(word[0]), 0.0) if len(hashes) else np.zeros(0)
-    for k in (0, 1):  # an expression that doesn't tell the classes apart has the shared counts in both
-        word[k] = np.where(telling, word[k], shared[order])
-    gamma = [DISCOUNT * s[f"t{k}"] / np.maximum(s[f"n{k}"], 1) for k in (0, 1)]
+    ratio = np.log(word[1]) - np.log(word[0]) if len(hashes) else np.zeros(0)
+    telling = differs(e["c0"], e["c1"], *c, evidence)[order] & (np.abs(ratio) >= effect) if len(hashes) else np.zeros(0, bool)
+    ratio = np.where(telling, ratio, 0.0)
+    # an expression that doesn't tell the classes apart has the shared counts in both
+    word = [np.where(telling, x, shared[order]) for x in word] if len(hashes) else word
     history = s["a"].view(np.uint64)
     h_order = np.argsort(history)
-    history, gamma = history[h_order], [g[h_order] for g in gamma]
-    totals = [s[f"n{k}"][h_order] for k in (0, 1)]
-    backoff = np.log(gamma[1]) - np.log(gamma[0]) if len(history) else np.zeros(0)
-    at_h, ok_h = place(history, p["a"].view(np.uint64))
+    # what a history leaves to its backoff is shared by the classes as well
+    gamma = (DISCOUNT * s["types"] / np.maximum(s["n0"] + s["n1"], 1))[h_order]
+    at_h, ok_h = place(history[h_order], p["a"].view(np.uint64))
     at_w, ok_w = place(hashes, p["b"].view(np.uint64))
-    n_tokens = [max(1, int(x.sum())) for x in (p["n0"], p["n1"])]
+    n_tokens = [max(1, int(p[f"n{k}"].sum())) for k in (0, 1)]
     both = ok_h & ok_w & differs(p["n0"], p["n1"], *n_tokens, 2 * evidence) if len(p["a"]) else np.zeros(0, bool)
     at_h, at_w = at_h[both], at_w[both]
-    given = [(np.maximum(p[f"n{k}"][both] - DISCOUNT, 0) / np.maximum(totals[k][at_h], 1) + gamma[k][at_h] * word[k][at_w]) if both.any() else np.zeros(0) for k in (0, 1)]
-    key = p["key"][both].view(np.uint64)
+    given = [np.maximum(p[f"n{k}"][both] - DISCOUNT, 0) / np.maximum(s[f"n{k}"][h_order][at_h], 1) + gamma[at_h] * word[k][at_w] for k in (0, 1)] if both.any() else [np.ones(0)] * 2
+    key, pair_ratio = p["key"][both].view(np.uint64), np.log(given[1]) - np.log(given[0])
+    key, pair_ratio = key[np.abs(pair_ratio) >= effect], pair_ratio[np.abs(pair_ratio) >= effect]
     p_order = np.argsort(key)
-    return KneserNey(hashes, ratio, history, backoff, key[p_order], (np.log(given[1]) - np.log(given[0]))[p_order] if len(key) else np.zeros(0))
+    return KneserNey(hashes[telling], ratio[telling], key[p_order], pair_ratio[p_order])
 
 
 def differs(n0: np.ndarray, n1: np.ndarray, total0: float, total1: float, least: float) -> np.ndarray:
@@ -171,7 +170,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_a_class: int = 8_000
     of four of them count words, the fourth sets the curve.  Null and empty texts have no evidence and get
     the curve's value at zero.  Without labels of both classes all scores are 0.
     """
-    sample = labelled_sample(docs, labels, most_a_class)
+    sample, odds = labelled_sample(docs, labels, most_a_class)
     for_curve = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0
     model = fit_kneser_ney(sample.where(~for_curve), least)
     spark = docs.sparkSession
@@ -186,6 +185,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_a_class: int = 8_000
     seen = sample.where(for_curve).select("toxic", "text").mapInArrow(evidence, "toxic int, x0 double, x1 double").toPandas()
     y = seen["toxic"].to_numpy(float)
     curve = logistic_fit(seen[["x0", "x1"]].to_numpy(float), y) if 0 < y.sum() < len(y) else np.array([0.0, 0.0, -40.0])
+    curve[2] += np.log(odds)
     carry = carry or ["doc_id"]
     schema = docs.select(*carry).schema
     out_names = [*carry, "score"]
