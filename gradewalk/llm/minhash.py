@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewalk.llm.common import cut
+from gradewalk.llm.common import components, cut
 from gradewalk.llm.words import Words, find_words, mix, text_chunks
 
 SHINGLE, SLOTS, BANDS = 5, 128, 32
@@ -121,24 +121,6 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(likeness)], ["a", "b", "likeness"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that links reach, for every node of ``edges`` (a, b).
-
-    Every node takes its neighbours' smallest label, then its label's label, until nothing changes; the
-    label table is written to the shared folder each round.
-    """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, labels.node == near.a, "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        stepped = cut(lower.join(jump, "next", "left").select("node", F.coalesce("far", "next").alias("root"), (F.coalesce("far", "next") != F.col("root")).alias("changed")))
-        labels = stepped.select("node", "root")
-        if stepped.where("changed").limit(1).count() == 0:
-            return labels
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``component_id`` (smallest doc_id of its class) and ``kept`` (doc_id = component_id).
 
