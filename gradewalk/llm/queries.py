@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewalk.llm import fingerprints, langid, minhash, packing, pitman_yor, pivots, secrets, toxicity, urls
+from gradewalk.llm import fingerprints, langid, minhash, packing, pitman_yor, pivots, secrets, sentencepiece_bpe, toxicity, urls
 from gradewalk.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_fingerprints": op2_fingerprints,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,

@@ -155,3 +155,25 @@ def secret_report(docs: DataFrame) -> DataFrame:
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
     )
+
+
+def redact_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with each found span of ``text`` replaced by its kind in brackets, and ``n_chars`` counted anew.
+
+    Overlapping spans become one, named after the first.  Texts without a span stay as they are, null
+    texts stay null, and so do all other columns.
+    """
+    keyed = row_key(docs)
+    spans = find_secrets(docs).where(F.size("found") > 0).groupBy("key_id", "key_hash").agg(F.first("found").alias("_found"))
+
+    def step(done: Column, x: Column) -> Column:
+        fresh = x["start"] >= done["at"]
+        out = F.when(fresh, F.concat(done["out"], F.col("text").substr(done["at"] + 1, x["start"] - done["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(done["out"])
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), out.alias("out"))
+
+    made = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.col("text").substr(done["at"] + 1, F.length("text"))))
+    joined = keyed.join(spans, ["key_id", "key_hash"], "left")
+    joined = joined.withColumn("text", F.when(F.col("_found").isNotNull(), made).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return joined.select(*docs.columns)
