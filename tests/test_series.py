@@ -1,0 +1,88 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gradewalk.operators import breaks, series, smoothing
+
+
+def samples(spark, zs, ds=None):
+    ds = ds or [10.0 * i for i in range(len(zs))]
+    return spark.createDataFrame([(1, float(d), float(z), float(z)) for d, z in zip(ds, zs, strict=True)], "edge_id long, dist_m double, z_raw_m double, z_smooth_m double")
+
+
+def test_grade_and_gain(spark):
+    r = series.edge_grade_metrics(samples(spark, [0, 10], [0, 100])).first()
+    assert r["mean_grade"] == pytest.approx(0.10) and r["gain_m"] == 10 and r["loss_m"] == 0
+
+
+def test_reverse_flips_the_grade(spark):
+    r = series.edge_grade_metrics(series.reversed_samples(samples(spark, [0, 10], [0, 100]))).first()
+    assert r["mean_grade"] == pytest.approx(-0.10) and r["max_downhill_grade"] == pytest.approx(0.10)
+
+
+def test_rolling_grade(spark):
+    rows = series.with_grades(samples(spark, [0, 0, 2, 2])).orderBy("dist_m").collect()
+    assert [round(r["rolling_grade_20m"], 9) for r in rows] == [0, 0, 0.1, 0.1]
+    with pytest.raises(ValueError):
+        series.rolling_grade(0)
+
+
+def test_gain_and_loss(spark):
+    r = series.gain_loss(samples(spark, [0, 5, 3], [0, 50, 100])).first()
+    assert (r["gain_m"], r["loss_m"]) == (5, 2)
+
+
+def test_equal_distances_fail(spark):
+    with pytest.raises(Exception, match="rise strictly"):
+        series.checked_distances(samples(spark, [0, 1], [0, 0])).collect()
+
+
+def test_hampel_takes_the_spike_out(spark):
+    df = samples(spark, [10, 10.1, 10, 50, 10, 10.1, 10]).withColumn("h", smoothing.hampel("z_raw_m", "edge_id", "dist_m"))
+    assert [r["h"] for r in df.orderBy("dist_m").collect()][3] < 20
+
+
+def test_hampel_without_spread_flattens(spark):
+    df = samples(spark, [1, 1, 1, 2, 1, 1, 1]).withColumn("h", smoothing.hampel("z_raw_m", "edge_id", "dist_m"))
+    assert {r["h"] for r in df.collect()} == {1.0}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 12])
+def test_smoothing_keeps_a_ramp(spark, n):
+    rows = smoothing.smooth_profile(samples(spark, list(range(n)))).orderBy("dist_m").collect()
+    assert rows[-1]["z_smooth_m"] - rows[0]["z_smooth_m"] == pytest.approx(n - 1, abs=1.01 if n < 5 else 0.25)
+
+
+def test_savgol_matches_least_squares(spark):
+    import numpy as np
+
+    z = [0.0, 3.0, 1.0, 4.0, 2.0, 7.0, 5.0, 9.0, 6.0]
+    rows = smoothing.savgol(samples(spark, z), "z_raw_m", "edge_id", "dist_m", "s").orderBy("dist_m").collect()
+    for i in range(9):
+        begin = min(max(i - 3, 0), 2)
+        fit = np.polyfit(range(7), z[begin : begin + 7], 2)
+        assert rows[i]["s"] == pytest.approx(np.polyval(fit, i - begin))
+
+
+def test_breakpoints(spark):
+    one = spark.range(1)
+    assert one.select(breaks.regular_breakpoints(F.lit(45.0))).first()[0] == [0, 15, 30, 45]
+    assert one.select(breaks.regular_breakpoints(F.lit(0.0))).first()[0] == [0]
+    assert one.select(breaks.merge_breakpoints(F.array(*map(F.lit, [0.0, 1.0, 10.0, 10.5, 20.0])))).first()[0] == [0.5, 10.25, 20.0]
+    with pytest.raises(Exception, match="negative"):
+        one.select(breaks.merge_breakpoints(F.array(F.lit(-1.0)))).collect()
+
+
+def test_threshold_and_extrema(spark):
+    g = spark.createDataFrame([(1, 0.0, 0.02), (1, 10.0, 0.15), (1, 20.0, 0.02)], "edge_id long, d double, g double")
+    at = [r["at"] for r in breaks.threshold_breakpoints(g, "edge_id", "d", "g").collect()]
+    assert len(at) == 6 and all(0 < a < 20 for a in at)
+    assert [r["at"] for r in breaks.extrema_breakpoints(g, "edge_id", "d", "g").collect()] == [10.0]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.floats(-50, 50, allow_nan=False), min_size=2, max_size=9))
+def test_reversing_twice_is_the_same(spark, zs):
+    twice = series.reversed_samples(series.reversed_samples(samples(spark, zs)).select("edge_id", "dist_m", "z_raw_m", "z_smooth_m"))
+    assert [r["z_smooth_m"] for r in twice.orderBy("dist_m").collect()] == pytest.approx(zs)
