@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gradewalk.llm.common import components, cut
 from gradewalk.llm.words import Words, find_words, mix, text_chunks
 
-SHINGLE, SLOTS, BANDS = 5, 128, 32
+SHINGLE, SLOTS, BANDS = 5, 160, 32
 SIMILARITY = 0.8
 
 
@@ -90,12 +90,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bags = np.zeros(w.n_docs, np.uint64)
             np.add.at(bags, text, mix(key * np.uint64(2) + times.astype(np.uint64)))
             sizes = np.bincount(text, times, w.n_docs).astype(np.int64)
-            point = bag_min_hash(text, key, times, w.n_docs).reshape(w.n_docs, BANDS, -1)
+            whole = bag_min_hash(text, key, times, w.n_docs)
+            marks = whole.astype(np.uint16)
+            point = whole.reshape(w.n_docs, BANDS, -1)
             band = np.zeros((w.n_docs, BANDS), np.uint64)
             for k in range(point.shape[2]):
                 band = mix(band + point[:, :, k] + np.uint64(k))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(w.n_docs + 1, dtype=np.int32) * BANDS), pa.array(band.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, rows.stop - rows.start), pa.array(sizes), pa.array(mix(bags + sizes.astype(np.uint64)).view(np.int64)), lists], ["doc_id", "size", "bag", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, rows.stop - rows.start), pa.array(sizes), pa.array(mix(bags + sizes.astype(np.uint64)).view(np.int64)), lists, pa.array([m.tobytes() for m in marks], pa.binary())], ["doc_id", "size", "bag", "bands", "marks"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +123,49 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(likeness)], ["a", "b", "likeness"])
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of buckets whose rows follow each other: signatures that agree in a share ``least`` of slots."""
+    names = ["band", "key", "i", "j", "own", "node"]
+    held: tuple[list[np.ndarray], np.ndarray] | None = None
+
+    def pairs(columns: list[np.ndarray], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        band, key, i, j, own, node = columns
+        same = np.concatenate([[False], (band[1:] == band[:-1]) & (key[1:] == key[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])])
+        run = np.cumsum(~same)
+        lag = 1
+        while lag < len(node) and (at := np.flatnonzero(run[lag:] == run[:-lag])).size:
+            for part in np.array_split(at, max(1, len(at) // 20_000)):
+                part = part[(i[part] == j[part]) | (own[part] != own[part + lag])]
+                good = part[(marks[part] == marks[part + lag]).mean(axis=1) >= least]
+                a, b = np.minimum(node[good], node[good + lag]), np.maximum(node[good], node[good + lag])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            lag += 1
+
+    for batch in batches:
+        columns = [np.asarray(batch.column(n)) for n in names]
+        marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+        if held is not None:
+            columns, marks = [np.concatenate(x) for x in zip(held[0], columns, strict=True)], np.concatenate([held[1], marks])
+        if not len(marks):
+            continue
+        # the last bucket may go on in the next batch
+        last = np.flatnonzero(~np.all([c == c[-1] for c in columns[:4]], axis=0))
+        stop = last[-1] + 1 if len(last) else 0
+        yield from pairs([c[:stop] for c in columns], marks[:stop])
+        held = [c[stop:] for c in columns], marks[stop:]
+    if held is not None:
+        yield from pairs(*held)
+
+
+def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their weighted Jaccard index, from whole texts."""
+    in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    held = cut(texts.join(in_pairs, "node").groupBy("node").agg(F.min("text").alias("text")))
+    rows = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a long, b long, likeness double"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, star_rounds: int = 2, block: int = 1024) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``component_id`` (smallest doc_id of its class) and ``kept`` (doc_id = component_id).
 
     Texts are compared as multisets of five lower-cased words in a row.  Texts without a word, and null
@@ -129,31 +173,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     the same id and text are one document; each stays or goes with its id.
 
     Texts with equal multisets are one node.  In each band, every node is compared with the least node of
-    its bucket; those that don't pass are compared with the least of the rest, and so on until no bucket
-    has two left.  So a bucket of n copies makes about n pairs, not n * n, and none is dropped.
+    its bucket, and those that don't pass with the least of the rest, for ``star_rounds`` rounds: a bucket
+    of n copies makes about n pairs.  What is left in the buckets, texts that share a passage or so, is
+    compared by signatures, block by block within the task, and pairs whose signatures agree nearly as
+    often as linked texts' do are verified too.  Buckets have no size limit.
     """
-    signed = cut(docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signed, "doc_id long, size long, bag long, bands array<long>").where("size > 0"))
+    signed = cut(docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signed, "doc_id long, size long, bag long, bands array<long>, marks binary").where("size > 0"))
     nodes = signed.groupBy("bag", "size").agg(F.min("doc_id").alias("node"))
-    members = cut(signed.select("doc_id", "bag", "size").join(nodes, ["bag", "size"]).select("doc_id", "node"))
-    single = signed.join(nodes.select("node", "bag", "size"), ["bag", "size"]).where("doc_id = node").dropDuplicates(["node"])
+    members = cut(signed.select("doc_id", "bag", "size").join(nodes, ["bag", "size"]).select("doc_id", "bag", "size", "node"))
+    single = cut(signed.join(members.where("doc_id = node").select("doc_id", "bag", "size").distinct(), ["doc_id", "bag", "size"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands", "marks"))
     banded = single.select("node", F.posexplode("bands").alias("band", "key"))
-    crowded = banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    open_ = cut(banded.join(crowded, ["band", "key"]).select("band", "key", "node", "hub"))
     texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    links: DataFrame | None = None
-    while True:
-        pairs = open_.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        held = cut(texts.join(in_pairs, "node").groupBy("node").agg(F.min("text").alias("text")))
-        rows = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        judged = cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a long, b long, likeness double"))
-        good = judged.where(F.col("likeness") >= similarity).select("a", "b")
-        links = good if links is None else links.union(good)
-        rest = open_.where("node <> hub").join(good.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("band", "key", "node")
+    rest, links, tried = banded, None, None
+    for _ in range(star_rounds):
         crowded = rest.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        open_ = cut(rest.join(crowded, ["band", "key"]).select("band", "key", "node", "hub"))
-        if open_.limit(1).count() == 0:
-            break
+        open_ = cut(rest.join(crowded, ["band", "key"]).where("node <> hub").select("band", "key", "node", "hub"))
+        pairs = open_.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        judged = _judged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), texts)
+        tried = judged.select("a", "b", "likeness") if tried is None else tried.union(judged)
+        good = tried.where(F.col("likeness") >= similarity).select("a", "b")
+        rest = open_.join(good.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("band", "key", "node")
+    crowded = rest.groupBy("band", "key").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        rest.join(crowded, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+        .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(single.select("node", "marks"), "node")
+        .repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "own", "node")
+        .select("band", "key", "i", "j", "own", "node", "marks")
+    )
+    # four standard deviations of the estimate below the similarity
+    least = similarity - 4 * (similarity * (1 - similarity) / SLOTS) ** 0.5
+    alike = dealt.mapInArrow(lambda batches: _alike(batches, least), "a long, b long").distinct()
+    judged = _judged(cut(alike.join(tried, ["a", "b"], "left_anti")), texts)
+    links = tried.union(judged).where(F.col("likeness") >= similarity).select("a", "b")
     roots = components(links)
-    classes = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    classes = members.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

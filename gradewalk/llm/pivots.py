@@ -74,6 +74,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, near: int = 8, shared:
     if lengths is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     nodes = distinct.where(F.size("embedding") == lengths["size"])
+    kind = vectors.schema["embedding"].dataType.simpleString()
     n_pivots = min(most_pivots, max(near, lengths["count"] // a_pivot))
     drawn = nodes.orderBy(F.xxhash64("embedding"), "node").limit(n_pivots).select("embedding").toArrow()
     pivots = _unit(_matrix(drawn.column("embedding")))
@@ -91,7 +92,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, near: int = 8, shared:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * ranked.shape[1]), pa.array(ranked.reshape(-1).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.column("node").take(rows), part.column("n").take(rows), part.column("embedding").take(rows), lists.take(pa.array(rows))], ["list", "node", "n", "embedding", "pivots"])
 
-    postings = cut(nodes.select("node", "n", "embedding").mapInArrow(described, "list long, node long, n long, embedding array<float>, pivots array<int>"))
+    postings = cut(nodes.select("node", "n", "embedding").mapInArrow(described, f"list long, node long, n long, embedding {kind}, pivots array<int>"))
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (

@@ -66,3 +66,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_lm_score": op10_lm_score,
 }
+
+HOSTS = """parsed as (select page_id, case when url like '%://%' then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+  cut as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parsed)"""
+ORACLES = {
+    "op4_url_filter": "with " + HOSTS + ", rules(rule, verdict) as (values " + ", ".join(f"('{r}', '{v}')" for v, r in URL_RULES) + """),
+  fits as (select c.page_id, c.host, c.path, r.rule, r.verdict, row_number() over (partition by c.page_id, c.host, c.path order by length(r.rule) desc nulls last, r.rule desc) as n from cut c left join rules r
+    on (c.host = split_part(r.rule, '/', 1) or ends_with(c.host, '.' || split_part(r.rule, '/', 1))) and starts_with(c.path, substr(r.rule, instr(r.rule, '/'))))
+  select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fits where n = 1""",
+}
+
+
+def _secret_sql() -> str:
+    parts = []
+    for place, r in enumerate([*secrets.BASE, *secrets.ADDED]):
+        p = r.pattern.replace("'", "''")
+        parts.append(
+            f"select r, {place} as place, '{r.kind}' as kind, s, s + length(m) as e from (select r, m, g, coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as s "
+            f"from (select r, unnest(ms) as m, unnest(gs) as g, unnest(range(1, len(ms) + 1)) as i, ms, pieces from (select r, regexp_extract_all(t, '{p}') as ms, regexp_extract_all(t, '{p}', {r.group}) as gs, string_split_regex(t, '{p}') as pieces from d where regexp_matches(t, '{p}')))) where length(g) >= {r.least}")
+    one = "kind || ':' || s::bigint || ':' || e::bigint"
+    return (
+        "with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents), f as (" + " union all ".join(parts) + "), "
+        f"k as (select r, count(*) filter (place = 0) as n_assign, count(*) filter (place = 1) as n_access, count(*) filter (place = 2) as n_hex, coalesce(string_agg({one}, ',' order by s, place) filter (place < {len(secrets.BASE)}), '') as base, string_agg({one}, ',' order by s, place) as spans from f group by 1) "
+        "select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join k using (r)"
+    )
+
+
+ORACLES["op8_secret_scan"] = _secret_sql()

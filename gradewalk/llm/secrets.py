@@ -163,7 +163,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     Overlapping spans become one, named after the first.  Texts without a span stay as they are, null
     texts stay null, and so do all other columns.
     """
-    keyed = row_key(docs)
+    keyed = row_key(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
     spans = find_secrets(docs).where(F.size("found") > 0).groupBy("key_id", "key_hash").agg(F.first("found").alias("_found"))
 
     def step(done: Column, x: Column) -> Column:
@@ -173,7 +173,9 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
     made = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.col("text").substr(done["at"] + 1, F.length("text"))))
     joined = keyed.join(spans, ["key_id", "key_hash"], "left")
-    joined = joined.withColumn("text", F.when(F.col("_found").isNotNull(), made).otherwise(F.col("text")))
+    new = F.when(F.col("_found").isNotNull(), made).otherwise(F.col("text"))
+    joined = joined.select("_row", "_found", new.alias("_text"))
+    changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_found").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return joined.select(*(changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
