@@ -74,6 +74,7 @@ def posteriors(energy: np.ndarray, begins: np.ndarray, transitions: np.ndarray,
     e[:n] = np.exp(energy - energy.max(axis=1, keepdims=True)) + 1e-30
     first = np.zeros(nb * block, bool)
     first[:n] = begins
+    first[n : n + 1] = True  # what fills the last block is a chain of its own
     e, first = e.reshape(nb, block, k), first.reshape(nb, block)
     product = np.tile(np.eye(k), (nb, 1, 1))
     for t in range(block):
