@@ -89,7 +89,7 @@ ORACLES = {
     "hill_events": f"""with {E}, {R}, x as (select *, sum(length_m) over (partition by l_orderkey order by pos rows unbounded preceding) as till from rt), y as (select *, till - length_m as since from x where g >= 0.06),
       i as (select *, case when street is not distinct from lag(street) over w and since - lag(till) over w <= 20 then 0 else 1 end as new from y window w as (partition by l_orderkey order by pos)),
       k as (select *, sum(new) over (partition by l_orderkey order by pos rows unbounded preceding) as event from i)
-      select l_orderkey as route_id, event::bigint as event, arg_min(street, pos) as street_name, round(min(since), 4) as start_m, round(max(till) - min(since), 4) as length_m, round(sum(gain_m), 4) as elevation_gain_m, round(sum(gain_m) / (max(till) - min(since)), 4) as avg_grade, round(max(g), 4) as max_grade from k group by 1, 2""",
+      select l_orderkey as route_id, event::bigint as event, arg_min(street, pos) as street_name, round(min(since), 10) as start_m, round(max(till) - min(since), 10) as length_m, round(sum(gain_m), 10) as elevation_gain_m, round(sum(gain_m) / (max(till) - min(since)), 10) as avg_grade, round(max(g), 10) as max_grade from k group by 1, 2""",
     "direction_steps": f"with {E}, {R}, {STEPS} select l_orderkey as route_id, step::bigint as step, any_value(street) as street_name, round(sum(length_m), 4) as length_m, {r6('max(g)', 'max_uphill')}, count(*) as n_edges from stepped group by 1, 2",
     "street_name_format": f"""with v as (select p_partkey, upper(p_name) as base, case when p_size % 3 = 0 then 'ST' when p_size % 3 = 1 then 'AVE.' else '' end as last from part),
       t as (select p_partkey, string_split(trim(regexp_replace(base || ' ' || last, '\\s+', ' ', 'g')), ' ') as w from v), m as (select map {{{', '.join(f"'{k}': '{x}'" for k, x in SUFFIXES.items())}}} as suffixes),

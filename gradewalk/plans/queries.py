@@ -232,7 +232,7 @@ R = """rt as (select e.*, 'Street ' || (p_size % 4) as street, row_number() over
 
 def hill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = narrate.hill_events(routes(spark, sf_dir))
-    return ev.select("route_id", F.col("event").cast("long").alias("event"), "street_name", *(F.round(c, 4).alias(c) for c in ("start_m", "length_m", "elevation_gain_m", "avg_grade", "max_grade")))
+    return ev.select("route_id", F.col("event").cast("long").alias("event"), "street_name", *(F.round(c, 10).alias(c) for c in ("start_m", "length_m", "elevation_gain_m", "avg_grade", "max_grade")))
 
 
 def direction_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
