@@ -125,17 +125,17 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of buckets whose rows follow each other: signatures that agree in a share ``least`` of slots."""
-    names = ["band", "key", "i", "j", "own", "node"]
+    names = ["band", "key", "i", "j", "own", "node", "root"]
     held: tuple[list[np.ndarray], np.ndarray] | None = None
 
     def pairs(columns: list[np.ndarray], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        band, key, i, j, own, node = columns
+        band, key, i, j, own, node, root = columns
         same = np.concatenate([[False], (band[1:] == band[:-1]) & (key[1:] == key[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])])
         run = np.cumsum(~same)
         lag = 1
         while lag < len(node) and (at := np.flatnonzero(run[lag:] == run[:-lag])).size:
             for part in np.array_split(at, max(1, len(at) // 20_000)):
-                part = part[(i[part] == j[part]) | (own[part] != own[part + lag])]
+                part = part[((i[part] == j[part]) | (own[part] != own[part + lag])) & (root[part] != root[part + lag])]
                 good = part[(marks[part] == marks[part + lag]).mean(axis=1) >= least]
                 a, b = np.minimum(node[good], node[good + lag]), np.maximum(node[good], node[good + lag])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -157,55 +157,69 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield from pairs(*held)
 
 
+def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("marks_a", "marks_b")] if batch.num_rows else [np.zeros((0, 1))] * 2
+        good = pa.array((sides[0] == sides[1]).mean(axis=1) >= least) if batch.num_rows else pa.array([], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+
+
 def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their weighted Jaccard index, from whole texts."""
-    in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    held = cut(texts.join(in_pairs, "node").groupBy("node").agg(F.min("text").alias("text")))
-    rows = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    """Pairs (a, b) with their weighted Jaccard index, from whole texts (node, text)."""
+    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a long, b long, likeness double"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, star_rounds: int = 2, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = 1024) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``component_id`` (smallest doc_id of its class) and ``kept`` (doc_id = component_id).
 
     Texts are compared as multisets of five lower-cased words in a row.  Texts without a word, and null
     texts, link with nothing and are kept.  Rows with a null id have a null class and are kept.  Rows of
     the same id and text are one document; each stays or goes with its id.
 
-    Texts with equal multisets are one node.  In each band, every node is compared with the least node of
-    its bucket, and those that don't pass with the least of the rest, for ``star_rounds`` rounds: a bucket
-    of n copies makes about n pairs.  What is left in the buckets, texts that share a passage or so, is
-    compared by signatures, block by block within the task, and pairs whose signatures agree nearly as
-    often as linked texts' do are verified too.  Buckets have no size limit.
+    Texts with equal multisets are one node.  The least node of a bucket is its hub.  First each node is
+    verified against the hub that it shares most buckets with, then against its other hubs, unless both
+    are in one class already or their signatures differ too much; so a group of n copies makes about n
+    pairs.  What is still in different classes within a bucket is compared by signatures, block by block
+    within the task, and alike pairs are verified.  Buckets have no size limit.
     """
+    # four standard deviations of the estimate below the similarity
+    least = similarity - 4 * (similarity * (1 - similarity) / SLOTS) ** 0.5
     signed = cut(docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signed, "doc_id long, size long, bag long, bands array<long>, marks binary").where("size > 0"))
     nodes = signed.groupBy("bag", "size").agg(F.min("doc_id").alias("node"))
     members = cut(signed.select("doc_id", "bag", "size").join(nodes, ["bag", "size"]).select("doc_id", "bag", "size", "node"))
     single = cut(signed.join(members.where("doc_id = node").select("doc_id", "bag", "size").distinct(), ["doc_id", "bag", "size"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands", "marks"))
     banded = single.select("node", F.posexplode("bands").alias("band", "key"))
-    texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    rest, links, tried = banded, None, None
-    for _ in range(star_rounds):
-        crowded = rest.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        open_ = cut(rest.join(crowded, ["band", "key"]).where("node <> hub").select("band", "key", "node", "hub"))
-        pairs = open_.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        judged = _judged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), texts)
-        tried = judged.select("a", "b", "likeness") if tried is None else tried.union(judged)
-        good = tried.where(F.col("likeness") >= similarity).select("a", "b")
-        rest = open_.join(good.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("band", "key", "node")
-    crowded = rest.groupBy("band", "key").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hubs = banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = cut(banded.join(hubs, ["band", "key"]).select("band", "key", "node", "hub"))
+    crowd = buckets.select("node").distinct()
+    texts = cut(docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(crowd, "node").groupBy("node").agg(F.min("text").alias("text")))
+    marks = single.select("node", "marks")
+    toward = cut(buckets.where("node <> hub").groupBy("hub", "node").count())
+
+    first = toward.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a")).select("a", F.col("node").alias("b"))
+    tried = _judged(first, texts)
+    roots = components(tried.where(F.col("likeness") >= similarity).select("a", "b"))
+
+    def rooted(df: DataFrame, column: str, into: str) -> DataFrame:
+        return df.join(roots.select(F.col("node").alias(column), F.col("root").alias(into)), column, "left").withColumn(into, F.coalesce(into, column))
+
+    others = rooted(rooted(toward.select(F.col("hub").alias("a"), F.col("node").alias("b")), "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    likely = others.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b").mapInArrow(lambda batches: _likely(batches, least), "a long, b long")
+    tried = tried.union(_judged(cut(likely), texts))
+    roots = components(tried.where(F.col("likeness") >= similarity).select("a", "b"))
+
+    open_ = rooted(buckets.select("band", "key", "node"), "node", "root")
+    mixed = open_.groupBy("band", "key").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
-        rest.join(crowded, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(single.select("node", "marks"), "node")
+        open_.join(mixed, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+        .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(marks, "node")
         .repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "own", "node")
-        .select("band", "key", "i", "j", "own", "node", "marks")
+        .select("band", "key", "i", "j", "own", "node", "root", "marks")
     )
-    # four standard deviations of the estimate below the similarity
-    least = similarity - 4 * (similarity * (1 - similarity) / SLOTS) ** 0.5
-    alike = dealt.mapInArrow(lambda batches: _alike(batches, least), "a long, b long").distinct()
-    judged = _judged(cut(alike.join(tried, ["a", "b"], "left_anti")), texts)
-    links = tried.union(judged).where(F.col("likeness") >= similarity).select("a", "b")
-    roots = components(links)
+    alike = dealt.mapInArrow(lambda batches: _alike(batches, least), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    tried = tried.union(_judged(cut(alike), texts))
+    roots = components(tried.where(F.col("likeness") >= similarity).select("a", "b"))
     classes = members.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
