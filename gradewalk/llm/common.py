@@ -67,10 +67,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, labels.node == near.a, "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
+        seen = both.join(labels, both.b == labels.node).select("a", "root", F.lit(None).cast("long").alias("own"))
+        seen = seen.union(labels.select(F.col("node").alias("a"), "root", F.col("root").alias("own")))
+        lower = seen.groupBy("a").agg(F.min("root").alias("next"), F.max("own").alias("own"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        stepped = cut(lower.join(jump, "next", "left").select("node", F.coalesce("far", "next").alias("root"), (F.coalesce("far", "next") != F.col("root")).alias("changed")))
+        stepped = cut(lower.join(jump, "next", "left").select(F.col("a").alias("node"), F.coalesce("far", "next").alias("root"), (F.coalesce("far", "next") != F.col("own")).alias("changed")))
         labels = stepped.select("node", "root")
         if stepped.where("changed").limit(1).count() == 0:
             return labels

@@ -123,23 +123,42 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(likeness)], ["a", "b", "likeness"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of buckets whose rows follow each other: signatures that agree in a share ``least`` of slots."""
+def _alike(batches: Iterator[pa.RecordBatch], least: float, partners: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of buckets whose rows follow each other: signatures that agree in a share ``least`` of slots.
+
+    Of those, each node's ``partners`` best ones in the bucket.
+    """
     names = ["band", "key", "i", "j", "own", "node", "root"]
     held: tuple[list[np.ndarray], np.ndarray] | None = None
 
     def pairs(columns: list[np.ndarray], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
         band, key, i, j, own, node, root = columns
-        same = np.concatenate([[False], (band[1:] == band[:-1]) & (key[1:] == key[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])])
-        run = np.cumsum(~same)
-        lag = 1
+        new = np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])[: len(node)]
+        edges = np.append(np.flatnonzero(new), len(node))
+        at = 0
+        while at < len(edges) - 1:  # some thousand rows of whole buckets at a time
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + 4096, "right")) - 1)
+            rows = slice(edges[at], edges[to])
+            yield best(*(x[rows] for x in (np.cumsum(new), i, j, own, node, root)), marks[rows])
+            at = to
+
+    def best(run, i, j, own, node, root, marks) -> pa.RecordBatch:
+        found, lag = [], 1
         while lag < len(node) and (at := np.flatnonzero(run[lag:] == run[:-lag])).size:
+            at = at[((i[at] == j[at]) | (own[at] != own[at + lag])) & (root[at] != root[at + lag])]
             for part in np.array_split(at, max(1, len(at) // 20_000)):
-                part = part[((i[part] == j[part]) | (own[part] != own[part + lag])) & (root[part] != root[part + lag])]
-                good = part[(marks[part] == marks[part + lag]).mean(axis=1) >= least]
-                a, b = np.minimum(node[good], node[good + lag]), np.maximum(node[good], node[good + lag])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                agree = (marks[part] == marks[part + lag]).mean(axis=1)
+                good = agree >= least
+                found.append((part[good], part[good] + lag, agree[good]))
             lag += 1
+        x, y, agree = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        x, y, agree = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(agree, 2)
+        order = np.lexsort((-agree, x))
+        x, y = x[order], y[order]
+        rank = np.arange(len(x)) - np.searchsorted(x, x)
+        x, y = node[x[rank < partners]], node[y[rank < partners]]
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
         columns = [np.asarray(batch.column(n)) for n in names]
@@ -170,7 +189,7 @@ def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a long, b long, likeness double"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = 1024, partners: int = 16) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``component_id`` (smallest doc_id of its class) and ``kept`` (doc_id = component_id).
 
     Texts are compared as multisets of five lower-cased words in a row.  Texts without a word, and null
@@ -181,7 +200,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     verified against the hub that it shares most buckets with, then against its other hubs, unless both
     are in one class already or their signatures differ too much; so a group of n copies makes about n
     pairs.  What is still in different classes within a bucket is compared by signatures, block by block
-    within the task, and alike pairs are verified.  Buckets have no size limit.
+    within the task, and each node's ``partners`` most alike ones of other classes are verified in every
+    bucket it is in: one link to a class is enough, and a pair that passes is among the most alike.
+    Buckets have no size limit.
     """
     # four standard deviations of the estimate below the similarity
     least = similarity - 4 * (similarity * (1 - similarity) / SLOTS) ** 0.5
@@ -199,7 +220,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
 
     first = toward.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a")).select("a", F.col("node").alias("b"))
     tried = _judged(first, texts)
-    roots = components(tried.where(F.col("likeness") >= similarity).select("a", "b"))
+    # each node has one link here: two steps along them bring most of a class to one root
+    good = tried.where(F.col("likeness") >= similarity)
+    up = good.select(F.col("a").alias("up"), F.col("b").alias("node"))
+    roots = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("far")), "up", "left").select("node", F.coalesce("far", "up").alias("root"))
 
     def rooted(df: DataFrame, column: str, into: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(column), F.col("root").alias(into)), column, "left").withColumn(into, F.coalesce(into, column))
@@ -218,7 +242,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
         .repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "own", "node")
         .select("band", "key", "i", "j", "own", "node", "root", "marks")
     )
-    alike = dealt.mapInArrow(lambda batches: _alike(batches, least), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    alike = dealt.mapInArrow(lambda batches: _alike(batches, least, partners), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     tried = tried.union(_judged(cut(alike), texts))
     roots = components(tried.where(F.col("likeness") >= similarity).select("a", "b"))
     classes = members.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
