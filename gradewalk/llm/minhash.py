@@ -91,11 +91,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(bags, text, mix(key * np.uint64(2) + times.astype(np.uint64)))
             sizes = np.bincount(text, times, w.n_docs).astype(np.int64)
             whole = bag_min_hash(text, key, times, w.n_docs)
-            marks = whole.astype(np.uint16)
             point = whole.reshape(w.n_docs, BANDS, -1)
             band = np.zeros((w.n_docs, BANDS), np.uint64)
             for k in range(point.shape[2]):
                 band = mix(band + point[:, :, k] + np.uint64(k))
+            # 16 bits of every slot, then 32 bits of every band
+            marks = np.hstack([whole.astype(np.uint16), band.astype(np.uint32).view(np.uint16)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(w.n_docs + 1, dtype=np.int32) * BANDS), pa.array(band.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, rows.stop - rows.start), pa.array(sizes), pa.array(mix(bags + sizes.astype(np.uint64)).view(np.int64)), lists, pa.array([m.tobytes() for m in marks], pa.binary())], ["doc_id", "size", "bag", "bands", "marks"])
 
@@ -123,10 +124,10 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(likeness)], ["a", "b", "likeness"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch], least: float, partners: int) -> Iterator[pa.RecordBatch]:
+def _alike(batches: Iterator[pa.RecordBatch], least: float, partners: int | None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of buckets whose rows follow each other: signatures that agree in a share ``least`` of slots.
 
-    Of those, each node's ``partners`` best ones in the bucket.
+    A pair comes from the first band that it shares alone.  ``partners``: each node's best ones in the bucket, None for all.
     """
     names = ["band", "key", "i", "j", "own", "node", "root"]
     held: tuple[list[np.ndarray], np.ndarray] | None = None
@@ -139,25 +140,27 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float, partners: int) -> It
         while at < len(edges) - 1:  # some thousand rows of whole buckets at a time
             to = max(at + 1, int(np.searchsorted(edges, edges[at] + 4096, "right")) - 1)
             rows = slice(edges[at], edges[to])
-            yield best(*(x[rows] for x in (np.cumsum(new), i, j, own, node, root)), marks[rows])
+            yield best(*(x[rows] for x in (np.cumsum(new), band, i, j, own, node, root)), marks[rows, :SLOTS], np.ascontiguousarray(marks[rows, SLOTS:]).view(np.uint32))
             at = to
 
-    def best(run, i, j, own, node, root, marks) -> pa.RecordBatch:
+    def best(run, band, i, j, own, node, root, marks, bands) -> pa.RecordBatch:
         found, lag = [], 1
         while lag < len(node) and (at := np.flatnonzero(run[lag:] == run[:-lag])).size:
             at = at[((i[at] == j[at]) | (own[at] != own[at + lag])) & (root[at] != root[at + lag])]
             for part in np.array_split(at, max(1, len(at) // 20_000)):
                 agree = (marks[part] == marks[part + lag]).mean(axis=1)
-                good = agree >= least
+                good = np.flatnonzero(agree >= least)
+                good = good[(bands[part[good]] == bands[part[good] + lag]).argmax(axis=1) == band[part[good]]]
                 found.append((part[good], part[good] + lag, agree[good]))
             lag += 1
         x, y, agree = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        x, y, agree = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(agree, 2)
-        order = np.lexsort((-agree, x))
-        x, y = x[order], y[order]
-        rank = np.arange(len(x)) - np.searchsorted(x, x)
-        x, y = node[x[rank < partners]], node[y[rank < partners]]
-        a, b = np.minimum(x, y), np.maximum(x, y)
+        if partners is not None:
+            x, y, agree = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(agree, 2)
+            order = np.lexsort((-agree, x))
+            x, y = x[order], y[order]
+            rank = np.arange(len(x)) - np.searchsorted(x, x)
+            x, y = x[rank < partners], y[rank < partners]
+        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
@@ -179,7 +182,7 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float, partners: int) -> It
 def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("marks_a", "marks_b")] if batch.num_rows else [np.zeros((0, 1))] * 2
-        good = pa.array((sides[0] == sides[1]).mean(axis=1) >= least) if batch.num_rows else pa.array([], pa.bool_())
+        good = pa.array((sides[0][:, :SLOTS] == sides[1][:, :SLOTS]).mean(axis=1) >= least) if batch.num_rows else pa.array([], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
 
@@ -200,9 +203,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     verified against the hub that it shares most buckets with, then against its other hubs, unless both
     are in one class already or their signatures differ too much; so a group of n copies makes about n
     pairs.  What is still in different classes within a bucket is compared by signatures, block by block
-    within the task, and each node's ``partners`` most alike ones of other classes are verified in every
-    bucket it is in: one link to a class is enough, and a pair that passes is among the most alike.
-    Buckets have no size limit.
+    within the task.  Each node's ``partners`` most alike ones of other classes in a bucket are verified
+    first, since one link to a class is enough; classes are joined, and then all alike pairs that are
+    still of different classes are verified.  Buckets and partners have no limit.
     """
     # four standard deviations of the estimate below the similarity
     least = similarity - 4 * (similarity * (1 - similarity) / SLOTS) ** 0.5
@@ -233,17 +236,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     tried = tried.union(_judged(cut(likely), texts))
     roots = components(tried.where(F.col("likeness") >= similarity).select("a", "b"))
 
-    open_ = rooted(buckets.select("band", "key", "node"), "node", "root")
-    mixed = open_.groupBy("band", "key").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        open_.join(mixed, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(marks, "node")
-        .repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "own", "node")
-        .select("band", "key", "i", "j", "own", "node", "root", "marks")
-    )
-    alike = dealt.mapInArrow(lambda batches: _alike(batches, least, partners), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    tried = tried.union(_judged(cut(alike), texts))
-    roots = components(tried.where(F.col("likeness") >= similarity).select("a", "b"))
+    for most in (partners, None):  # what the first round has left in different classes is compared in full
+        open_ = rooted(buckets.select("band", "key", "node"), "node", "root")
+        mixed = open_.groupBy("band", "key").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = (
+            open_.join(mixed, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+            .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(marks, "node")
+            .repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "own", "node")
+            .select("band", "key", "i", "j", "own", "node", "root", "marks")
+        )
+        alike = dealt.mapInArrow(lambda batches, n=most: _alike(batches, least, n), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        judged = _judged(cut(alike), texts)
+        tried = tried.union(judged)
+        if not judged.where(F.col("likeness") >= similarity).isEmpty():
+            roots = components(tried.where(F.col("likeness") >= similarity).select("a", "b"))
     classes = members.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
