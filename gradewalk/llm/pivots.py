@@ -1,9 +1,10 @@
 """Embedding near-dedup through a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors.  A vector is described by its nearest pivots in order; the
-inverted lists hold, for each pivot, the vectors that are near it.  Two vectors on a list are candidates
-if they share enough pivots, and candidates are verified by their cosine.  A pair that shares several
-lists is judged on the first of them only.  Long lists are cut into blocks that meet pairwise.
+Pivots are a bounded sample of the vectors, spread out so that a dense group keeps few.  A vector is
+described by its nearest pivots in order; the inverted lists hold, for each pivot, the vectors that are
+near it.  Two vectors on a list are candidates if they share enough pivots or lie close around the same
+nearest one, and candidates are verified by their cosine.  A pair that shares several lists is judged on
+one of them only.  Long lists are cut into blocks that meet pairwise.
 """
 
 from __future__ import annotations
@@ -38,6 +39,16 @@ def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarra
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(likeness, some, 1), axis=1, kind="stable"), 1)
 
 
+def spread_pivots(pivots: np.ndarray, least: float) -> np.ndarray:
+    """In order, the pivots whose cosine to each one chosen before is below ``least``."""
+    free, chosen = np.ones(len(pivots), bool), []
+    for k in range(len(pivots)):
+        if free[k]:
+            chosen.append(k)
+            free &= pivots @ pivots[k] < least
+    return pivots[chosen]
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     """Indices of links that connect what all links connect."""
     root = list(range(n))
@@ -62,10 +73,11 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, near: int = 8, shared:
 
     Vectors that are null, zero, hold null or non-finite components, or differ in length from the most
     common one link with nothing.  Equal vectors count as links of each other and are indexed once.
-    One pivot for ``a_pivot`` distinct vectors is sampled by a hash, ``most_pivots`` at most; beyond
-    ``4 * a_pivot * most_pivots`` vectors, lists are kept for pairs of shared pivots in place of single
-    ones, so that lists stay short.  Every vector is indexed.  Rows of the same id count one by one; a null id
-    keeps a null component.
+    One pivot for ``a_pivot`` distinct vectors is sampled by a hash, ``most_pivots`` at most, and those within
+    twice the link's angle of one chosen before are dropped.  The vectors within that angle of their nearest
+    pivot are at home there: all pairs of the same home are verified.  Beyond ``4 * a_pivot * most_pivots``
+    vectors, lists are kept for homes and for pairs of shared pivots in place of single ones, so that lists
+    stay short.  Every vector is indexed.  Rows of the same id count one by one; a null id keeps a null component.
     """
     usable = (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = vectors.select("vec_id", "embedding").where(F.coalesce(usable, F.lit(False)) & F.col("vec_id").isNotNull())
@@ -77,33 +89,41 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, near: int = 8, shared:
     kind = vectors.schema["embedding"].dataType.simpleString()
     n_pivots = min(most_pivots, max(near, lengths["count"] // a_pivot))
     drawn = nodes.orderBy(F.xxhash64("embedding"), "node").limit(n_pivots).select("embedding").toArrow()
-    pivots = _unit(_matrix(drawn.column("embedding")))
-    together = 1 if lengths["count"] <= 4 * a_pivot * most_pivots else 2
+    around = 2 * cosine * cosine - 1 if cosine > 0 else -1.0  # the cosine of twice the link's angle
+    pivots = spread_pivots(_unit(_matrix(drawn.column("embedding"))), around)
+    together = min(1 if lengths["count"] <= 4 * a_pivot * most_pivots else 2, len(pivots))
+    home_key = sum(most_pivots**k for k in range(together))
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                ranked = nearest_pivots(_unit(_matrix(part.column("embedding"))), sent.value, near)
+                unit = _unit(_matrix(part.column("embedding")))
+                ranked = nearest_pivots(unit, sent.value, near)
+                home = np.where((unit * sent.value[ranked[:, 0]]).sum(axis=1) >= around, ranked[:, 0], -1)
                 held = np.sort(ranked, axis=1)
                 keys = np.stack([sum(held[:, c].astype(np.int64) * most_pivots**k for k, c in enumerate(pick)) for pick in combinations(range(held.shape[1]), min(together, held.shape[1]))], axis=1)
                 rows = np.repeat(np.arange(part.num_rows), keys.shape[1])
+                keys = keys.reshape(-1)
+                if together > 1:  # a single pivot's list is that of its home too
+                    at_home = np.flatnonzero(home >= 0)
+                    keys, rows = np.append(keys, home[at_home].astype(np.int64) * home_key), np.append(rows, at_home)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * ranked.shape[1]), pa.array(ranked.reshape(-1).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.column("node").take(rows), part.column("n").take(rows), part.column("embedding").take(rows), lists.take(pa.array(rows))], ["list", "node", "n", "embedding", "pivots"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(c).take(pa.array(rows)) for c in ("node", "n", "embedding")), lists.take(pa.array(rows)), pa.array(home[rows].astype(np.int32))], ["list", "node", "n", "embedding", "pivots", "home"])
 
-    postings = cut(nodes.select("node", "n", "embedding").mapInArrow(described, f"list long, node long, n long, embedding {kind}, pivots array<int>"))
+    postings = cut(nodes.select("node", "n", "embedding").mapInArrow(described, f"list long, node long, n long, embedding {kind}, pivots array<int>, home int"))
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
         postings.join(blocks, "list").withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        .select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "embedding", "pivots")
+        .select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "embedding", "pivots", "home")
     )
 
     def judged(table: pa.Table) -> pa.Table:
         key, i, j = (table.column(c)[0].as_py() for c in ("list", "i", "j"))
-        node, n, own = (table.column(c).to_numpy() for c in ("node", "n", "own"))
+        node, n, own, home = (table.column(c).to_numpy() for c in ("node", "n", "own", "home"))
         unit, held = _unit(_matrix(table.column("embedding"))), _matrix(table.column("pivots")).astype(np.int64)
         mine = [key // most_pivots**k % most_pivots for k in range(together)]
         names, local = np.unique(held, return_inverse=True)
@@ -114,6 +134,9 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, near: int = 8, shared:
         candidate = hot[left] @ hot[right].T >= min(shared, held.shape[1])
         # the list's pivots are the first that the two share
         candidate &= hot[left][:, upto] @ hot[right][:, upto].T == together
+        # or the home of both
+        same = (home[left][:, None] == home[right][None, :]) & (home[left] >= 0)[:, None]
+        candidate = np.where(same, (home[left].astype(np.int64) * home_key == key)[:, None], candidate)
         if i == j:
             candidate &= node[left][:, None] < node[right][None, :]
         a, b = np.nonzero(candidate & (unit[left] @ unit[right].T >= cosine))

@@ -60,6 +60,20 @@ def test_links_by_brute_force(spark):
     assert len(got) == len(rows) + len(odd)
 
 
+@pytest.mark.parametrize("sizes", [{"a_pivot": 8}, {"a_pivot": 4, "most_pivots": 128}])
+def test_links_inside_a_large_group_of_noisy_copies(spark, sizes):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    vectors = np.concatenate([centre + 0.27 * rng.normal(size=(800, 64)), rng.normal(size=(1600, 64))])
+    vectors = vectors[rng.permutation(len(vectors))].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in pivots.link_vectors(df, block=512, **sizes).collect()}
+    u = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert links.sum() > 400 * 800
+    assert [got[i] for i in range(len(u))] == links.tolist()
+
+
 def test_links_of_empty_tables(spark):
     df = spark.createDataFrame([(1, [0.0])], "vec_id long, embedding array<float>")
     assert pivots.link_vectors(df.limit(0)).count() == 0
