@@ -7,14 +7,18 @@ every prefix has one last piece on its best path.
 
 A giant document is cut into chunks of equal length.  What crosses a cut is the piece that ends at or
 after it: the boundary state.  Each chunk yields the transfer matrix from its entry states to its exit
-states; the matrices of a document are multiplied in the max-plus sense, which is associative, and give
-each chunk's entry state; then every chunk walks its own part of the path, apart from the others.
+states, as rows.  Neighbouring blocks of chunks are multiplied pairwise in the max-plus sense, in as many
+rounds of joins as the number of chunks has binary digits; then the states go back down the same tree,
+each block giving its halves their entry and exit states; at last every chunk walks its own part of the
+path, apart from the others.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,15 @@ from gradewalk.llm.common import cut
 SPACE = "▁"
 #: A piece that stands before the text: nothing precedes.
 NONE = ""
+_LEAF: dict = {}
+#: A run of spaces and what follows: no piece goes past the end of such a stretch.
+#: Letters and digits, white space, or others: only between such runs a stretch is looked at for places to cut.
+_RUN = re.compile(rf"{SPACE}*[^\W_]+|\s+|{SPACE}+|(?:[^\w\s{SPACE}]|_)+")
+_STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class Pieces:
-    """A byte-pair vocabulary with byte fallback, read from a model file; caches grow to ``most`` entries."""
+    """A byte-pair vocabulary with byte fallback, read from a model file; caches hold ``most`` entries."""
 
     def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
@@ -43,12 +52,26 @@ class Pieces:
         self.raw = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
         self.most = most
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
-
-    def merge(self, text: str) -> list[str]:
-        """The vocabulary's rule itself, for short texts: merge the best-scored pair, leftmost first, until none is left."""
-        parts = list(text)
+        #: the vocabulary as a tree of characters; the empty string leads to the piece that ends there
+        self.tree: dict = {}
+        for piece in self.ids:
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[NONE] = piece
+        #: neighbouring characters within pieces: a text can be cut between all others
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.stretches = Stretches(self)
+
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The vocabulary's rule itself, for short texts: merge the best-scored pair, leftmost first, until none is left.
+
+        Gives the pieces and the two that were merged last.
+        """
+        parts, last = list(text), None
         while True:
             best, at = -float("inf"), -1
             for i in range(len(parts) - 1):
@@ -56,55 +79,121 @@ class Pieces:
                 if s is not None and s > best:
                     best, at = s, i
             if at < 0:
-                return parts
+                return parts, last
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def made_of(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that are merged into ``piece`` at last; None for a single character or a piece that merging never makes."""
+        if len(piece) < 2:
+            return None
+        if piece not in self.halves:
+            parts, last = self.merge(piece)
+            self.halves[piece] = last if len(parts) == 1 else None
+        return self.halves[piece]
+
     def fits(self, left: str, right: str) -> bool:
         """Whether the step weighs 0: the two pieces are the encoding of their concatenation."""
         if left == NONE:
-            return self.merge(right) == [right] if len(right) > 1 else True
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= 4 * self.most:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == [left, right]
-        return known
+            return len(right) == 1 or self.made_of(right) is not None
+        if self.n_pairs >= self.most:
+            self.pairs.clear()
+            self.n_pairs = 0
+        known = self.pairs.setdefault(left, {})
+        if right not in known:
+            known[right] = self.apart(left, right)
+            self.n_pairs += 1
+        return known[right]
+
+    def apart(self, left: str, right: str) -> bool:
+        """Goes back through the merges that made both pieces: no merge across their border may have come before one of these.
+
+        A merge at a better score comes first, and at the same score the left one does.
+        """
+        if (len(right) > 1 and self.made_of(right) is None) or (len(left) > 1 and self.made_of(left) is None):
+            return False
+        score, limit, tie = self.score, -float("inf"), False
+        while True:
+            across = score.get(left + right)
+            if across is not None and (across > limit or (tie and across == limit)):
+                return False
+            a, b = self.made_of(left), self.made_of(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and score[left] < score[right]):
+                left, limit, tie = a[1], score[left], False
+            else:
+                right, limit, tie = b[0], score[right], True
 
     def lasts(self, text: str, entry: str, offset: int = 0) -> list[str | None]:
         """The best path's last piece before each place of ``text``, given the piece that ends at ``offset``."""
-        last: list[str | None] = [None] * (len(text) + 1)
+        n = len(text)
+        last: list[str | None] = [None] * (n + 1)
         last[offset] = entry
-        ids, longest, fits = self.ids, self.longest, self.fits
-        for end in range(offset + 1, len(text) + 1):
-            for begin in range(max(offset, end - longest), end):
-                before = last[begin]
-                if before is None:
-                    continue
-                piece = text[begin:end]
-                if (piece in ids or end - begin == 1) and fits(before, piece):
-                    last[end] = piece
+        tree, pairs, fits = self.tree, self.pairs, self.fits
+        for begin in range(offset, n):
+            before = last[begin]
+            if before is None:
+                continue
+            node, end, known = tree.get(text[begin], _LEAF), begin + 1, pairs.get(before, _LEAF)
+            piece = node.get(NONE) or text[begin]  # a character outside the vocabulary stands alone
+            while True:
+                if piece is not None and last[end] is None:
+                    good = known.get(piece)
+                    if good or (good is None and fits(before, piece)):
+                        last[end] = piece
+                if end == n or not (node := node.get(text[end])):
                     break
+                piece, end = node.get(NONE), end + 1
         return last
 
-    def path(self, text: str, entry: str = NONE, offset: int = 0, end: int | None = None) -> list[str]:
-        """Backtrace from ``end`` to ``offset``."""
-        last = self.lasts(text, entry, offset)
-        at, out = len(text) if end is None else end, []
-        while at > offset:
-            piece = last[at]
-            out.append(piece)
-            at -= len(piece)
-        return out[::-1]
-
-    def word(self, text: str) -> bytes:
-        """Ids of a stretch that no piece goes past, as 32-bit numbers."""
-        found = self.words.get(text)
-        if found is None:
-            if len(self.words) >= self.most:
-                self.words.clear()
-            found = self.words[text] = self.number(self.path(text))
+    def starts(self, text: str, at: int) -> list[str]:
+        """Pieces that ``text`` goes on with at a place, the longest last."""
+        node, found = self.tree.get(text[at]), []
+        if node is None:
+            return [text[at]]  # a character outside the vocabulary stands alone
+        for c in text[at + 1 :]:
+            piece = node.get(NONE)
+            if piece is not None:
+                found.append(piece)
+            node = node.get(c)
+            if node is None:
+                return found
+        piece = node.get(NONE)
+        if piece is not None:
+            found.append(piece)
         return found
 
+    def path(self, text: str, entry: str = NONE, offset: int = 0) -> list[str]:
+        """The best path from ``offset`` to the end, searched depth first and longest piece first.
+
+        As each prefix has one last piece only, a place that leads nowhere is never tried again.
+        """
+        n, at, before = len(text), offset, entry
+        out: list[str] = []
+        dead: set[int] = set()
+        pairs, fits = self.pairs, self.fits
+        open_ = [self.starts(text, at)] if at < n else []
+        while at < n:
+            known, options = pairs.get(before, _LEAF), open_[-1]
+            while options:
+                piece = options.pop()
+                if dead and at + len(piece) in dead:
+                    continue
+                good = known.get(piece)
+                if good or (good is None and fits(before, piece)):
+                    out.append(piece)
+                    at, before = at + len(piece), piece
+                    if at < n:
+                        open_.append(self.starts(text, at))
+                    break
+            else:
+                dead.add(at)
+                open_.pop()
+                at -= len(out.pop())
+                before = out[-1] if out else entry
+        return out
+
     def number(self, pieces: list[str]) -> bytes:
         """Ids; a character outside the vocabulary becomes the ids of its bytes."""
         out: list[int] = []
@@ -114,14 +203,54 @@ class Pieces:
                 out.extend(self.bytes[b] for b in p.encode())
             else:
                 out.append(i)
-        return np.array(out, "<i4").tobytes()
+        return array("i", out).tobytes()
+
+    def spelled(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space that encoding puts first."""
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        text = raw.decode(errors="replace").replace(SPACE, " ")
+        text = self.spelled(ids).decode(errors="replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def encode(self, text: str) -> tuple[bytes, bool]:
+        """Ids of a normalised text that begins with a space, and whether they spell it."""
+        words = text.split(SPACE)[1:] if SPACE * 2 not in text else [x[1:] for x in _STRETCH.findall(text)]
+        ids = b"".join(map(self.stretches.__getitem__, words))
+        return ids, not self.stretches.wrong or self.spelled(array("i", ids)) == text.encode()
+
+
+class Stretches(dict):
+    """Ids of each stretch without its first space, as 32-bit numbers; ``wrong``: the ids of some stretch didn't spell it."""
+
+    def __init__(self, model: Pieces):
+        super().__init__()
+        self.model, self.wrong = model, False
+        self.parts: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= self.model.most:
+            self.clear()
+        model, whole, found, begin = self.model, SPACE + text, [], 0
+        for run in _RUN.finditer(whole):
+            k = run.end()
+            if k == len(whole) or whole[k - 1 : k + 1] not in model.inside:
+                found.append(self.part(whole[begin:k]))
+                begin = k
+        ids = self[text] = b"".join(found)
+        return ids
+
+    def part(self, text: str) -> bytes:
+        """Ids of characters that no piece goes past at either end."""
+        ids = self.parts.get(text)
+        if ids is None:
+            if len(self.parts) >= self.model.most:
+                self.parts.clear()
+            ids = self.parts[text] = self.model.number(self.model.path(text))
+            if self.model.spelled(array("i", ids)) != text.encode():
+                self.wrong = True
+        return ids
+
 
 def words_of(text: str, offset: int = 0) -> Iterator[tuple[int, int]]:
     """Places from ``offset`` on, cut before each run of spaces: no piece goes on past such a place."""
@@ -146,11 +275,6 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def normalised(text: str) -> str:
-    """Spaces become the vocabulary's, with one put first; an empty text stays empty."""
-    return SPACE + text.replace(" ", SPACE) if text else ""
-
-
 def safe_places(text: str, begin: int, end: int) -> tuple[int, int] | None:
     """First and last place in ``begin`` to ``end`` (inclusive, past begin) that no piece crosses."""
     found = [at for at in _spaces(text, begin, end) if at > begin and text[at - 1] != SPACE]
@@ -202,47 +326,81 @@ def _exits(model: Pieces, text: str, entry: str, at: int, cut: int, final: bool)
     return {(k - cut, last[k]): 0 for k in range(cut, len(text) + 1) if last[k] is not None and (k - len(last[k]) < cut)}
 
 
-def boundary_states(matrices: list[dict[State, dict[State, int]]]) -> list[State]:
-    """The best path's state at every cut, from the chunks' transfer matrices in order."""
-    reached: list[set[State]] = [{(0, NONE)}]
-    for m in matrices:
-        reached.append({x for e in reached[-1] for x in m.get(e, {})})
-    state = next(iter(reached[-1]))
-    states = [state]
-    for m, sources in zip(reversed(matrices), reversed(reached[:-1]), strict=True):
-        state = next(e for e in sources if state in m.get(e, {}))
-        states.append(state)
-    return states[::-1]
+def named(state: State) -> str:
+    """A state as a join key: how far the piece reaches past the cut, then the piece."""
+    return f"{state[0]}|{state[1]}"
+
 
+def state_of(name: str) -> State:
+    over, piece = name.split("|", 1)
+    return int(over), piece
 
-def walk(model: Pieces, before: str, body: str, after: str, entry: State, leave: State) -> tuple[bytes, str]:
-    """A chunk's ids between its boundary states, and the characters that they cover."""
+
+def multiplied(level: DataFrame) -> DataFrame:
+    """Max-plus products of neighbouring blocks: rows (row, n, block, e, x, weight), ``n`` blocks a document, half as many after it.
+
+    The product is associative, so that the order of the rounds doesn't matter.  A last block without a
+    neighbour goes up as it is.
+    """
+    half = F.expr("block div 2")
+    left = level.where((F.col("block") % 2 == 0) & (F.col("block") + 1 < F.col("n"))).select("row", "n", half.alias("block"), "e", F.col("x").alias("mid"), F.col("weight").alias("w0"))
+    right = level.where(F.col("block") % 2 == 1).select("row", half.alias("block"), F.col("e").alias("mid"), "x", F.col("weight").alias("w1"))
+    both = left.join(right, ["row", "block", "mid"]).groupBy("row", "n", "block", "e", "x").agg(F.max(F.col("w0") + F.col("w1")).alias("weight"))
+    alone = level.where((F.col("block") % 2 == 0) & (F.col("block") + 1 >= F.col("n"))).select("row", "n", half.alias("block"), "e", "x", "weight")
+    return both.union(alone).withColumn("n", F.expr("(n + 1) div 2").cast("int"))
+
+
+def handed_down(known: DataFrame, level: DataFrame) -> DataFrame:
+    """Entry and exit states (row, block, e, x) of the blocks of ``level``, given those of the products above it."""
+    above = known.select("row", F.col("block").alias("up"), F.col("e").alias("e_up"), F.col("x").alias("x_up"))
+    sides = level.withColumn("up", F.expr("block div 2"))
+    left = sides.where((F.col("block") % 2 == 0) & (F.col("block") + 1 < F.col("n"))).select("row", "up", F.col("e").alias("e_up"), F.col("x").alias("mid"), F.col("weight").alias("w0"))
+    right = sides.where(F.col("block") % 2 == 1).select("row", "up", F.col("e").alias("mid"), F.col("x").alias("x_up"), F.col("weight").alias("w1"))
+    best = above.join(left, ["row", "up", "e_up"]).join(right, ["row", "up", "x_up", "mid"]).groupBy("row", "up", "e_up", "x_up").agg(F.max_by("mid", F.struct(F.col("w0") + F.col("w1"), "mid")).alias("mid"))
+    two = best.select("row", F.explode(F.array(
+        F.struct((F.col("up") * 2).alias("block"), F.col("e_up").alias("e"), F.col("mid").alias("x")), F.struct((F.col("up") * 2 + 1).alias("block"), F.col("mid").alias("e"), F.col("x_up").alias("x")))).alias("s")).select("row", "s.*")
+    alone = sides.where((F.col("block") % 2 == 0) & (F.col("block") + 1 >= F.col("n"))).select("row", "up", "block").distinct()
+    return two.union(above.join(alone, ["row", "up"]).select("row", "block", F.col("e_up").alias("e"), F.col("x_up").alias("x")))
+
+
+def boundary_states(matrices: DataFrame, most_blocks: int) -> DataFrame:
+    """The best path's state at both ends of every chunk, from the chunks' matrices (row, n, block, e, x, weight)."""
+    levels = [matrices]
+    for _ in range(max(0, most_blocks - 1).bit_length()):
+        levels.append(cut(multiplied(levels[-1])))
+    start = levels[-1].where(F.col("e") == named((0, NONE)))
+    known = start.groupBy("row", "block", "e").agg(F.max_by("x", F.struct("weight", "x")).alias("x"))
+    for level in reversed(levels[:-1]):
+        known = handed_down(known, level)
+    return known
+
+
+def walk(model: Pieces, before: str, body: str, after: str, entry: State, leave: State) -> tuple[bytes, bool]:
+    """A chunk's ids between its boundary states, and whether they spell the characters between these."""
     text, cut_in, cut_out = before + body + after, len(before), len(before) + len(body)
     begin, end = cut_in + entry[0], cut_out + leave[0]
     out = []
     for a, b in words_of(text[:end], begin):
         inside = a == begin and entry[1] != NONE and not (text[a] == SPACE and entry[1][-1] != SPACE)
-        out.append(model.number(model.path(text[:b], entry[1], a)) if inside else model.word(text[a:b]))
-    return b"".join(out), text[begin:end]
+        out.append(model.number(model.path(text[:b], entry[1], a)) if inside or text[a] != SPACE else model.stretches[text[a + 1 : b]])
+    ids = b"".join(out)
+    return ids, model.spelled(np.frombuffer(ids, "<i4").tolist()) == text[begin:end].encode()
 
 
-def _digest(model: Pieces, raw: bytes, covered: str, first: bool) -> tuple[list[int], bool]:
-    ids = np.frombuffer(raw, "<i4").tolist()
-    text = covered.replace(SPACE, " ")
-    back = model.decode(ids) if first else model.decode([model.ids[SPACE], *ids])
-    return ids, back == (text[1:] if first and text.startswith(" ") else text)
+ENCODED = "doc_id long, row long, chunk int, n_chars long, n_ids long, ids_crc32 long, ids array<int>, round_trip boolean"
+_NAMES = [x.split()[0] for x in ENCODED.split(", ")]
 
 
-ENCODED = "doc_id long, row long, chunk int, n_chars long, ids array<int>, round_trip boolean"
+def _rows(batch: pa.RecordBatch, chunk: pa.Array, encoded: list[tuple[bytes, bool]]) -> pa.RecordBatch:
+    sizes = np.array([len(x) // 4 for x, _ in encoded], np.int64)
+    flat = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(x for x, _ in encoded))])
+    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+    crc = pa.array([zlib.crc32(x) for x, _ in encoded], pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), chunk, batch.column("n_chars"), pa.array(sizes), crc, ids, pa.array([ok for _, ok in encoded], pa.bool_())], _NAMES)
 
 
-def encode_documents(docs: DataFrame, model_path: str, chunk_chars: int = 16_384) -> DataFrame:
-    """Rows of ``docs`` as chunk rows: doc_id, row, chunk, n_chars, ids and round_trip (the ids decode to the chunk's text).
-
-    A text of ``chunk_chars`` code points or fewer is one chunk; the ids of a document's chunks in order
-    are its encoding.  Null and empty texts have one chunk without ids.  Spaces in a text and the
-    vocabulary's own space letter encode alike, as the vocabulary has it.  ``row`` tells repeated rows apart.
-    """
+def _encoded(docs: DataFrame, model_path: str, chunk_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of texts of one chunk, and rows of the other texts' chunks."""
     text = F.coalesce("text", F.lit(""))
     norm = F.when(F.length(text) > 0, F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))).otherwise(F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"), F.length(text).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row"))
@@ -253,63 +411,56 @@ def encode_documents(docs: DataFrame, model_path: str, chunk_chars: int = 16_384
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, good = [], []
-                for t in part.column("norm").to_pylist():
-                    i, ok = _digest(model, b"".join([model.word(t[a:b]) for a, b in words_of(t)]), t, True)
-                    ids.append(i)
-                    good.append(ok)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array([0] * len(ids), pa.int32()), part.column("n_chars"), pa.array(ids, pa.list_(pa.int32())), pa.array(good, pa.bool_())], ["doc_id", "row", "chunk", "n_chars", "ids", "round_trip"])
-
-    reach = F.lit(pieces(model_path).longest)
-    start = F.col("chunk") * chunk_chars
-    chunks = cut(
-        giant.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.length("norm") - 1) / chunk_chars).cast("int"))))
-        .select("doc_id", "row", "n_chars", "chunk",
-                F.when(F.col("chunk") == 0, F.lit("")).otherwise(F.col("norm").substr(start + 1 - reach, reach)).alias("before"),
-                F.col("norm").substr(start + 1, F.lit(chunk_chars)).alias("body"),
-                F.col("norm").substr(start + 1 + chunk_chars, reach).alias("after")))
+                encoded = [model.encode(t) for t in part.column("norm").to_pylist()]
+                yield _rows(part, pa.array(np.zeros(part.num_rows, np.int32)), encoded)
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = pieces(model_path).longest
+        for batch in batches:
+            for r in range(batch.num_rows):
+                doc, t, n, row = (batch.column(c)[r].as_py() for c in ("doc_id", "norm", "n_chars", "row"))
+                starts = range(0, len(t), chunk_chars)
+                for some in (starts[i : i + 64] for i in range(0, len(starts), 64)):
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": pa.array([doc] * len(some), pa.int64()), "row": pa.array([row] * len(some), pa.int64()), "n_chars": pa.array([n] * len(some), pa.int64()), "n": pa.array([len(starts)] * len(some), pa.int32()),
+                        "chunk": pa.array([s // chunk_chars for s in some], pa.int32()), "before": [t[max(0, s - reach) : s] for s in some], "body": [t[s : s + chunk_chars] for s in some], "after": [t[s + chunk_chars : s + chunk_chars + reach] for s in some]})
+
+    chunks = cut(giant.select("doc_id", "norm", "n_chars", "row").mapInArrow(chunked, "doc_id long, row long, n_chars long, n int, chunk int, before string, body string, after string"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         for batch in batches:
-            for r in batch.to_pylist():
-                m = transfer(model, r["before"], r["body"], r["after"])
-                flat = [{"e": e[0], "ep": e[1], "x": x[0], "xp": x[1]} for e, row in m.items() for x in row]
-                yield pa.RecordBatch.from_pylist([{"row": r["row"], "chunk": r["chunk"], "entries": flat}], schema=pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("entries", pa.list_(pa.struct([("e", pa.int32()), ("ep", pa.string()), ("x", pa.int32()), ("xp", pa.string())])))]))
-
-    def chained(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        steps: list[dict[State, dict[State, int]]] = []
-        for r in rows:
-            m: dict[State, dict[State, int]] = {}
-            for x in r["entries"]:
-                m.setdefault((x["e"], x["ep"]), {})[x["x"], x["xp"]] = 0
-            steps.append(m)
-        states = boundary_states(steps)
-        return pa.table({
-            "row": pa.array([r["row"] for r in rows], pa.int64()), "chunk": pa.array([r["chunk"] for r in rows], pa.int32()),
-            "over_in": pa.array([s[0] for s in states[:-1]], pa.int32()), "piece_in": pa.array([s[1] for s in states[:-1]], pa.string()),
-            "over_out": pa.array([s[0] for s in states[1:]], pa.int32()), "piece_out": pa.array([s[1] for s in states[1:]], pa.string()),
-        })
-
-    states = (
-        chunks.select("row", "chunk", "before", "body", "after").mapInArrow(matrices, "row long, chunk int, entries array<struct<e:int,ep:string,x:int,xp:string>>")
-        .groupBy("row").applyInArrow(chained, "row long, chunk int, over_in int, piece_in string, over_out int, piece_out string")
-    )
+            for r in range(batch.num_rows):
+                row, n, chunk, *parts = (batch.column(c)[r].as_py() for c in ("row", "n", "chunk", "before", "body", "after"))
+                flat = [(named(e), named(x), w) for e, exits in transfer(model, *parts).items() for x, w in exits.items()]
+                size = len(flat)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row] * size, pa.int64()), pa.array([n] * size, pa.int32()), pa.array([chunk] * size, pa.int32()),
+                    pa.array([f[0] for f in flat], pa.string()), pa.array([f[1] for f in flat], pa.string()), pa.array([f[2] for f in flat], pa.int64())], ["row", "n", "block", "e", "x", "weight"])
+
+    first = cut(chunks.select("row", "n", "chunk", "before", "body", "after").mapInArrow(matrices, "row long, n int, block int, e string, x string, weight long"))
+    states = boundary_states(first, first.agg(F.max("n")).first()[0] or 0).withColumnRenamed("block", "chunk")
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         for batch in batches:
-            ids, good = [], []
-            for r in batch.to_pylist():
-                found, covered = walk(model, r["before"], r["body"], r["after"], (r["over_in"], r["piece_in"]), (r["over_out"], r["piece_out"]))
-                i, ok = _digest(model, found, covered, r["chunk"] == 0)
-                ids.append(i)
-                good.append(ok)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "chunk", "n_chars")), pa.array(ids, pa.list_(pa.int32())), pa.array(good, pa.bool_())], ["doc_id", "row", "chunk", "n_chars", "ids", "round_trip"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = zip(*(part.column(c).to_pylist() for c in ("before", "body", "after", "e", "x")), strict=True)
+                yield _rows(part, part.column("chunk"), [walk(model, before, body, after, state_of(e), state_of(x)) for before, body, after, e, x in texts])
 
-    long_ones = chunks.join(states, ["row", "chunk"]).mapInArrow(walked, ENCODED)
-    return small.mapInArrow(whole, ENCODED).union(long_ones)
+    return small.mapInArrow(whole, ENCODED), chunks.join(states, ["row", "chunk"]).mapInArrow(walked, ENCODED)
+
+
+def encode_documents(docs: DataFrame, model_path: str, chunk_chars: int = 16_384) -> DataFrame:
+    """Rows of ``docs`` as chunk rows: doc_id, row, chunk, n_chars, n_ids, ids_crc32, ids and round_trip (the ids spell the chunk's text).
+
+    A text of fewer than ``chunk_chars`` code points is one chunk; the ids of a document's chunks in order
+    are its encoding.  Null and empty texts have one chunk without ids.  Spaces in a text and the
+    vocabulary's own space letter encode alike, as the vocabulary has it.  ``row`` tells repeated rows apart.
+    """
+    small, long_ones = _encoded(docs, model_path, chunk_chars)
+    return small.union(long_ones)
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -327,17 +478,10 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "row", "chunk", "ids").mapInArrow(decoded, "doc_id long, row long, chunk int, text string")
 
 
-def encoding_report(docs: DataFrame, model_path: str) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_chars, n_ids, crc32 of each chunk's ids in order, and whether all decode to the text."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            crc = [zlib.crc32(np.asarray(x.values, "<u4").tobytes()) for x in lists]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "chunk", "n_chars")), pa.array([len(x) for x in lists], pa.int64()), pa.array(crc, pa.int64()), batch.column("round_trip")], ["doc_id", "row", "chunk", "n_chars", "n", "crc", "round_trip"])
-
-    rows = encode_documents(docs, model_path).mapInArrow(summed, "doc_id long, row long, chunk int, n_chars long, n long, crc long, round_trip boolean")
-    one = rows.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.sum("n").alias("n_ids"),
-        F.transform(F.sort_array(F.collect_list(F.struct("chunk", "crc"))), lambda x: x["crc"]).alias("chunk_crc32"), F.bool_and("round_trip").alias("round_trip"))
-    return one.drop("row")
+def encoding_report(docs: DataFrame, model_path: str, chunk_chars: int = 16_384) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_chars, n_ids, crc32 of each chunk's ids in order, and whether all spell the text."""
+    small, long_ones = _encoded(docs, model_path, chunk_chars)
+    joined = long_ones.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.sum("n_ids").alias("n_ids"),
+        F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids_crc32"))), lambda x: x["ids_crc32"]).alias("chunk_crc32"), F.bool_and("round_trip").alias("round_trip"))
+    return small.select("doc_id", "n_chars", "n_ids", F.array("ids_crc32").alias("chunk_crc32"), "round_trip").union(joined.drop("row"))
