@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewalk.llm.common import cut
+from gradewalk.llm.words import Table
 
 SPACE = "▁"
 #: A piece that stands before the text: nothing precedes.
@@ -40,7 +41,7 @@ _STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
 class Pieces:
     """A byte-pair vocabulary with byte fallback, read from a model file; caches hold ``most`` entries."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -61,11 +62,32 @@ class Pieces:
             node[NONE] = piece
         #: neighbouring characters within pieces: a text can be cut between all others
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self._tree_arrays()
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.stretches = Stretches(self)
 
+    def _tree_arrays(self) -> None:
+        """The tree's edges (node and character to node) in order, and the piece that ends at each node (-1: none)."""
+        edges, ends, todo = [], [-1], [(0, self.tree)]
+        while todo:
+            at, node = todo.pop()
+            for c, below in node.items():
+                if c == NONE:
+                    ends[at] = self.ids[below]
+                else:
+                    edges.append((at << 21 | ord(c), len(ends)))
+                    todo.append((len(ends), below))
+                    ends.append(-1)
+        self.edges = Table()
+        self.edges.add(*(np.array(x, np.int64) for x in zip(*edges, strict=True)))
+        self.ends_here = np.array(ends, np.int64)
+        self.sizes = np.zeros(max(self.ids.values()) + 1, np.int64)
+        self.sizes[list(self.ids.values())] = [len(p) for p in self.ids]
+        self.by_id = {i: p for p, i in self.ids.items()}
+        self.fitting = Table()
+
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The vocabulary's rule itself, for short texts: merge the best-scored pair, leftmost first, until none is left.
 
@@ -152,16 +174,13 @@ class Pieces:
         node, found = self.tree.get(text[at]), []
         if node is None:
             return [text[at]]  # a character outside the vocabulary stands alone
-        for c in text[at + 1 :]:
+        for k in range(at + 1, len(text) + 1):
             piece = node.get(NONE)
             if piece is not None:
                 found.append(piece)
-            node = node.get(c)
+            node = node.get(text[k]) if k < len(text) else None
             if node is None:
-                return found
-        piece = node.get(NONE)
-        if piece is not None:
-            found.append(piece)
+                break
         return found
 
     def path(self, text: str, entry: str = NONE, offset: int = 0) -> list[str]:
@@ -194,6 +213,69 @@ class Pieces:
                 before = out[-1] if out else entry
         return out
 
+    def fit_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fits`` for arrays of ids (-2: nothing precedes)."""
+        key = (left + 2) << 21 | right
+        good = self.fitting.find(key)
+        if (good < 0).any():
+            fresh = np.unique(key[good < 0])
+            if self.fitting.n > 4 * self.most:
+                self.fitting = Table()
+                fresh = np.unique(key)
+            self.fitting.add(fresh, np.array([self.fits(self.by_id.get((k >> 21) - 2, NONE), self.by_id[k & (1 << 21) - 1]) for k in fresh.tolist()], np.int64))
+            good = self.fitting.find(key)
+        return good == 1
+
+    def paths(self, texts: list[str]) -> list[bytes]:
+        """Ids of the best path of each text, for many short texts at once; all characters must be in the vocabulary.
+
+        All pieces that each text holds are found by going down the tree from every place at once; then
+        the places are gone through from left to right, those of all texts in step.
+        """
+        sizes = np.array(list(map(len, texts)), np.int64)
+        stops = np.cumsum(sizes)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        begin, length = np.arange(len(chars)), 1
+        found = []
+        node = self.edges.find(chars)
+        while len(begin):
+            begin, node = begin[node >= 0], node[node >= 0]
+            piece = self.ends_here[node]
+            some = np.flatnonzero(piece >= 0)
+            found.append((begin[some], np.full(len(some), length), piece[some]))
+            on = np.flatnonzero(begin + length < stops[text[begin]])
+            begin = begin[on]
+            node = self.edges.find(node[on] << 21 | chars[begin + length])
+            length += 1
+        begin, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        # each text has one border more than characters
+        place_in = begin - (stops - sizes)[text[begin]]
+        order = np.argsort(place_in, kind="stable")
+        begin, length, piece, place_in = begin[order] + text[begin[order]], length[order], piece[order], place_in[order]
+        last = np.full(len(chars) + len(texts), -1, np.int64)
+        first = stops - sizes + np.arange(len(texts))
+        last[first] = -2
+        edges = np.append(np.flatnonzero(np.diff(place_in, prepend=-1)), len(place_in))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            before = last[begin[a:b]]
+            some = np.flatnonzero(before != -1) + a
+            good = some[self.fit_all(last[begin[some]], piece[some])]
+            last[begin[good] + length[good]] = piece[good]
+        # backtrace, all texts in step
+        sized = self.sizes
+        at, row, steps = first + sizes, np.arange(len(texts)), []
+        while len(row):
+            on = np.flatnonzero(at > first[row])
+            at, row = at[on], row[on]
+            steps.append((row, at, last[at]))
+            at = at - sized[last[at]]
+        row, at, ids = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.argsort(at, kind="stable")  # borders rise from text to text
+        raw = ids[order].astype("<i4").tobytes()
+        cuts = 4 * np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
+        return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
     def number(self, pieces: list[str]) -> bytes:
         """Ids; a character outside the vocabulary becomes the ids of its bytes."""
         out: list[int] = []
@@ -213,11 +295,12 @@ class Pieces:
         text = self.spelled(ids).decode(errors="replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
-    def encode(self, text: str) -> tuple[bytes, bool]:
-        """Ids of a normalised text that begins with a space, and whether they spell it."""
-        words = text.split(SPACE)[1:] if SPACE * 2 not in text else [x[1:] for x in _STRETCH.findall(text)]
-        ids = b"".join(map(self.stretches.__getitem__, words))
-        return ids, not self.stretches.wrong or self.spelled(array("i", ids)) == text.encode()
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids of normalised texts, each of which begins with a space or is empty, and whether the ids spell them."""
+        words = [t.split(SPACE)[1:] if SPACE * 2 not in t else [x[1:] for x in _STRETCH.findall(t)] for t in texts]
+        self.stretches.learn(set().union(*words))
+        ids = [b"".join(map(self.stretches.__getitem__, w)) for w in words]
+        return [(i, not self.stretches.wrong or self.spelled(array("i", i)) == t.encode()) for i, t in zip(ids, texts, strict=True)]
 
 
 class Stretches(dict):
@@ -229,26 +312,43 @@ class Stretches(dict):
         self.parts: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= self.model.most:
-            self.clear()
-        model, whole, found, begin = self.model, SPACE + text, [], 0
-        for run in _RUN.finditer(whole):
-            k = run.end()
-            if k == len(whole) or whole[k - 1 : k + 1] not in model.inside:
-                found.append(self.part(whole[begin:k]))
-                begin = k
-        ids = self[text] = b"".join(found)
-        return ids
+        self.learn({text})
+        return self[text]
 
-    def part(self, text: str) -> bytes:
-        """Ids of characters that no piece goes past at either end."""
-        ids = self.parts.get(text)
-        if ids is None:
-            if len(self.parts) >= self.model.most:
-                self.parts.clear()
-            ids = self.parts[text] = self.model.number(self.model.path(text))
-            if self.model.spelled(array("i", ids)) != text.encode():
-                self.wrong = True
+    def learn(self, texts: set[str]) -> None:
+        """Cuts stretches where no piece goes on, and encodes the parts that are new together."""
+        if len(self) > self.model.most:
+            self.clear()
+        if len(self.parts) > self.model.most:
+            self.parts.clear()
+        model, parts_of = self.model, {}
+        texts = texts.difference(self)
+        alone = [t for t in texts if t.isalnum()]
+        for text in texts.difference(alone):
+            whole, begin, parts = SPACE + text, 0, []
+            for run in _RUN.finditer(whole):
+                k = run.end()
+                if k == len(whole) or whole[k - 1 : k + 1] not in model.inside:
+                    parts.append(whole[begin:k])
+                    begin = k
+            parts_of[text] = parts
+        fresh = list(set().union(*parts_of.values()).difference(self.parts))
+        self.update(zip(alone, self.encoded([SPACE + t for t in alone]), strict=True))
+        self.parts.update(zip(fresh, self.encoded(fresh), strict=True))
+        known = self.parts.__getitem__
+        for text, parts in parts_of.items():
+            self[text] = b"".join(map(known, parts))
+
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        model = self.model
+        strange = set("".join(parts)).difference(model.tree)
+        odd = {p for p in parts if len(p) > 64 or not strange.isdisjoint(p)} if strange or max(map(len, parts), default=0) > 64 else set()
+        plain = [p for p in parts if p not in odd] if odd else parts
+        ids = model.paths(plain) if plain else []
+        if odd:
+            found = iter(ids)
+            ids = [model.number(model.path(p)) if p in odd else next(found) for p in parts]
+        self.wrong = self.wrong or model.spelled(array("i", b"".join(ids))) != "".join(parts).encode()
         return ids
 
 
@@ -411,8 +511,7 @@ def _encoded(docs: DataFrame, model_path: str, chunk_chars: int) -> tuple[DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                encoded = [model.encode(t) for t in part.column("norm").to_pylist()]
-                yield _rows(part, pa.array(np.zeros(part.num_rows, np.int32)), encoded)
+                yield _rows(part, pa.array(np.zeros(part.num_rows, np.int32)), model.encode(part.column("norm").to_pylist()))
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = pieces(model_path).longest

@@ -76,15 +76,15 @@ def find_words(data: np.ndarray, first: np.ndarray, inside: np.ndarray = ALNUM)
     return Words(data, first, start, end, np.searchsorted(first, start, "right") - 1, sums)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, lower: str | None = "utf8", most_bytes: int = 2_000_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Rows of a batch in slices of about ``most_bytes`` (a longer text alone), as (rows, bytes, offsets).
+def text_chunks(texts: pa.Array, lower: str | None = "utf8", most_bytes: int = 2_000_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Texts in slices of about ``most_bytes`` (a longer text alone), as (rows, bytes, offsets).
 
     ``lower``: "utf8" lower-cases all letters, "ascii" A to Z, None nothing.  Null texts are empty.
     """
-    texts = pc.fill_null(batch.column(column), "")
+    texts = pc.fill_null(texts, "")
     sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(texts)))])
     at = 0
-    while at < batch.num_rows:
+    while at < len(texts):
         to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most_bytes, "right")) - 1)
         part = texts.slice(at, to - at)
         if lower:
@@ -111,3 +111,52 @@ def place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(len(keys), int), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return at, table[at] == keys
+
+
+def text_of(batch: pa.RecordBatch, row: str | None) -> pa.Array:
+    """The texts of a batch: its column ``text``, or that field of the struct column ``row``."""
+    return pc.struct_field(batch.column(row), "text") if row else batch.column("text")
+
+
+class Table:
+    """Numbers (0 and up) by keys (0 and up), looked up for whole arrays: an open hash table of two arrays."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's number, -1 where there is none."""
+        slot = self._slots(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], -1)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            held = self.keys[slot]
+            same = held == keys[open_]
+            out[open_[same]] = self.values[slot[same]]
+            on = ~same & (held >= 0)
+            open_, slot = open_[on], slot[on]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds different keys that aren't in the table yet."""
+        if 3 * (self.n + len(keys)) > len(self.keys):
+            full = self.keys >= 0
+            keys, values = np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], values])
+            self.__init__(max(12, int(4 * len(keys)).bit_length()))
+        self.n += len(keys)
+        slot = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            on = np.ones(len(keys), bool)
+            on[put] = False
+            keys, values, slot = keys[on], values[on], (slot[on] + 1) & (len(self.keys) - 1)
