@@ -6,6 +6,9 @@ owns a Poisson process whose points come in rising order, each with a signature
 weight axis; a point counts if its place lies below the shingle's weight, so that heavier shingles share
 all points of lighter ones.  A slot keeps the smallest point, and two texts agree in a slot with the
 probability of their weighted Jaccard index.  Bands of slots propose links, whole multisets verify them.
+
+A multiset is verified as the set of its (shingle, occurrence) pairs: two texts share as many of these as
+their multisets overlap.  Each pair is kept as six bytes of its hash.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewalk.llm.common import components, cut
+from gradewalk.llm.common import components, cut, row_key
 from gradewalk.llm.words import Words, find_words, mix, text_chunks
 
 SHINGLE, SLOTS, BANDS = 5, 160, 32
+ELEMENT = 6  # bytes
 SIMILARITY = 0.8
 
 
@@ -83,8 +88,9 @@ def bag_min_hash(text: np.ndarray, key: np.ndarray, times: np.ndarray, n_texts:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's multiset id (null without a word or an id), its size, the keys of its bands, and the marks that signatures are compared by."""
     for batch in batches:
-        for rows, data, first in text_chunks(batch, "text"):
+        for rows, data, first in text_chunks(batch.column("text")):
             w = find_words(data, first)
             text, key, times = shingles(w)
             bags = np.zeros(w.n_docs, np.uint64)
@@ -98,85 +104,123 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # 16 bits of every slot, then 32 bits of every band
             marks = np.hstack([whole.astype(np.uint16), band.astype(np.uint32).view(np.uint16)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(w.n_docs + 1, dtype=np.int32) * BANDS), pa.array(band.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, rows.stop - rows.start), pa.array(sizes), pa.array(mix(bags + sizes.astype(np.uint64)).view(np.int64)), lists, pa.array([m.tobytes() for m in marks], pa.binary())], ["doc_id", "size", "bag", "bands", "marks"])
+            part = batch.slice(rows.start, rows.stop - rows.start)
+            absent = (sizes == 0) | np.asarray(part.column("doc_id").is_null())
+            node = pa.array(mix(bags + sizes.astype(np.uint64)).view(np.int64), mask=absent)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key_hash"), node, pa.array(sizes), lists, pa.array([m.tobytes() for m in marks], pa.binary())], ["doc_id", "key_hash", "node", "size", "bands", "marks"])
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's (shingle, occurrence) pairs as sorted six-byte hashes."""
+    for batch in batches:
+        for rows, data, first in text_chunks(batch.column("text")):
+            text, key, times = shingles(find_words(data, first))
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            h = mix(np.repeat(key, times) + nth.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - 8 * ELEMENT)
+            owner = np.repeat(text, times)
+            h = h[np.lexsort((h, owner))]
+            raw = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ELEMENT]).tobytes()
+            edges = ELEMENT * np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first) - 1))])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(rows.start, rows.stop - rows.start), pa.array([raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["node", "elements"])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all rows in a row, and where each row's begin, with the end at last."""
+    sizes = np.asarray(pc.binary_length(column)) // ELEMENT
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, ELEMENT)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :ELEMENT] = raw
+    return wide.reshape(-1).view("<u8"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted Jaccard index of each row's two texts."""
+    """Weighted Jaccard index of each row's two multisets."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            sides = []
-            for column in ("text_a", "text_b"):
-                found, base = [], 0
-                for _, data, first in text_chunks(part, column, most_bytes=1 << 40):
-                    text, key, times = shingles(find_words(data, first))
-                    found.append((text + base, key, times))
-                    base += len(first) - 1
-                sides.append([np.concatenate(x) for x in zip(*found, strict=True)])
-            text, key, times = (np.concatenate([a, b]) for a, b in zip(*sides, strict=True))
-            order = np.lexsort((key, text))
-            text, key, times = text[order], key[order], times[order]
-            same = np.flatnonzero((text[1:] == text[:-1]) & (key[1:] == key[:-1]))
-            both = np.bincount(text[same], np.minimum(times[same], times[same + 1]), part.num_rows)
-            total = np.bincount(text, times, part.num_rows)
-            likeness = both / np.maximum(total - both, 1)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(likeness)], ["a", "b", "likeness"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch], least: float, partners: int | None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of buckets whose rows follow each other: signatures that agree in a share ``least`` of slots.
-
-    A pair comes from the first band that it shares alone.  ``partners``: each node's best ones in the bucket, None for all.
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            n, pair, keys, total = part.num_rows, [], [], 0
+            for column in ("elements_a", "elements_b"):
+                h, edges = _unpacked(part.column(column))
+                pair.append(np.repeat(np.arange(n), np.diff(edges)))
+                keys.append(h)
+                total = total + np.diff(edges)
+            pair, keys = np.concatenate(pair), np.concatenate(keys)
+            order = np.lexsort((keys, pair))
+            pair, keys = pair[order], keys[order]
+            both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (keys[1:] == keys[:-1])], minlength=n)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(both / np.maximum(total - both, 1))], ["a", "b", "likeness"])
+
+
+def cell_links(side: np.ndarray, root: np.ndarray, marks: np.ndarray, bands: np.ndarray, band: int, h: np.ndarray, edges: np.ndarray, least: float, similarity: float) -> list[tuple[int, int]]:
+    """Links (row, row) that join what the whole multisets link among a cell's rows of different classes.
+
+    ``side``: 1 for rows that are compared with those of side 2, 3 for rows compared among each other.
+    A pair whose signatures agree in less than ``least`` of the slots, that shares an earlier band or whose
+    rows are joined already is passed over; every other one is verified.
     """
-    names = ["band", "key", "i", "j", "own", "node", "root"]
-    held: tuple[list[np.ndarray], np.ndarray] | None = None
-
-    def pairs(columns: list[np.ndarray], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        band, key, i, j, own, node, root = columns
-        new = np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])[: len(node)]
-        edges = np.append(np.flatnonzero(new), len(node))
-        at = 0
-        while at < len(edges) - 1:  # some thousand rows of whole buckets at a time
-            to = max(at + 1, int(np.searchsorted(edges, edges[at] + 4096, "right")) - 1)
-            rows = slice(edges[at], edges[to])
-            yield best(*(x[rows] for x in (np.cumsum(new), band, i, j, own, node, root)), marks[rows, :SLOTS], np.ascontiguousarray(marks[rows, SLOTS:]).view(np.uint32))
-            at = to
-
-    def best(run, band, i, j, own, node, root, marks, bands) -> pa.RecordBatch:
-        found, lag = [], 1
-        while lag < len(node) and (at := np.flatnonzero(run[lag:] == run[:-lag])).size:
-            at = at[((i[at] == j[at]) | (own[at] != own[at + lag])) & (root[at] != root[at + lag])]
-            for part in np.array_split(at, max(1, len(at) // 20_000)):
-                agree = (marks[part] == marks[part + lag]).mean(axis=1)
-                good = np.flatnonzero(agree >= least)
-                good = good[(bands[part[good]] == bands[part[good] + lag]).argmax(axis=1) == band[part[good]]]
-                found.append((part[good], part[good] + lag, agree[good]))
-            lag += 1
-        x, y, agree = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        if partners is not None:
-            x, y, agree = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(agree, 2)
-            order = np.lexsort((-agree, x))
-            x, y = x[order], y[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            x, y = x[rank < partners], y[rank < partners]
-        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    root, found = root.copy(), []
+    right = np.flatnonzero(side & 2)
+    local = hit = None
+    for x in np.flatnonzero(side & 1).tolist():
+        y = right[right > x] if side[x] == 3 else right
+        y = y[root[y] != root[x]]
+        if not len(y):
+            continue
+        y = y[(marks[y] == marks[x]).mean(axis=1) >= least]
+        y = y[(bands[y] == bands[x]).argmax(axis=1) == band] if len(y) else y
+        if not len(y):
+            continue
+        if local is None:
+            names, local = np.unique(h, return_inverse=True)
+            hit = np.zeros(len(names), bool)
+        mine = local[edges[x] : edges[x + 1]]
+        hit[mine] = True
+        shared = np.array([np.count_nonzero(hit[local[edges[k] : edges[k + 1]]]) for k in y.tolist()])
+        hit[mine] = False
+        either = len(mine) + edges[y + 1] - edges[y] - shared
+        for k in y[shared >= similarity * either].tolist():
+            if root[k] != root[x]:
+                root[root == root[k]] = root[x]
+                found.append((x, k))
+    return found
+
+
+_CELL = ["band", "key", "kind", "i", "j"]
+
+
+def _linked(batches: Iterator[pa.RecordBatch], least: float, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of the cells whose rows follow each other; a cell may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+
+    def links(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint16).reshape(rows.num_rows, -1)
+        node = rows.column("node").to_numpy()
+        found = cell_links(rows.column("side").to_numpy(), rows.column("root").to_numpy(), marks[:, :SLOTS], np.ascontiguousarray(marks[:, SLOTS:]).view(np.uint32), rows.column("band")[0].as_py(), *_unpacked(rows.column("elements")), least, similarity)
+        return [(int(node[x]), int(node[y])) for x, y in found]
+
+    def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        columns = [np.asarray(batch.column(n)) for n in names]
-        marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-        if held is not None:
-            columns, marks = [np.concatenate(x) for x in zip(held[0], columns, strict=True)], np.concatenate([held[1], marks])
-        if not len(marks):
+        if not batch.num_rows:
             continue
-        # the last bucket may go on in the next batch
-        last = np.flatnonzero(~np.all([c == c[-1] for c in columns[:4]], axis=0))
-        stop = last[-1] + 1 if len(last) else 0
-        yield from pairs([c[:stop] for c in columns], marks[:stop])
-        held = [c[stop:] for c in columns], marks[stop:]
-    if held is not None:
-        yield from pairs(*held)
+        cells = np.stack([np.asarray(batch.column(c)) for c in _CELL])
+        edges = np.concatenate([[0], np.flatnonzero((cells[:, 1:] != cells[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+        if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in _CELL):
+            yield made(links(whole()))
+            held = []
+        found = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                found.extend(links(whole() if len(held) > 1 else held[0]))
+                held = []
+        yield made(found)
+    if held:
+        yield made(links(whole()))
 
 
 def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -186,43 +230,56 @@ def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
 
-def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their weighted Jaccard index, from whole texts (node, text)."""
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a long, b long, likeness double"))
+def _judged(pairs: DataFrame, elements: DataFrame, together: int = 1024) -> DataFrame:
+    """Pairs (a, b) with their weighted Jaccard index.  An ``a`` of many pairs has a copy for each ``together`` of them."""
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / together).cast("int").alias("copies"))
+    dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
+    one = elements.select(F.col("node").alias("a"), F.col("elements").alias("elements_a")).join(copies, "a").select("a", "elements_a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    rows = dealt.join(elements.select(F.col("node").alias("b"), F.col("elements").alias("elements_b")), "b").join(one, ["a", "copy"])
+    return cut(rows.select("a", "b", "elements_a", "elements_b").mapInArrow(_overlap, "a long, b long, likeness double"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = 1024, partners: int = 16) -> DataFrame:
-    """One row per row of ``docs``: doc_id, ``component_id`` (smallest doc_id of its class) and ``kept`` (doc_id = component_id).
+def _cells(open_: DataFrame, block: int, most_bytes: int) -> DataFrame:
+    """Deals the rows of buckets (band, key, node, root, size) to cells; a bucket of one class has none.
 
-    Texts are compared as multisets of five lower-cased words in a row.  Texts without a word, and null
-    texts, link with nothing and are kept.  Rows with a null id have a null class and are kept.  Rows of
-    the same id and text are one document; each stays or goes with its id.
-
-    Texts with equal multisets are one node.  The least node of a bucket is its hub.  First each node is
-    verified against the hub that it shares most buckets with, then against its other hubs, unless both
-    are in one class already or their signatures differ too much; so a group of n copies makes about n
-    pairs.  What is still in different classes within a bucket is compared by signatures, block by block
-    within the task.  Each node's ``partners`` most alike ones of other classes in a bucket are verified
-    first, since one link to a class is enough; classes are joined, and then all alike pairs that are
-    still of different classes are verified.  Buckets and partners have no limit.
+    A bucket's greatest class isn't compared within itself: blocks of the other rows meet its blocks and
+    each other.  A block has about ``block`` rows, fewer if these have long texts.
     """
+    classes = open_.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    greatest = F.struct("n", "root")
+    mixed = classes.groupBy("band", "key").agg(
+        F.max(greatest).alias("main"), F.max_by("size", greatest).alias("main_size"), F.sum("n").alias("n"), F.sum("size").alias("size")).where(F.col("n") > F.col("main.n"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / block, size * ELEMENT / most_bytes)).cast("int")
+    mixed = mixed.select("band", "key", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main_size")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main_size")).alias("rests"))
+    rows = open_.join(mixed, ["band", "key"]).withColumn("inside", F.col("root") == F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    own, upto = F.col("own"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    places = F.when(F.col("inside"), F.transform(upto("rests"), lambda k: cell(0, k, own, F.lit(2)))).otherwise(F.concat(
+        F.transform(upto("mains"), lambda k: cell(0, own, k, F.lit(1))),
+        F.transform(upto("rests"), lambda k: cell(1, F.least(own, k), F.greatest(own, k), F.when(own == k, 3).when(own < k, 1).otherwise(2)))))
+    return rows.select("band", "key", "node", "root", F.explode(places).alias("c")).select("band", "key", "c.*", "node", "root")
+
+
+def classified(docs: DataFrame, similarity: float = SIMILARITY, block: int = 1024, most_bytes: int = 8_000_000) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key_hash (of the text, see ``row_key``), component_id and kept; see ``near_duplicates``."""
     # four standard deviations of the estimate below the similarity
     least = similarity - 4 * (similarity * (1 - similarity) / SLOTS) ** 0.5
-    signed = cut(docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signed, "doc_id long, size long, bag long, bands array<long>, marks binary").where("size > 0"))
-    nodes = signed.groupBy("bag", "size").agg(F.min("doc_id").alias("node"))
-    members = cut(signed.select("doc_id", "bag", "size").join(nodes, ["bag", "size"]).select("doc_id", "bag", "size", "node"))
-    single = cut(signed.join(members.where("doc_id = node").select("doc_id", "bag", "size").distinct(), ["doc_id", "bag", "size"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands", "marks"))
-    banded = single.select("node", F.posexplode("bands").alias("band", "key"))
+    texts = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).drop("key_id")
+    signed = cut(texts.mapInArrow(_signed, "doc_id long, key_hash long, node long, size long, bands array<long>, marks binary"))
+    some = signed.where(F.col("node").isNotNull())
+    nodes = cut(some.groupBy("node").agg(F.min(F.struct("doc_id", "key_hash")).alias("first")))
+    single = cut(some.select("node", "size", "bands", "marks").dropDuplicates(["node"]))
+    banded = single.select("node", "size", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = cut(banded.join(hubs, ["band", "key"]).select("band", "key", "node", "hub"))
-    crowd = buckets.select("node").distinct()
-    texts = cut(docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(crowd, "node").groupBy("node").agg(F.min("text").alias("text")))
+    buckets = cut(banded.join(hubs, ["band", "key"]).select("band", "key", "node", "hub", "size"))
+    crowd = buckets.select("node").distinct().join(nodes, "node").select("node", "first.*")
+    elements = cut(texts.join(crowd, ["doc_id", "key_hash"]).groupBy("node").agg(F.min("text").alias("text")).mapInArrow(_elements, "node long, elements binary"))
     marks = single.select("node", "marks")
     toward = cut(buckets.where("node <> hub").groupBy("hub", "node").count())
 
     first = toward.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a")).select("a", F.col("node").alias("b"))
-    tried = _judged(first, texts)
+    tried = _judged(first, elements)
     # each node has one link here: two steps along them bring most of a class to one root
     good = tried.where(F.col("likeness") >= similarity)
     up = good.select(F.col("a").alias("up"), F.col("b").alias("node"))
@@ -233,23 +290,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
 
     others = rooted(rooted(toward.select(F.col("hub").alias("a"), F.col("node").alias("b")), "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     likely = others.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b").mapInArrow(lambda batches: _likely(batches, least), "a long, b long")
-    tried = tried.union(_judged(cut(likely), texts))
-    roots = components(tried.where(F.col("likeness") >= similarity).select("a", "b"))
-
-    for most in (partners, None):  # what the first round has left in different classes is compared in full
-        open_ = rooted(buckets.select("band", "key", "node"), "node", "root")
-        mixed = open_.groupBy("band", "key").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dealt = (
-            open_.join(mixed, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-            .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(marks, "node")
-            .repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "own", "node")
-            .select("band", "key", "i", "j", "own", "node", "root", "marks")
-        )
-        alike = dealt.mapInArrow(lambda batches, n=most: _alike(batches, least, n), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        judged = _judged(cut(alike), texts)
-        tried = tried.union(judged)
-        if not judged.where(F.col("likeness") >= similarity).isEmpty():
-            roots = components(tried.where(F.col("likeness") >= similarity).select("a", "b"))
-    classes = members.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
-    return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    links = tried.union(_judged(cut(likely), elements)).where(F.col("likeness") >= similarity).select("a", "b")
+    roots = components(links)
+
+    cells = _cells(rooted(buckets.select("band", "key", "node", "size"), "node", "root"), block, most_bytes)
+    met = cells.join(marks.join(elements, "node"), "node").repartition(*_CELL).sortWithinPartitions(*_CELL, "node").select(*_CELL, "side", "node", "root", "marks", "elements")
+    more = cut(met.mapInArrow(lambda batches: _linked(batches, least, similarity), "a long, b long"))
+    if not more.isEmpty():
+        roots = components(links.union(more))
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = named.join(named.groupBy("root").agg(F.min("first").alias("kept_row")), "root").select("node", "kept_row")
+    rows = signed.select("doc_id", "key_hash", "node").join(kept, "node", "left")
+    here = F.struct("doc_id", "key_hash") == F.col("kept_row")
+    return rows.select("doc_id", "key_hash", F.coalesce("kept_row.doc_id", "doc_id").alias("component_id"), F.when(F.col("kept_row").isNull(), True).otherwise(here).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = 1024) -> DataFrame:
+    """One row per row of ``docs``: doc_id, ``component_id`` (smallest doc_id of its class) and ``kept`` (its class keeps this document).
+
+    Texts are compared as multisets of five lower-cased words in a row.  Texts without a word, and null
+    texts, link with nothing and are kept.  Rows with a null id have a null class and are kept.  A document
+    is an id and a text: rows that agree in both are one document and stay or go together, and two texts
+    of one id are two documents, each in its own text's class.  A class keeps the document of its smallest
+    id, and of the smallest hash among several texts of that id.
+
+    Texts with equal multisets are one node, named by a 64-bit hash.  The least node of a bucket is its hub.
+    First each node is verified against the hub that it shares most buckets with, then against its other
+    hubs, unless both are in one class already or their signatures differ too much; so a group of n copies
+    makes about n pairs.  Buckets that still hold several classes are dealt to cells of bounded size, where
+    every pair of different classes whose signatures agree enough is verified by the whole multisets, which
+    come along; a cell gives the links that join its classes, fewer than its rows.  Buckets have no limit.
+    """
+    return classified(docs, similarity, block).drop("key_hash")
