@@ -1,8 +1,12 @@
 """Toxicity by two Kneser-Ney bigram models, one of toxic and one of ordinary text.
 
-Both models back off to continuation counts of their class, and these to shared counts of both classes.
-An expression too rare to tell the classes apart is left to the shared counts, where both models agree.
-A text's score comes from its length-normalised log-likelihood ratio through a fitted logistic curve.
+Both are proper distributions over words given the word before.  A pair's discounted count backs off to
+its word's continuation count in the class, in how many different left contexts the word stands; what
+that is discounted by goes to the counts of both classes together.  Expressions too rare to tell the
+classes apart, by a likelihood ratio test of their counts, are smoothed by the shared counts: such a pair
+is left to its word, and the mass of such words in a class is dealt by their shared counts.
+A text's score comes from its log-likelihoods under both models, divided by its length, through a fitted
+logistic curve.
 """
 
 from __future__ import annotations
@@ -15,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewalk.llm.common import crc_mod
-from gradewalk.llm.words import Words, find_words, merged, mix, place, text_chunks
+from gradewalk.llm.common import crc_mod, cut
+from gradewalk.llm.words import Words, find_words, mix, place, text_chunks, text_of
 
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 5, 0
@@ -24,123 +28,132 @@ FOLDS, HELD_OUT = 5, 0
 
 @dataclass
 class KneserNey:
-    """Sorted word and pair hashes with the log ratio toxic / ordinary that each adds."""
+    """Sorted hashes with values by class (rows: ordinary, toxic).
+
+    ``word_p``: probabilities of the telling words; ``rare_p``: of each other word;
+    ``given``: discounted shares of the telling pairs; ``left``: what their histories leave to the words.
+    """
 
     words: np.ndarray
-    word_ratio: np.ndarray
+    word_p: np.ndarray
+    rare_p: np.ndarray
     pairs: np.ndarray
-    pair_ratio: np.ndarray
+    given: np.ndarray
+    histories: np.ndarray
+    left: np.ndarray
 
-    def features(self, w: Words) -> np.ndarray:
-        """Per text: mean log ratio of its words, and the sum over the root of their number, both clipped."""
+    def log_ratio(self, w: Words) -> np.ndarray:
+        """log P(word | word before) in toxic text less that in ordinary text, for every word."""
         h = w.hash()
         at, known = place(self.words, h)
-        ratio = np.where(known, self.word_ratio[at], 0.0) if len(self.words) else np.zeros(len(h))
+        p = np.where(known, self.word_p[:, at], self.rare_p[:, None]) if len(self.words) else np.tile(self.rare_p[:, None], len(h))
         if len(h) > 1 and len(self.pairs):
             rows = np.flatnonzero(w.doc[1:] == w.doc[:-1])
+            at, follows = place(self.histories, h[rows])
+            rows, at = rows[follows], at[follows]
+            p[:, rows + 1] *= self.left[:, at]
             at, known = place(self.pairs, pair_hash(h[rows], h[rows + 1]))
-            ratio[rows[known] + 1] = self.pair_ratio[at[known]]
-        n = np.bincount(w.doc, minlength=w.n_docs)
-        total = np.bincount(w.doc, ratio, minlength=w.n_docs)
-        n = np.maximum(n, 1)
-        return np.stack([np.clip(total / n, -0.2, 0.5), np.clip(total / np.sqrt(n), -3, 6)], axis=1)
+            p[:, rows[known] + 1] += self.given[:, at[known]]
+        return np.log(p[1]) - np.log(p[0])
+
+    def features(self, w: Words) -> np.ndarray:
+        """Per text: the difference of its log-likelihoods by its length, twice: less than nothing and more than it.
+
+        Both are clipped, since a text that repeats one expression says no more by it; texts without words have 0.
+        """
+        n = np.maximum(np.bincount(w.doc, minlength=w.n_docs), 1)
+        mean = np.bincount(w.doc, self.log_ratio(w), minlength=w.n_docs) / n
+        return np.stack([np.clip(mean, 0, 0.3), np.clip(mean, -0.3, 0)], axis=1)
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(3) + b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_a_class: int) -> tuple[DataFrame, float]:
-    """Texts with ``toxic`` (0 or 1), drawn by a hash of the id: as many of each class, about ``most_a_class`` at most.
-
-    Equal samples keep continuation counts comparable, as these grow more slowly than the sample.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_a_class: int, most_chars: int) -> tuple[DataFrame, float]:
+    """Different texts with ``doc_id`` and ``toxic`` (0 or 1), as many of each class, about ``most_a_class`` at most, none over ``most_chars``.
 
-    A document with several labels is toxic if one of them says so; null labels and ids say nothing.
+    Equal samples keep continuation counts comparable, as these grow more slowly than the sample.  They're
+    drawn by a hash of the id; where ids repeat, the texts are thinned out by their own hash.  Beside them
+    the odds of class 1 among all labels.  A document with several labels is toxic if one of them says
+    so; null labels and ids say nothing.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
+    drawn = lambda *by: F.pmod(F.xxhash64(*by), F.lit(1_000_000))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    wanted = min(most_a_class, counts.get(0, 0), counts.get(1, 0))
-    share = F.when(F.col("toxic") == 1, int(1e6 * wanted / max(1, counts.get(1, 0)))).otherwise(int(1e6 * wanted / max(1, counts.get(0, 0))))
-    # twice most_a_class small rows at about the most; beside them the odds of class 1 among all labels
-    return docs.select("doc_id", "text").join(F.broadcast(known.where(drawn < share)), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["text", "toxic"]), (counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)
+
+    def share(counts: dict[int, int]) -> F.Column:
+        wanted = min(most_a_class, counts.get(0, 0), counts.get(1, 0))
+        parts = [int(1e6 * wanted / max(1, counts.get(c, 0))) for c in (0, 1)]
+        return F.when(F.col("toxic") == 1, parts[1]).otherwise(parts[0])
+
+    # twice most_a_class small rows at about the most
+    few = F.broadcast(known.where(drawn("doc_id", F.lit(11)) < share(counts)))
+    texts = cut(docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(few, "doc_id").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")))
+    found = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    return texts.where(drawn("text", F.lit(13)) < share(found)), (counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (kind 0) and pairs (kind 1) of a task's texts, by class."""
+    """Pairs of neighbouring words with their numbers by class."""
     for batch in batches:
         toxic = np.asarray(batch.column("toxic").fill_null(0))
-        for rows, data, first in text_chunks(batch, "text"):
+        for rows, data, first in text_chunks(batch.column("text")):
             w = find_words(data, first)
             h, kind = w.hash(), toxic[rows][w.doc] == 1
-            follows = np.flatnonzero(w.doc[1:] == w.doc[:-1]) if len(h) else np.zeros(0, int)
-            for c in (False, True):
-                keys, n = merged(h[kind == c], np.ones((kind == c).sum(), np.int64))
-                yield _count_rows(0, keys, keys, keys, c, n)
-                at = follows[kind[follows] == c]
-                keys, where, n = np.unique(pair_hash(h[at], h[at + 1]), return_index=True, return_counts=True)
-                yield _count_rows(1, keys, h[at][where], h[at + 1][where], c, n)
+            at = np.flatnonzero(w.doc[1:] == w.doc[:-1]) if len(h) else np.zeros(0, int)
+            key, where, back = np.unique(pair_hash(h[at], h[at + 1]), return_index=True, return_inverse=True)
+            n = [np.bincount(back[kind[at] == c], minlength=len(key)).astype(np.int64) for c in (False, True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, h[at][where], h[at + 1][where])), *map(pa.array, n)], ["key", "a", "b", "n0", "n1"])
 
 
-def _count_rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, toxic: bool, n: np.ndarray) -> pa.RecordBatch:
-    zero = np.zeros(len(key), np.int64)
-    n = n.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, a, b)), pa.array(zero if toxic else n), pa.array(n if toxic else zero)], ["kind", "key", "a", "b", "n0", "n1"])
+def telling(n0: F.Column, n1: F.Column, total0: float, total1: float) -> F.Column:
+    """Twice the log-likelihood ratio of counts in the classes against the classes' shares of all counts."""
+    share = total1 / max(1.0, total0 + total1)
+    part = lambda x, expected: F.when(x > 0, x * F.log(x / F.greatest(expected, F.lit(1e-12)))).otherwise(0.0)
+    return 2 * (part(n0, (n0 + n1) * (1 - share)) + part(n1, (n0 + n1) * share))
 
 
-def fit_kneser_ney(sample: DataFrame, least: int = 3, evidence: float = 10.0, effect: float = 1.0) -> KneserNey:
-    """The models from a bounded sample.
+def fit_kneser_ney(sample: DataFrame, evidence: float = 10.0) -> KneserNey:
+    """The models from a bounded sample; expressions below ``evidence`` (see ``telling``; pairs: twice that) are smoothed away.
 
-    Expressions seen fewer than ``least`` times, whose counts don't tell the classes apart (see
-    ``differs``) or whose log ratio is under ``effect`` are left to the shared counts.  Word evidence rests on continuation counts, which
-    copies of a text don't raise.
+    Pairs count by their occurrences, words by their different left contexts, which copies of a text don't
+    raise.  All counting and testing is done in Spark; only what tells the classes apart comes to the driver.
     """
-    counts = sample.select("text", "toxic").mapInArrow(_counts, "kind int, key long, a long, b long, n0 long, n1 long")
-    counts = counts.groupBy("kind", "key").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    pairs = counts.where("kind = 1").cache()
-    # continuation counts: in how many different left contexts a word stands, by class
+    counts = sample.select("text", "toxic").mapInArrow(_counts, "key long, a long, b long, n0 long, n1 long")
+    pairs = cut(counts.groupBy("key").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     ends = pairs.groupBy("b").agg(F.count_if(F.col("n0") > 0).alias("c0"), F.count_if(F.col("n1") > 0).alias("c1"))
-    starts = pairs.groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n0") + F.col("n1") > 0).alias("types"))
-    n_ends = ends.agg(F.sum("c0"), F.sum("c1"), F.count_if(F.col("c0") > 0), F.count_if(F.col("c1") > 0)).first()
-    e = _arrays(ends.where(F.col("c0") + F.col("c1") >= least))
-    s = _arrays(starts.where((F.col("n0") >= 50) & (F.col("n1") >= 50)))
-    p = _arrays(pairs.where(F.col("n0") + F.col("n1") >= least).select("key", "a", "b", "n0", "n1"))
-    pairs.unpersist()
-    c, types = [max(1, x or 0) for x in n_ends[:2]], [max(1, x or 0) for x in n_ends[2:]]
-    shared = (e["c0"] + e["c1"]) / (c[0] + c[1])
-    word = [(np.maximum(e[f"c{k}"] - DISCOUNT, 0) + DISCOUNT * types[k] * shared) / c[k] for k in (0, 1)]
-    hashes = e["b"].view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, word = hashes[order], [x[order] for x in word]
-    ratio = np.log(word[1]) - np.log(word[0]) if len(hashes) else np.zeros(0)
-    telling = differs(e["c0"], e["c1"], *c, evidence)[order] & (np.abs(ratio) >= effect) if len(hashes) else np.zeros(0, bool)
-    ratio = np.where(telling, ratio, 0.0)
-    # an expression that doesn't tell the classes apart has the shared counts in both
-    word = [np.where(telling, x, shared[order]) for x in word] if len(hashes) else word
-    history = s["a"].view(np.uint64)
-    h_order = np.argsort(history)
-    # what a history leaves to its backoff is shared by the classes as well
-    gamma = (DISCOUNT * s["types"] / np.maximum(s["n0"] + s["n1"], 1))[h_order]
-    at_h, ok_h = place(history[h_order], p["a"].view(np.uint64))
-    at_w, ok_w = place(hashes, p["b"].view(np.uint64))
-    n_tokens = [max(1, int(p[f"n{k}"].sum())) for k in (0, 1)]
-    both = ok_h & ok_w & differs(p["n0"], p["n1"], *n_tokens, 2 * evidence) if len(p["a"]) else np.zeros(0, bool)
-    at_h, at_w = at_h[both], at_w[both]
-    given = [np.maximum(p[f"n{k}"][both] - DISCOUNT, 0) / np.maximum(s[f"n{k}"][h_order][at_h], 1) + gamma[at_h] * word[k][at_w] for k in (0, 1)] if both.any() else [np.ones(0)] * 2
-    key, pair_ratio = p["key"][both].view(np.uint64), np.log(given[1]) - np.log(given[0])
-    key, pair_ratio = key[np.abs(pair_ratio) >= effect], pair_ratio[np.abs(pair_ratio) >= effect]
-    p_order = np.argsort(key)
-    return KneserNey(hashes[telling], ratio[telling], key[p_order], pair_ratio[p_order])
-
-
-def differs(n0: np.ndarray, n1: np.ndarray, total0: float, total1: float, least: float) -> np.ndarray:
-    """Whether counts in the classes differ from the classes' shares by a log-likelihood ratio of ``least``."""
-    n, share = n0 + n1, total1 / max(1, total0 + total1)
-    g = np.zeros(len(n))
-    for x, expected in ((n0, n * (1 - share)), (n1, n * share)):
-        g += np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(expected, 1e-12)), 0)
-    return 2 * g >= least
+    sums = [float(x or 0) for x in [*ends.agg(F.sum("c0"), F.sum("c1"), F.count("*")).first(), *pairs.agg(F.sum("n0"), F.sum("n1")).first()]]
+    total, n_words, all_pairs = sums[:2], sums[2], sums[3:]
+    frequent = pairs.where(telling(F.col("n0"), F.col("n1"), *all_pairs) >= 2 * evidence)
+    starts = pairs.groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).join(frequent.select("a").distinct(), "a")
+    e, s, p = _arrays(ends.where(telling(F.col("c0"), F.col("c1"), *total) >= evidence)), _arrays(starts), _arrays(frequent.select("key", "a", "n0", "n1"))
+
+    all_ends = np.maximum(np.array(total), 1)[:, None]
+    words, (c,) = _sorted(e["b"], [np.stack([e["c0"], e["c1"]]).astype(float)])
+    held = DISCOUNT * (c > 0).sum(axis=1, keepdims=True)
+    shared = c.sum(axis=0) / max(1.0, c.sum())
+    word_p = (np.maximum(c - DISCOUNT, 0) + np.maximum(held, DISCOUNT) * shared) / all_ends
+    # the others' mass in each class; it is dealt alike in both, here evenly, with one part for words never seen
+    n_rare = n_words - len(words) + 1
+    rare_p = (np.maximum(all_ends[:, 0] - c.sum(axis=1), 0) + 1) / all_ends[:, 0] / n_rare
+    scale = word_p.sum(axis=1) + rare_p * n_rare
+    word_p, rare_p = word_p / scale[:, None], rare_p / scale
+
+    histories, (h_total,) = _sorted(s["a"], [np.stack([s["n0"], s["n1"]]).astype(float)])
+    pair, (n, a) = _sorted(p["key"], [np.stack([p["n0"], p["n1"]]).astype(float), p["a"]])
+    at, _ = place(histories, a.view(np.uint64))
+    given = np.maximum(n - DISCOUNT, 0) / np.maximum(h_total[:, at], 1) if len(pair) else np.zeros((2, 0))
+    left = np.stack([1 - np.bincount(at, given[k], len(histories)) for k in (0, 1)]) if len(pair) else np.zeros((2, 0))
+    return KneserNey(words, word_p, rare_p, pair, given, histories, left)
+
+
+def _sorted(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys as unsigned numbers in order, and values (last axis) in the same order."""
+    keys = keys.view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], [v[..., order] for v in values]
 
 
 def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
@@ -163,40 +176,41 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
     return np.append(w[:-1] / scale, w[-1])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most_a_class: int = 8_000, least: int = 3, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (default: doc_id) with ``held_out``, ``score`` in 0 to 1 and ``predicted``, one row per row of ``docs``.
+def score_toxicity(docs: DataFrame, labels: DataFrame, most_a_class: int = 8_000, most_chars: int = 20_000, evidence: float = 10.0, row: str | None = None) -> DataFrame:
+    """doc_id with ``held_out``, ``score`` in 0 to 1 and ``predicted``, one row per row of ``docs``.
 
-    Learns from about ``most_a_class`` labelled documents of each class, outside the held-out fold; three
-    of four of them count words, the fourth sets the curve.  Null and empty texts have no evidence and get
-    the curve's value at zero.  Without labels of both classes all scores are 0.
+    Learns from about ``most_a_class`` labelled documents of each class, outside the held-out fold and of
+    ``most_chars`` at most (bounds of the labelled sample; every text is scored whole); three of four of
+    them count words, the fourth sets the curve.  ``row`` names a struct column that holds ``text``; it is
+    scored in place of the column ``text`` and is returned too.  Null and empty texts have no evidence and
+    get the curve's value at zero.  Without labels of both classes all scores are 0.
     """
-    sample, odds = labelled_sample(docs, labels, most_a_class)
+    sample, odds = labelled_sample(docs, labels, most_a_class, most_chars)
     for_curve = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0
-    model = fit_kneser_ney(sample.where(~for_curve), least)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    model = fit_kneser_ney(sample.where(~for_curve), evidence)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measured(texts: pa.Array) -> np.ndarray:
+        x = [sent.value.features(find_words(data, first)) for _, data, first in text_chunks(texts)]
+        return np.concatenate(x) if x else np.zeros((0, 2))
 
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [sent.value.features(find_words(data, first)) for _, data, first in text_chunks(batch, "text")]
-            x = np.concatenate(x) if x else np.zeros((0, 2))
+            x = measured(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "x0", "x1"])
 
-    seen = sample.where(for_curve).select("toxic", "text").mapInArrow(evidence, "toxic int, x0 double, x1 double").toPandas()
+    seen = sample.where(for_curve).select("toxic", "text").mapInArrow(judged, "toxic int, x0 double, x1 double").toPandas()
     y = seen["toxic"].to_numpy(float)
     curve = logistic_fit(seen[["x0", "x1"]].to_numpy(float), y) if 0 < y.sum() < len(y) else np.array([0.0, 0.0, -40.0])
     curve[2] += np.log(odds)
-    carry = carry or ["doc_id"]
-    schema = docs.select(*carry).schema
-    out_names = [*carry, "score"]
+    carry = ["doc_id", *([row] if row else [])]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [sent.value.features(find_words(data, first)) for _, data, first in text_chunks(batch, "_text")]
-            x = np.concatenate(x) if x else np.zeros((0, 2))
+            x = measured(text_of(batch, row))
             score = 1 / (1 + np.exp(-np.clip(x @ curve[:2] + curve[2], -40, 40)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(score)], out_names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(score)], [*carry, "score"])
 
-    made = docs.select(*carry, F.col("text").alias("_text")).mapInArrow(scored, schema.add("score", "double"))
+    made = docs.select(*carry, *([] if row else ["text"])).mapInArrow(scored, docs.select(*carry).schema.add("score", "double"))
     held = (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out")
     return made.select(*carry, held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
