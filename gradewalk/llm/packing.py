@@ -11,6 +11,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,9 @@ class Tokens(dict):
 
         self.most = most
         source = Tokenizer.from_file(path)
-        source.encode_special_tokens = True
         self.source = source
         special = {t.content for t in source.get_added_tokens_decoder().values()}
+        self.special = sorted(special)
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in piece): i for piece, i in source.get_vocab(with_added_tokens=True).items() if piece not in special}
         import public_tokenizers
@@ -54,6 +55,9 @@ class Tokens(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        """Ids of a whole text; strings of the tokenizer's special tokens become these tokens, as it has it."""
+        if any(map(text.__contains__, self.special)):
+            return np.array(self.source.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _ODD_SPACE.search(text):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -101,55 +105,74 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int = 3) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, steps_a_bin: int = 8) -> list[list[int]]:
     """Moves and exchanges between underfull bins that raise the sum of squared fills.
 
-    The bin to take from is the emptiest.  A move puts one of its items into a bin with room; an
-    exchange gives a fuller bin one item for a smaller one or for two smaller ones, filling it further.
-    Every step raises the squared fill, and ``rounds`` passes over the bins bound the work.
+    The bin to give is the emptiest.  It gives one item to a fuller bin for none (a move), one or two
+    smaller ones.  Every underfull bin offers each such return at the item size that would fill the bin to
+    the brim with it, so that a bin finds its best partner among all others by looking up its item sizes.
+    Each step raises the squared fill; ``steps_a_bin`` steps for each bin at most bound the work.
     """
     size = sizes.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        changed = False
-        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=fill.__getitem__)
-        full_first = order[::-1]
-        for source in order:
-            for target in full_first[:64]:
-                room = capacity - fill[target]
-                if source == target or not room or fill[source] > fill[target] or not bins[source]:
+    version = [0] * len(bins)
+    shelves: dict[int, list[tuple[int, int, tuple[int, ...], int]]] = {}
+    brims: list[int] = []  # sizes that some bin asks for, in order
+
+    def offer(b: int) -> None:
+        if not 0 < fill[b] < capacity:
+            return
+        once = sorted({size[i]: i for i in bins[b]}.items())
+        returns = [((), 0), *(((i,), n) for n, i in once), *(((i, j), n + m) for k, (n, i) in enumerate(once) for m, j in once[k + 1 :])]
+        for back, given in returns:
+            brim = capacity - fill[b] + given
+            if brim > capacity:
+                continue
+            if brim not in shelves:
+                insort(brims, brim)
+                shelves[brim] = []
+            shelves[brim].append((b, version[b], back, given))
+
+    def best_step(source: int) -> tuple[int, int, tuple[int, ...], int] | None:
+        best, step = 0, None
+        for n, item in {size[i]: i for i in bins[source]}.items():
+            at = bisect_left(brims, n)
+            while at < len(brims) and brims[at] - n < capacity - fill[source]:
+                live = shelves[brims[at]] = [x for x in shelves[brims[at]] if x[1] == version[x[0]]]
+                if not live:
+                    del shelves[brims.pop(at)]
                     continue
-                best, step = 0, None
-                smaller = sorted(bins[target], key=size.__getitem__)
-                for i in bins[source]:
-                    if best < size[i] <= room:
-                        best, step = size[i], (i, ())
-                    for k, j in enumerate(smaller):
-                        gain = size[i] - size[j]
-                        if gain <= best:
-                            break
-                        if gain <= room:
-                            best, step = gain, (i, (j,))
-                        for other in smaller[k + 1 :]:
-                            gain = size[i] - size[j] - size[other]
-                            if gain <= best:
-                                break
-                            if gain <= room:
-                                best, step = gain, (i, (j, other))
-                if step:
-                    i, back = step
-                    bins[source].remove(i)
-                    bins[target].append(i)
-                    for j in back:
-                        bins[target].remove(j)
-                        bins[source].append(j)
-                    fill[source] -= best
-                    fill[target] += best
-                    changed = True
-                if not bins[source]:
+                gains = [((n - given) * (fill[b] - fill[source] + n - given), b, back, n - given) for b, _, back, given in live if given < n and b != source and fill[b] >= fill[source]]
+                if gains:
+                    gain, b, back, more = max(gains)
+                    if gain > best:
+                        best, step = gain, (item, b, back, more)
                     break
-        if not changed:
-            break
+                at += 1
+        return step
+
+    for b in range(len(bins)):
+        offer(b)
+    waiting = [(fill[b], b, 0) for b in range(len(bins)) if 0 < fill[b] < capacity]
+    heapify(waiting)
+    left = steps_a_bin * len(bins)
+    while waiting and left:
+        _, source, seen = heappop(waiting)
+        if seen != version[source] or not 0 < fill[source] < capacity or not (step := best_step(source)):
+            continue
+        item, target, back, more = step
+        bins[source].remove(item)
+        bins[target].append(item)
+        for j in back:
+            bins[target].remove(j)
+            bins[source].append(j)
+        fill[source] -= more
+        fill[target] += more
+        for b in (source, target):
+            version[b] += 1
+            offer(b)
+            heappush(waiting, (fill[b], b, version[b]))
+        left -= 1
     return [b for b in bins if b]
 
 
@@ -183,8 +206,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     A document is its token ids, then the separator; one longer than ``capacity`` is cut into full pieces,
     the first of which may be shorter.  A null text counts as empty and is its separator alone.  Rows of
-    the same id are packed each.  About ``together`` documents are packed at once; bins filled less than
-    ``enough`` are packed once more with those of other tasks.
+    the same id are packed each.  A special token's string in a text counts as that token.  About
+    ``together`` documents are packed at once; bins filled less than ``enough`` are packed once more with
+    those of other tasks.
     """
 
     def cut_and_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
