@@ -13,11 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewalk.llm.common import crc_mod
-from gradewalk.llm.words import Words, find_words, mix, place, text_chunks
+from gradewalk.llm.words import Words, find_words, mix, place, text_chunks, text_of
 
 FOLDS, HELD_OUT = 4, 2
 BUCKETS = 1 << 17
@@ -60,14 +60,30 @@ def emissions(features: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.n
 
 
 def posteriors(energy: np.ndarray, begins: np.ndarray, transitions: np.ndarray, block: int = 64) -> np.ndarray:
+    """Label probabilities of each word given its whole chain; see ``messages``."""
+    return messages(energy, begins, transitions, block)[1]
+
+
+def pair_posteriors(forward: np.ndarray, p: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Expected number of each transition between neighbouring words (the last axis: all words but the first).
+
+    What a word's label adds from its right is its posterior over the forward message's prediction.
+    """
+    step = np.exp(transitions)
+    pairs = forward[:-1, :, None] * step[None] * (p[1:] / np.maximum(forward[:-1] @ step, 1e-300))[:, None, :]
+    return pairs / pairs.sum(axis=(1, 2), keepdims=True)
+
+
+def messages(energy: np.ndarray, begins: np.ndarray, transitions: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over many chains laid end to end; ``begins`` marks the first word of each.
 
+    Gives the forward messages (label probabilities given the chain so far) and the posteriors.
     The words are cut into equal blocks; each block's product of step matrices is built for all blocks at
     once, the products are chained, and both passes then run in all blocks at once from known ends.
     """
     n, k = energy.shape
     if not n:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), np.zeros((0, k))
     step = np.exp(transitions - transitions.max())
     nb = -(-n // block)
     e = np.ones((nb * block, k))
@@ -101,15 +117,16 @@ def posteriors(energy: np.ndarray, begins: np.ndarray, transitions: np.ndarray,
         alpha = before * e[:, t]
         alpha /= alpha.sum(axis=1, keepdims=True)
         forward[:, t] = alpha
+    both = np.empty((nb, block, k))
     for t in range(block - 1, -1, -1):
-        forward[:, t] *= beta
+        both[:, t] = forward[:, t] * beta
         down = e[:, t] * beta
         beta = down @ step.T
         at = np.flatnonzero(first[:, t])
         beta[at] = down[at].sum(axis=1, keepdims=True)
         beta /= beta.max(axis=1, keepdims=True)
-    p = forward.reshape(-1, k)[:n]
-    return p / p.sum(axis=1, keepdims=True)
+    p = both.reshape(-1, k)[:n]
+    return forward.reshape(-1, k)[:n], p / p.sum(axis=1, keepdims=True)
 
 
 def fit_field(texts: list[str], langs: list[str], epochs: int = 8, lanes: int = 64, seed: int = 3) -> Field:
@@ -119,8 +136,7 @@ def fit_field(texts: list[str], langs: list[str], epochs: int = 8, lanes: int =
     """
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    parts = [find_words(data, first, LETTERS) for _, data, first in text_chunks(batch, "text", most_bytes=1 << 40)]
+    parts = [find_words(data, first, LETTERS) for _, data, first in text_chunks(pa.array(texts, pa.string()), most_bytes=1 << 40)]
     w = parts[0]
     hashes, counts = np.unique(w.hash(), return_counts=True)
     lexicon = hashes[counts >= 3]
@@ -144,7 +160,7 @@ def fit_field(texts: list[str], langs: list[str], epochs: int = 8, lanes: int =
             begins = np.zeros(len(words), bool)
             begins[:: max(1, len(words) // lanes)] = True
             energy = emissions((f, g, local), weights)
-            p = posteriors(energy, begins, transitions)
+            forward, p = messages(energy, begins, transitions)
             truth = np.zeros_like(p)
             truth[np.arange(len(words)), label[words]] = 1
             slope = p - truth
@@ -152,8 +168,7 @@ def fit_field(texts: list[str], langs: list[str], epochs: int = 8, lanes: int =
             owner = np.concatenate([np.repeat(np.arange(len(words)), f.shape[1]), np.repeat(np.arange(len(words)), n)])
             inner = ~begins[1:]
             seen = truth[:-1][inner].T @ truth[1:][inner]
-            pairs = p[:-1][inner, :, None] * np.exp(transitions)[None] * (p[1:] / np.maximum(p[:-1] @ np.exp(transitions), 1e-12))[inner][:, None, :]
-            t_slope = (pairs / pairs.sum(axis=(1, 2), keepdims=True)).sum(axis=0) - seen
+            t_slope = pair_posteriors(forward, p, transitions)[inner].sum(axis=0) - seen
             for c in range(k):
                 d = np.bincount(keys, slope[owner, c], BUCKETS) / len(words)
                 squares[:, c] += d * d
@@ -164,22 +179,29 @@ def fit_field(texts: list[str], langs: list[str], epochs: int = 8, lanes: int =
     return Field(names, lexicon, weights.astype(np.float32), transitions)
 
 
-def sampled_field(docs: DataFrame, a_language: int = 200, most_chars: int = 20_000) -> Field:
-    """Fit on about ``a_language`` texts of each language, none over ``most_chars``, drawn by a hash outside the held-out fold."""
+def sampled_field(docs: DataFrame, a_language: int = 200, most_chars: int = 20_000, most_langs: int = 100) -> Field:
+    """Fit on ``a_language`` different texts of each language at most, none over ``most_chars``, outside the held-out fold.
+
+    They're drawn by a hash of id and text.  Of the values of ``lang`` the ``most_langs`` with most rows are learned.
+    """
     known = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT) & (F.length("text") <= most_chars) & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count()
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < 1e6 * a_language / F.col("count")
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(counts), "lang").where(drawn).select("lang", "text").orderBy("lang", "text").collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    order = F.xxhash64("doc_id", "text", F.lit(23))
+    # twice as many as wanted by share, then the first of each language
+    drawn = F.pmod(order, F.lit(1_000_000)) < 2e6 * a_language / F.col("count")
+    some = known.select("doc_id", "text", "lang").join(F.broadcast(counts), "lang").where(drawn).groupBy("lang", "text").agg(F.min(order).alias("order"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
+    rows = some.withColumn("n", first).where(F.col("n") <= a_language).select("lang", "text").orderBy("lang", "text").collect()
     return fit_field([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else Field([], np.zeros(0, np.uint64), np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
 
 
-def label_texts(batch: pa.RecordBatch, column: str, field: Field) -> tuple[np.ndarray, np.ndarray]:
+def label_texts(texts: pa.Array, field: Field) -> tuple[np.ndarray, np.ndarray]:
     """Language index (-1: none) and score of each text."""
-    best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-    lettered = np.asarray(pc.fill_null(pc.match_substring_regex(batch.column(column), r"\p{L}"), False).to_numpy(zero_copy_only=False))
+    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    lettered = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False))
     if not field.langs:
         return best, score
-    for rows, data, first in text_chunks(batch, column):
+    for rows, data, first in text_chunks(texts):
         w = find_words(data, first, LETTERS)
         begins = np.concatenate([[True], w.doc[1:] != w.doc[:-1]]) if len(w.doc) else np.zeros(0, bool)
         p = posteriors(emissions(word_features(w, field.lexicon), field.weights), begins, field.transitions)
@@ -189,21 +211,23 @@ def label_texts(batch: pa.RecordBatch, column: str, field: Field) -> tuple[np.nd
     return np.where(lettered, best, -1), np.where(lettered, score, 0.0)
 
 
-def identify_language(docs: DataFrame, a_language: int = 200, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (default: doc_id) with ``held_out``, ``lang_pred`` and ``score``, one row per row of ``docs``.
+def identify_language(docs: DataFrame, a_language: int = 200, most_chars: int = 20_000, row: str | None = None) -> DataFrame:
+    """doc_id, ``held_out``, ``lang_pred`` and ``score``, one row per row of ``docs``.
 
-    ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned.
-    Ties between languages go to the first by name.
+    Learns from at most ``a_language`` texts of each language, none of them over ``most_chars`` (bounds of
+    the labelled sample; every text is labelled whole).  ``row`` names a struct column that holds ``text``;
+    it is labelled in place of the column ``text`` and is returned too.  ``und`` with score 0 where the text
+    is null or has no letter, or where nothing could be learned.  Ties between languages go to the first by name.
     """
-    carry = carry or ["doc_id"]
-    sent = docs.sparkSession.sparkContext.broadcast(sampled_field(docs, a_language))
+    sent = docs.sparkSession.sparkContext.broadcast(sampled_field(docs, a_language, most_chars))
+    carry = ["doc_id", *([row] if row else [])]
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*sent.value.langs, "und"], dtype=object)
         for batch in batches:
-            best, score = label_texts(batch, "_text", sent.value)
+            best, score = label_texts(text_of(batch, row), sent.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names[best], pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
 
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
-    made = docs.select(*carry, F.col("text").alias("_text")).mapInArrow(labelled, schema)
+    made = docs.select(*carry, *([] if row else ["text"])).mapInArrow(labelled, schema)
     return made.select(*carry, (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
