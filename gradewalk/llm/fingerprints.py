@@ -1,19 +1,27 @@
 """Document fingerprints by I-Match over randomised lexicon subsets.
 
-A document keeps its distinct terms whose document frequency lies in a band, ordered by their 64-bit
-term id.  Hashing all of them gives the classic fingerprint; hashing what falls into each of several
+A document keeps its distinct terms whose inverse document frequency lies in a band, ordered by their
+64-bit term id.  Hashing all of them gives the classic fingerprint; hashing what falls into each of several
 randomised subsets of the lexicon gives one hash a subset.  Subsets come in levels of falling density,
 so that small edits change the dense subsets only and large edits leave some of the sparse ones.
+
+The terms of every document meet the band's terms in one join, and come together again by document; only
+term ids are shuffled for that, not texts.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewalk.llm.common import cut
 
 LEVELS, SUBSETS = 3, 16
+#: The band of inverse document frequencies, ln(documents / documents with the term).
+LEAST_IDF, MOST_IDF = math.log(5), math.log(1000)
 
 
 def terms(text: Column) -> Column:
@@ -22,20 +30,14 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, highest: float, most_terms: int) -> DataFrame:
-    """One row, one column ``shelves``: the band's term ids, shelved by id modulo the number of shelves.
+def lexicon(docs: DataFrame, least_idf: float = LEAST_IDF, most_idf: float = MOST_IDF) -> DataFrame:
+    """The band's terms: those of two documents at least whose inverse document frequency lies between the two bounds.
 
-    The band reaches from ``total / most_terms`` documents (``total``: all (document, term) pairs) to
-    ``highest`` of the documents.  As each term of the band takes up that many pairs at least, there are
-    ``most_terms`` at most, however large the corpus.
+    Document frequencies are counted over all rows of ``docs`` (column ``text``).
     """
-    spark = docs.sparkSession
     frequency = cut(docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count())
-    pairs, n_docs = frequency.agg(F.sum("count")).first()[0] or 0, docs.count()
-    band = frequency.where((F.col("count") >= max(2, pairs / most_terms)) & (F.col("count") <= max(2, n_docs * highest)))
-    held = band.groupBy(F.pmod("term", F.lit(most_terms)).alias("shelf")).agg(F.collect_list("term").alias("held"))
-    return cut(spark.range(most_terms).withColumnRenamed("id", "shelf").join(held, "shelf", "left").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("shelf", F.coalesce("held", F.array().cast("array<bigint>")).alias("held")))), lambda x: x["held"]).alias("shelves")))
+    n_docs = docs.count()
+    return frequency.where((F.col("count") >= max(2, n_docs * math.exp(-most_idf))) & (F.col("count") <= max(2, n_docs * math.exp(-least_idf)))).select("term")
 
 
 def _bits(shift: int, mask: int, wanted: int):
@@ -43,17 +45,18 @@ def _bits(shift: int, mask: int, wanted: int):
     return lambda t: F.shiftright(t, shift).bitwiseAND(mask) == wanted
 
 
-def with_fingerprint(df: DataFrame, text: str, shelves: Column, into: str, most_terms: int) -> DataFrame:
-    """Adds ``into``: an array of hashes, of the whole band first, then of each subset; "-" where it has no terms."""
-    # higher-order functions take no subquery, so the shelves, a few hundred kB, pass by each row inside the task
-    out = df.withColumn("_shelves", shelves)
-    out = out.withColumn("_0", F.sort_array(F.filter(terms(F.col(text)), lambda t: F.array_contains(F.get("_shelves", F.pmod(t, F.lit(most_terms)).cast("int")), t)))).drop("_shelves")
+def hashes(band: str, every: str) -> Column:
+    """Hashes of a sorted array of band terms, of all of them first, then of each subset; "-" where one is empty.
+
+    A text without a term of the band has the hash ``every`` of all its terms in place of the first.
+    """
+    hexed = lambda h, n: F.substring(F.lpad(F.hex(h), 16, "0"), 1, n)
+    levels = [F.col(band)]
     for k in range(1, LEVELS):
-        out = out.withColumn(f"_{k}", F.filter(f"_{k - 1}", _bits(2 * k, 3, 0)))
-    hashed = lambda xs: F.when(F.size(xs) == 0, F.lit("-")).otherwise(F.substring(F.lpad(F.hex(F.xxhash64(xs)), 16, "0"), 1, 8))
-    subsets = [F.filter(f"_{k}", _bits(16 + 8 * k, SUBSETS - 1, j)) for k in range(LEVELS) for j in range(SUBSETS)]
-    out = out.withColumn("_s", F.array(F.col("_0"), *subsets))
-    return out.withColumn(into, F.transform("_s", hashed)).drop("_s", *(f"_{k}" for k in range(LEVELS)))
+        levels.append(F.filter(levels[-1], _bits(2 * k, 3, 0)))
+    subsets = F.array(*(F.filter(levels[k], _bits(16 + 8 * k, SUBSETS - 1, j)) for k in range(LEVELS) for j in range(SUBSETS)))
+    first = F.when(F.size(band) > 0, hexed(F.xxhash64(band), 16)).otherwise(F.concat(F.lit("="), hexed(F.col(every), 16)))
+    return F.concat(F.array(first), F.transform(subsets, lambda xs: F.when(F.size(xs) == 0, F.lit("-")).otherwise(hexed(F.xxhash64(xs), 8))))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -61,56 +64,86 @@ def likeness(a: str, b: str) -> Column:
     pairs = F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))
     same = F.size(F.filter(pairs, lambda x: (x["a"] == x["b"]) & (x["a"] != "-")))
     either = F.size(F.filter(pairs, lambda x: (x["a"] != "-") | (x["b"] != "-")))
-    return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(either == 0, F.lit(0.0)).otherwise(same / either)
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(same / either)
 
 
-def with_next(df: DataFrame, columns: list[str], rows_per_range: int = 64, most_ranges: int = 100_000) -> DataFrame:
-    """Adds ``next_<c>`` of the row that follows by descending ``doc_id``; after the last comes the first.
+def marked(rows: DataFrame, keys: list[str], texts: dict[str, str], band: DataFrame, extra: dict[str, Column], broadcast_terms: int = 1 << 18) -> DataFrame:
+    """One row for each row of ``rows``, which ``keys`` tell apart: the keys, ``extra``, and for each (name, text column) of ``texts`` its hashes.
 
-    Rows are dealt by ranges of the id; the first row of each range is copied to the end of the range
-    before it, so no range needs another.  Null ids come last; equal ids are ordered by the text's hash,
-    and rows that agree in both follow each other in any order, having the same next text.
+    The band is broadcast while its counted terms are ``broadcast_terms`` at most; beyond, the join shuffles.
+    """
+    small = F.broadcast if band.count() <= broadcast_terms else (lambda df: df)
+    found = {n: terms(F.col(c)) for n, c in texts.items()}
+    head = F.struct(*(c.alias(n) for n, c in extra.items()), *(F.xxhash64(F.sort_array(x)).alias(f"{n}_every") for n, x in found.items()))
+    rows = rows.select(*keys, head.alias("head"), *(x.alias(n) for n, x in found.items()))
+    kind = "struct<kind:int,term:bigint>"
+    numbered = lambda k: lambda t: F.struct(F.lit(k).alias("kind"), t.alias("term"))
+    one = F.concat(F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("term")).cast(kind)), *(F.transform(n, numbered(k)) for k, n in enumerate(found)))
+    # a row's head stands beside the first of its terms alone
+    spread = rows.select(*keys, "head", F.posexplode(one).alias("at", "t")).select(*keys, F.when(F.col("at") == 0, F.col("head")).alias("head"), "t.kind", "t.term")
+    held = spread.join(small(band.withColumn("known", F.lit(True))), "term", "left").where(F.col("known") | (F.col("kind") < 0))
+    bands = [F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("term")))).alias(n) for k, n in enumerate(found)]
+    whole = held.groupBy(*keys).agg(F.first("head", ignorenulls=True).alias("head"), *bands).select(*keys, "head.*", *found)
+    return whole.select(*keys, *extra, *(hashes(n, f"{n}_every").alias(n) for n in found))
+
+
+def with_next(df: DataFrame, column: str, rows_a_range: int = 64, most_ranges: int = 1 << 16) -> DataFrame:
+    """Adds ``next_<column>`` of the row that follows by descending ``doc_id`` (after the last the first), and the places ``range``, ``nth``, ``next_range``, ``next_nth``.
+
+    Null ids come last; equal ids are ordered by the text's hash, and rows that agree in both follow each
+    other in any order (and share a range, having one key).  Rows are dealt by ranges of this order, cut at sampled rows, so that neither
+    distant ids nor repeated ones make a range long; the first row of each range is copied to the end of
+    the range before it, so no range needs another.  With n rows there are about n / ``rows_a_range``
+    ranges, ``most_ranges`` at most.
     """
-    low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (low or 0) - 1, high or 0
-    ranges = min(most_ranges, max(1, n // rows_per_range))
-    width = (high - low) // ranges + 1
-    df = df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(low).cast("long")), "_tie": F.xxhash64("text")})
-    df = df.withColumn("_range", F.expr(f"(_id - ({low}L)) div {width}L"))
-    heads = df.groupBy("_range").agg(F.max(F.struct("_id", "_tie")).alias("_head"))
-    # at most most_ranges rows of three numbers
-    heads = heads.withColumn("_before", F.coalesce(F.lag("_range").over(Window.orderBy(F.desc("_range"))), F.lit(None).cast("long")))
-    heads = heads.withColumn("_before", F.coalesce("_before", heads.agg(F.min("_range")).scalar()))
-    places = F.when(F.struct("_id", "_tie") == F.col("_head"), F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy")), F.struct(F.col("_before").alias("r"), F.lit(1).alias("copy")))).otherwise(
-        F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy"))))
-    dealt = df.join(F.broadcast(heads), "_range").withColumn("_place", F.explode(places))
-    order = Window.partitionBy("_place.r").orderBy("_place.copy", F.desc("_id"), F.desc("_tie"))
-    dealt = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(order)).where(F.col("_place.copy") == 0)
-    return dealt.select(*[c for c in df.columns if c[0] != "_"], *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
-
-
-def fingerprint_documents(docs: DataFrame, highest: float = 0.2, most_terms: int = 1 << 14) -> DataFrame:
+    df = df.withColumn("_key", F.struct(F.col("doc_id").isNotNull().alias("some"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("tie")))
+    n = df.count()
+    side = max(1, math.isqrt(min(most_ranges, n // rows_a_range)))
+    # 16 sampled keys a range at about the most: small rows of three values
+    sample = sorted(tuple(r["_key"]) for r in df.select("_key").sample(min(1.0, 16 * side * side / max(n, 1)), 7).collect())
+    cuts = [dict(zip(("some", "id", "tie"), sample[len(sample) * k // (side * side)], strict=True)) for k in range(1, side * side)] if sample else []
+    kind = df.select("_key").schema[0].dataType.simpleString()
+    literal = lambda keys, kind: F.from_json(F.lit(json.dumps(keys)), kind)
+    passed = lambda keys: F.size(F.filter(keys, lambda c: c <= F.col("_key")))
+    df = df.withColumn("_coarse", passed(literal(cuts[side - 1 :: side], f"array<{kind}>")))
+    fine = literal([cuts[k * side : (k + 1) * side - 1] for k in range(side)], f"array<array<{kind}>>")
+    df = df.withColumn("range", (F.col("_coarse") * side + passed(F.get(fine, F.col("_coarse")))).cast("long")).drop("_coarse")
+    heads = cut(df.groupBy("range").agg(F.max("_key").alias("_head")))
+    order = Window.orderBy(F.desc("range"))  # as many rows as ranges
+    heads = heads.withColumn("_before", F.coalesce(F.lag("range").over(order), F.min("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    place = lambda r, copy: F.struct(r.alias("r"), F.lit(copy).alias("copy"))
+    here = place(F.col("range"), 0)
+    dealt = df.join(F.broadcast(heads), "range").withColumn("_place", F.explode(F.when(F.col("_key") == F.col("_head"), F.array(here, place(F.col("_before"), 1))).otherwise(F.array(here))))
+    window = Window.partitionBy("_place.r").orderBy("_place.copy", F.desc("_key"))
+    dealt = dealt.withColumns({"nth": F.row_number().over(window), "_next": F.lead(F.struct(F.col(column).alias("c"), F.col("range").alias("r"), F.col("_place.copy").alias("copy"))).over(window)}).where(F.col("_place.copy") == 0)
+    return dealt.withColumns({
+        f"next_{column}": F.col("_next.c"), "next_range": F.col("_next.r"), "next_nth": F.when(F.col("_next.copy") == 1, 1).otherwise(F.col("nth") + 1),
+    }).drop("_key", "_head", "_before", "_place", "_next")
+
+
+def fingerprint_documents(docs: DataFrame, least_idf: float = LEAST_IDF, most_idf: float = MOST_IDF) -> DataFrame:
     """Adds ``marks``, the array of hashes, to ``docs``; document frequencies are counted over all its rows.
 
-    A null text counts as empty; a text without a term in the band has only "-" marks.  Equal texts have
-    equal marks.  Extra columns stay.
+    A null text counts as empty.  A text without a term in the band has the hash of all its terms and
+    otherwise "-" marks, so it is like none but those of the same terms.  Equal texts have equal marks.
+    Extra columns stay; one named ``marks`` is replaced.
     """
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    shelves = lexicon(docs, highest, most_terms).scalar()
-    return with_fingerprint(docs, "text", shelves, "marks", most_terms)
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("whole")))
+    made = marked(rows.select("row", "text"), ["row"], {"marks": "text"}, lexicon(rows, least_idf, most_idf), {})
+    return rows.select("row", "whole").join(made, "row").select(*(F.col(f"whole.`{c}`") for c in docs.columns if c != "marks"), "marks")
 
 
-def edited_report(docs: DataFrame, highest: float = 0.2, most_terms: int = 1 << 14) -> DataFrame:
+def edited_report(docs: DataFrame, least_idf: float = LEAST_IDF, most_idf: float = MOST_IDF) -> DataFrame:
     """Each text's fingerprint beside that of its edited text and of the next document."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    shelves = lexicon(docs, highest, most_terms).scalar()
-    marked = with_next(with_fingerprint(docs, "text", shelves, "marks", most_terms), ["text", "marks"])
+    band = lexicon(docs, least_idf, most_idf)
+    rows = with_next(docs, "text")
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.col("text").substr(F.lit(1), F.length("text") - half), F.col("next_text").substr(F.lit(1), half))
-    marked = marked.withColumn("edited", edited)
-    marked = with_fingerprint(marked, "edited", shelves, "edited_marks", most_terms)
-    return marked.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array_join("marks", ":").alias("fingerprint"), F.array_join("edited_marks", ":").alias("edited_fingerprint"),
-        likeness("marks", "edited_marks").alias("near_edited"), likeness("marks", "next_marks").alias("near_next"),
+    rows = rows.withColumn("edited_text", F.concat(F.col("text").substr(F.lit(1), F.length("text") - half), F.col("next_text").substr(F.lit(1), half)))
+    extra = {"doc_id": F.col("doc_id"), "n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2(F.col("edited_text").cast("binary"), 256), "next_range": F.col("next_range"), "next_nth": F.col("next_nth")}
+    made = cut(marked(rows, ["range", "nth"], {"marks": "text", "edited": "edited_text"}, band, extra))
+    after = made.select(F.col("range").alias("next_range"), F.col("nth").alias("next_nth"), F.col("marks").alias("next_marks"))
+    return made.join(after, ["next_range", "next_nth"]).select(
+        "doc_id", "n_chars", "edited_sha256", F.array_join("marks", ":").alias("fingerprint"), F.array_join("edited", ":").alias("edited_fingerprint"),
+        likeness("marks", "edited").alias("near_edited"), likeness("marks", "next_marks").alias("near_next"),
     )
