@@ -14,6 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,15 @@ def spread_pivots(pivots: np.ndarray, least: float) -> np.ndarray:
     return pivots[chosen]
 
 
+def fitted(pivots: np.ndarray, size: int) -> np.ndarray:
+    """Pivots for vectors of another length: cut, or filled up with zeros."""
+    if pivots.shape[1] == size:
+        return pivots
+    out = np.zeros((len(pivots), size))
+    out[:, : pivots.shape[1]] = pivots[:, :size]
+    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     """Indices of links that connect what all links connect."""
     root = list(range(n))
@@ -71,24 +81,29 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
 def link_vectors(vectors: DataFrame, cosine: float = 0.9, near: int = 8, shared: int = 2, a_pivot: int = 64, most_pivots: int = 4096, block: int = 1024) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id and kept.
 
-    Vectors that are null, zero, hold null or non-finite components, or differ in length from the most
-    common one link with nothing.  Equal vectors count as links of each other and are indexed once.
-    One pivot for ``a_pivot`` distinct vectors is sampled by a hash, ``most_pivots`` at most, and those within
-    twice the link's angle of one chosen before are dropped.  The vectors within that angle of their nearest
-    pivot are at home there: all pairs of the same home are verified.  Beyond ``4 * a_pivot * most_pivots``
-    vectors, lists are kept for homes and for pairs of shared pivots in place of single ones, so that lists
-    stay short.  Every vector is indexed.  Rows of the same id count one by one; a null id keeps a null component.
+    Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; those
+    of different lengths don't link.  Equal vectors count as links of each other and are indexed once.
+    One pivot for ``a_pivot`` distinct vectors of the most common length is sampled by a hash, ``most_pivots``
+    at most, and those within twice the link's angle of one chosen before are dropped; vectors of other
+    lengths meet the pivots cut or filled up with zeros to their length, in lists of their own.  The vectors
+    within that angle of their nearest pivot are at home there: all pairs of the same home are verified.
+    Beyond ``4 * a_pivot * most_pivots`` vectors, lists are kept for homes and for pairs of shared pivots in
+    place of single ones, so that lists stay short.  Every vector is indexed.  Rows of the same id count one
+    by one; a null id keeps a null component.
     """
-    usable = (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    good = vectors.select("vec_id", "embedding").where(F.coalesce(usable, F.lit(False)) & F.col("vec_id").isNotNull())
-    distinct = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")))
-    lengths = distinct.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    usable = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
+    rows = vectors.select("vec_id", "embedding")
+    lone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    good = rows.where(usable)
+    nodes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).withColumn("node", F.struct("node", F.monotonically_increasing_id().alias("nth"))))
+    # a node is known by the smallest id of its rows; where ids repeat, several nodes may have the same one
+    nodes = nodes.select("embedding", "n", F.col("node.node").alias("vec_id"), F.col("node.nth").alias("node"))
+    lengths = nodes.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if lengths is None:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    nodes = distinct.where(F.size("embedding") == lengths["size"])
+        return lone
     kind = vectors.schema["embedding"].dataType.simpleString()
     n_pivots = min(most_pivots, max(near, lengths["count"] // a_pivot))
-    drawn = nodes.orderBy(F.xxhash64("embedding"), "node").limit(n_pivots).select("embedding").toArrow()
+    drawn = nodes.where(F.size("embedding") == lengths["size"]).orderBy(F.xxhash64("embedding"), "vec_id").limit(n_pivots).select("embedding").toArrow()
     around = 2 * cosine * cosine - 1 if cosine > 0 else -1.0  # the cosine of twice the link's angle
     pivots = spread_pivots(_unit(_matrix(drawn.column("embedding"))), around)
     together = min(1 if lengths["count"] <= 4 * a_pivot * most_pivots else 2, len(pivots))
@@ -97,28 +112,33 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, near: int = 8, shared:
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                unit = _unit(_matrix(part.column("embedding")))
-                ranked = nearest_pivots(unit, sent.value, near)
-                home = np.where((unit * sent.value[ranked[:, 0]]).sum(axis=1) >= around, ranked[:, 0], -1)
-                held = np.sort(ranked, axis=1)
-                keys = np.stack([sum(held[:, c].astype(np.int64) * most_pivots**k for k, c in enumerate(pick)) for pick in combinations(range(held.shape[1]), min(together, held.shape[1]))], axis=1)
-                rows = np.repeat(np.arange(part.num_rows), keys.shape[1])
-                keys = keys.reshape(-1)
-                if together > 1:  # a single pivot's list is that of its home too
-                    at_home = np.flatnonzero(home >= 0)
-                    keys, rows = np.append(keys, home[at_home].astype(np.int64) * home_key), np.append(rows, at_home)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * ranked.shape[1]), pa.array(ranked.reshape(-1).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(c).take(pa.array(rows)) for c in ("node", "n", "embedding")), lists.take(pa.array(rows)), pa.array(home[rows].astype(np.int32))], ["list", "node", "n", "embedding", "pivots", "home"])
-
-    postings = cut(nodes.select("node", "n", "embedding").mapInArrow(described, f"list long, node long, n long, embedding {kind}, pivots array<int>, home int"))
-    blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / block).alias("blocks"))
+            sizes = np.asarray(pc.list_value_length(batch.column("embedding")))
+            for size in np.unique(sizes):
+                alike = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                own = fitted(sent.value, int(size))
+                for at in range(0, alike.num_rows, 2048):
+                    part = alike.slice(at, 2048)
+                    unit = _unit(_matrix(part.column("embedding")))
+                    ranked = nearest_pivots(unit, own, near)
+                    home = np.where((unit * own[ranked[:, 0]]).sum(axis=1) >= around, ranked[:, 0], -1)
+                    held = np.sort(ranked, axis=1)
+                    keys = np.stack([sum(held[:, c].astype(np.int64) * most_pivots**k for k, c in enumerate(pick)) for pick in combinations(range(held.shape[1]), min(together, held.shape[1]))], axis=1)
+                    rows = np.repeat(np.arange(part.num_rows), keys.shape[1])
+                    keys = keys.reshape(-1)
+                    if together > 1:  # a single pivot's list is that of its home too
+                        at_home = np.flatnonzero(home >= 0)
+                        keys, rows = np.append(keys, home[at_home].astype(np.int64) * home_key), np.append(rows, at_home)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * ranked.shape[1]), pa.array(ranked.reshape(-1).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), size, np.int32)), pa.array(keys), part.column("node").take(pa.array(rows)), lists.take(pa.array(rows)), pa.array(home[rows].astype(np.int32))], ["size", "list", "node", "pivots", "home"])
+
+    postings = cut(nodes.select("node", "embedding").mapInArrow(described, "size int, list long, node long, pivots array<int>, home int"))
+    blocks = postings.groupBy("size", "list").agg(F.count("*").alias("n")).where("n > 1").select("size", "list", F.ceil(F.col("n") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
-        postings.join(blocks, "list").withColumn("own", own)
+        postings.join(blocks, ["size", "list"]).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        .select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "embedding", "pivots", "home")
+        .select("size", "list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "pivots", "home")
+        .join(nodes.select("node", "n", "embedding"), "node")
     )
 
     def judged(table: pa.Table) -> pa.Table:
@@ -150,11 +170,10 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, near: int = 8, shared:
             "links": pa.array(np.concatenate([links[some], np.zeros(len(tree))]).astype(np.int64)),
         })
 
-    found = cut(dealt.groupBy("list", "i", "j").applyInArrow(judged, "a long, b long, links long"))
+    found = cut(dealt.groupBy("size", "list", "i", "j").applyInArrow(judged, "a long, b long, links long"))
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.where("a <> b").select("a", "b"))
-    classes = distinct.join(counts, "node", "left").join(roots, "node", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    keyed = vectors.select("vec_id", F.when(F.coalesce(usable, F.lit(False)) & F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding"))
-    return keyed.join(classes, "embedding", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    named = nodes.join(counts, "node", "left").join(roots, "node", "left").select("embedding", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    classes = cut(named.join(least, "root").select("embedding", "n_links", "component_id"))
+    return lone.union(good.join(classes, "embedding").select("vec_id", F.col("n_links").cast("long"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")))
