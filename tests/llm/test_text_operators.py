@@ -51,33 +51,60 @@ def test_encoding_of_odd_rows(odd_documents, no_documents):
 # ---- 2: I-Match ----
 
 
-def test_fingerprints_by_hand(spark):
-    texts = {i: prose(i % 17, 30 + i) for i in range(40)}
-    rows = {r["doc_id"]: r for r in fingerprints.edited_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), highest=0.9).collect()}
-    terms = {i: {w for w in re.findall(r"[a-z0-9]+", t)} for i, t in texts.items()}
-    df = Counter(w for s in terms.values() for w in s)
-    low, high = max(2, sum(df.values()) / (1 << 14)), max(2, 0.9 * len(texts))
-    signed = lambda w: np.int64(np.uint64(xxhash.xxh64(w.encode(), seed=42).intdigest()))
-
-    def marks(text):
-        band = sorted({signed(w) for w in re.findall(r"[a-z0-9]+", text) if low <= df.get(w, 0) <= high})
-        levels = [band]
-        for k in range(1, fingerprints.LEVELS):
-            levels.append([t for t in levels[-1] if int(t) >> 2 * k & 3 == 0])
-        subsets = [band] + [[t for t in levels[k] if int(t) >> (16 + 8 * k) & (fingerprints.SUBSETS - 1) == j] for k in range(fingerprints.LEVELS) for j in range(fingerprints.SUBSETS)]
-        return [bool(s) for s in subsets]
+def spark_hash(values):
+    """xxhash64 of an array of longs: each value hashed with the hash so far as its seed."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64(int(v).to_bytes(8, "little", signed=True), seed=h).intdigest()
+    return f"{h:016X}"
+
+
+def marks_by_hand(text, df, n_docs, least_idf, most_idf):
+    signed = lambda w: int(np.int64(np.uint64(xxhash.xxh64(w.encode(), seed=42).intdigest())))
+    every = sorted({signed(w) for w in re.findall(r"[a-z0-9]+", text)})
+    low, high = max(2, n_docs * math.exp(-most_idf)), max(2, n_docs * math.exp(-least_idf))
+    band = sorted({signed(w) for w in re.findall(r"[a-z0-9]+", text) if low <= df.get(w, 0) <= high})
+    levels = [band]
+    for k in range(1, fingerprints.LEVELS):
+        levels.append([t for t in levels[-1] if t >> 2 * k & 3 == 0])
+    subsets = [[t for t in levels[k] if t >> (16 + 8 * k) & (fingerprints.SUBSETS - 1) == j] for k in range(fingerprints.LEVELS) for j in range(fingerprints.SUBSETS)]
+    return [spark_hash(band) if band else "=" + spark_hash(every), *(spark_hash(x)[:8] if x else "-" for x in subsets)]
+
+
+@pytest.mark.parametrize("rows_a_range", [64, 4])
+def test_fingerprints_by_hand(spark, monkeypatch, rows_a_range):
+    real = fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "with_next", lambda df, column: real(df, column, rows_a_range))
+    texts = {i * i * i: prose(i % 17, 30 + i) for i in range(40)} | {1 << 62: "lonely words here", -(1 << 62): "nothing shared", 70000: ""}
+    idf = (math.log(1.2), math.log(10))
+    rows = {r["doc_id"]: r for r in fingerprints.edited_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), *idf).collect()}
+    df = Counter(w for t in texts.values() for w in set(re.findall(r"[a-z0-9]+", t)))
+    marks = {i: marks_by_hand(t, df, len(texts), *idf) for i, t in texts.items()}
+
+    def like(a, b):
+        either = sum(x != "-" or y != "-" for x, y in zip(a, b, strict=True))
+        return 1.0 if a == b else sum(x == y != "-" for x, y in zip(a, b, strict=True)) / either
 
     order = sorted(texts, reverse=True)
     for a, b in zip(order, [*order[1:], order[0]], strict=True):
         half = len(texts[a]) // 2
         edited = texts[a][: len(texts[a]) - half] + texts[b][:half]
+        new = marks_by_hand(edited, df, len(texts), *idf)
         assert rows[a]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert [m != "-" for m in rows[a]["fingerprint"].split(":")] == marks(texts[a])
-        assert [m != "-" for m in rows[a]["edited_fingerprint"].split(":")] == marks(edited)
-    same = {}
-    for i, r in rows.items():
-        assert same.setdefault(texts[i], r["fingerprint"]) == r["fingerprint"]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert rows[a]["fingerprint"] == ":".join(marks[a]) and rows[a]["edited_fingerprint"] == ":".join(new)
+        assert rows[a]["near_edited"] == pytest.approx(like(marks[a], new)) and rows[a]["near_next"] == pytest.approx(like(marks[a], marks[b]))
+    assert marks[1 << 62][0][0] == "=" and rows[1 << 62]["near_next"] == 0
+
+
+def test_next_rows_of_repeated_and_distant_ids(spark):
+    rows = [(7, f"text {i}") for i in range(300)] + [(1 << 60, "far"), (None, "null id"), (3, "x"), (3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprints.with_next(df, "text", rows_a_range=8).collect()
+    assert sorted(r["next_text"] for r in got) == sorted(t for _, t in rows)  # every row follows one row
+    places = {(r["range"], r["nth"]): r for r in got}
+    assert len(places) == len(rows) and all(places[r["next_range"], r["next_nth"]]["text"] == r["next_text"] for r in got)
+    assert max(Counter(r["range"] for r in got).values()) < 100
+    assert next(r["next_text"] for r in got if r["doc_id"] is None) == "far"
 
 
 def test_fingerprints_of_odd_rows(odd_documents, no_documents):
@@ -126,7 +153,6 @@ def test_packing_matches_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BPE)
-    library.encode_special_tokens = True
     texts = [prose(i, 20 + 37 * (i % 60)) for i in range(150)] + ["", "  double  spaces ", "don't <|endoftext|> we'll\n\n x", "ünï 日本 🙂 ", "tab\t x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = packing.pack_documents(df, BPE, together=64).collect()
@@ -284,7 +310,7 @@ def test_signatures_are_unbiased():
     agree = []
     for salt in range(30):
         batch = pa.RecordBatch.from_arrays([pa.array([t.replace("a", f"a{salt}") for t in texts])], ["text"])
-        for _, data, first in text_chunks(batch, "text"):
+        for _, data, first in text_chunks(batch.column("text")):
             text, key, times = minhash.shingles(find_words(data, first))
             s = minhash.bag_min_hash(text, key, times, 2)
             agree.append((s[0] == s[1]).mean())
