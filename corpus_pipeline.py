@@ -10,32 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewalk.llm import langid, minhash, packing, secrets, toxicity
-from gradewalk.llm.common import cut, table
+from gradewalk.llm.common import cut, row_key, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
-    """The columns that operators read, and the whole row as one column, so that no other name can clash."""
+    """The columns that operators learn from, and the whole row as one column, so that no other name can clash."""
     return docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns], F.struct(*docs.columns).alias("_row"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model marks as toxic go."""
-    scored = toxicity.score_toxicity(_with_row(docs), table(spark, sf_dir, "labels"), carry=["doc_id", "_row"])
+    scored = toxicity.score_toxicity(_with_row(docs), table(spark, sf_dir, "labels"), row="_row")
     return scored.where("predicted = 0").select("_row.*")
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identifiable language go: those with null texts or no letter."""
-    labelled = langid.identify_language(_with_row(docs), carry=["doc_id", "_row"])
+    labelled = langid.identify_language(_with_row(docs), row="_row")
     return labelled.where("lang_pred <> 'und'").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the smallest id; rows of the same id and text are one."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One document of each near-duplicate class stays, that of the smallest id; rows of the same id and text are one document.
+
+    Rows with a null id are in no class: only those with the same text as well are one.
+    """
+    gone = minhash.classified(docs).where(~F.col("kept")).select("doc_id", "key_hash").distinct()
+    rows = row_key(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))).drop("text", "key_id")
+    return rows.join(gone, ["doc_id", "key_hash"], "left_anti").dropDuplicates(["doc_id", "key_hash"]).select("_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
