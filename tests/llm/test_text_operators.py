@@ -329,7 +329,7 @@ def test_near_duplicates_of_odd_rows(odd_documents, no_documents):
 
 def test_lm_base_and_score(spark):
     docs = [(i, prose(i, 50) + ("\tCafé\x0b" if i % 3 else "")) for i in range(120)] + [(500, None), (501, "")]
-    rows = {r["doc_id"]: r for r in pitman_yor.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), most_common=64).collect()}
+    rows = {r["doc_id"]: r for r in pitman_yor.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), ""] for i, t in docs}
     held = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 == 2}
@@ -343,11 +343,119 @@ def test_lm_base_and_score(spark):
 
 def test_speller_is_a_distribution():
     rng = np.random.default_rng(0)
-    key = (rng.integers(97, 102, 400) << 16) | (rng.integers(97, 102, 400) << 8) | rng.integers(97, 102, 400)
-    levels, above, reached = pitman_yor.sample_restaurants(key, np.ones(400), 2, 2, lambda k: np.full(len(k), 1 / 256), 0.0, 1)
-    (two,) = levels
-    mass = np.bincount(two.at, two.a, len(two.names)) + two.gamma
-    assert np.allclose(mass, 1) and reached.sum() <= 400 and len(above) == len(reached)
+    key = np.unique((rng.integers(97, 102, 400) << 16) | (rng.integers(97, 102, 400) << 8) | rng.integers(97, 102, 400))
+    speller = pitman_yor.fit_speller(key, rng.integers(1, 9, len(key)).astype(float))
+    for context in (0, 0x6161, 0x6261, 0x7A61, 0x7A7A):
+        assert (10 ** speller.log10((context << 8) | np.arange(256))).sum() == pytest.approx(1)
+
+
+def lm_scores(spark, rows, parts, monkeypatch=None):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    return {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(df).collect()}
+
+
+def test_lm_depends_on_order_but_not_on_partitions(spark):
+    trained = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
+    held = [i for i in range(400, 900) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    line = "the cat sat on the mat and the dog ran to the park"
+    rows = [(i, f"{line} {prose(i, 5)}") for i in trained] + [(held[0], line), (held[1], " ".join(sorted(line.split()))), (held[2], "zzzq " * 3)]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    two = lm_scores(spark, rows, 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    seven = lm_scores(spark, rows, 5)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert two[held[0]] > two[held[1]] + 3 and two[held[0]] > two[held[2]]
+    assert all(two[i] == pytest.approx(seven[i], abs=1e-9) for i in two)
+
+
+def test_lm_pairs_are_brought_together(monkeypatch):
+    """Every pair's context and count, and what the endings' restaurants get at first, against plain loops."""
+    halls = []
+    monkeypatch.setattr(pitman_yor, "SHARE", 40)
+    texts = [prose(i, 12) for i in range(30)]
+    batch = [w for t in texts for w in [*t.split(), ""]]
+    n = Counter(batch)
+    raw = sorted(w.encode() for w, k in n.items() if k >= max(2, -(-len(batch) // 40)))
+    w = pitman_yor.spell_table(raw)
+    order = np.argsort(w.hash())
+    contexts = pitman_yor.Contexts(w.hash()[order], np.array([n[raw[i].decode()] for i in order]), pitman_yor.endings(w, np.arange(len(raw)))[order], [raw[i] for i in order], np.ones(len(raw), int))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    blobs = list(pitman_yor.occurrences(find_words(data, first, pitman_yor.NOT_SPACE), np.zeros(30, int), contexts, 3))
+    for b in {x["bucket"] for x in blobs}:
+        rows = [pitman_yor._row(slice=0, **x) for x in blobs if x["bucket"] == b]
+        import pyarrow as pa
+
+        halls += [pitman_yor.Hall(r, contexts) for r in pitman_yor.brought_together(pa.Table.from_batches(rows), 20).to_pylist()]
+    codes = {x.decode(): k for k, x in enumerate(contexts.raw)}
+    ending = lambda x: (x[-1] | (x[-2] if len(x) > 1 else 0x20) << 8)
+    pairs = Counter()
+    for t in texts:
+        before = None
+        for word in [*t.split(), ""]:
+            g = pitman_yor.ENDINGS - 1 if before is None else ending(before.encode())
+            pairs[word, codes.get(before, None), g] += 1
+            before = word
+    found = Counter()
+    for h in halls:
+        words = [h.words.data[a:b].tobytes().decode() for a, b in zip(h.words.start, h.words.end, strict=True)]
+        for k in range(len(h.c)):
+            found[words[h.word[k]], int(h.code[k]) if h.own[k] else None, int(h.ending[h.at_ending[k]])] += h.c[k]
+    assert found == pairs
+    assert sum(h.c_ending.sum() for h in halls) == sum(1 if k is not None else c for (_, k, _), c in pairs.items())
+
+
+def test_lm_predictions_sum_to_one():
+    rng = np.random.default_rng(4)
+    words = [f"w{i}".encode() for i in range(12)]
+    w = pitman_yor.spell_table(words)
+    order = np.argsort(w.hash())
+    contexts = pitman_yor.Contexts(w.hash()[order][:3], np.array([9, 9, 9]), np.array([300, 301, 300]), [words[i] for i in order[:3]], np.ones(3, int))
+    counts = rng.integers(0, 4, (12, 5))  # after three frequent words, and after the endings 300 and 301 alone
+    codes = np.array([0, 1, 2, 3 + 300, 3 + 301])
+    ranks = np.sort(contexts.rank_of[codes])
+    by_rank = counts[:, [codes.tolist().index(contexts.code_of[r]) for r in ranks]]
+    row = {"spelling": b"".join(words), "sizes": pitman_yor.planes(np.array(list(map(len, words)))), "pairs": pitman_yor.planes(np.full(12, 5)), "ranks": pitman_yor.planes(np.tile(ranks, 12)), "trained": pitman_yor.planes(by_rank.ravel(), 8)}
+    hall = pitman_yor.Hall(row, contexts)
+    spelling = np.full(12, 0.01)
+
+    def totals():
+        by = {}
+        for kind, key, value in hall.sums():
+            by.setdefault(kind, []).append((key, value))
+        full = lambda k, n: sum(np.bincount(a, b, n) for a, b in by[k])
+        often = full(5, 3)
+        tables = np.minimum(often, 1)
+        return pitman_yor.Totals(full(6, 3), full(0, 3), full(1, pitman_yor.ENDINGS), full(2, pitman_yor.ENDINGS), often, tables, full(3, 1)[0] + often.sum(), full(4, 1)[0] + tables.sum())
+
+    discounts, now = [0.7, 0.6, 0.5], totals()
+    for number in range(1, 4):
+        hall.sweep(number, now, discounts, spelling)
+        now = totals()
+        assert (hall.t <= hall.c).all() and ((hall.t > 0) == ((hall.c > 0) & hall.own)).all() and (hall.t_ending <= hall.c_ending).all()
+        pair = hall.probabilities(now, discounts, spelling)[2].reshape(12, 5)
+        unseen = (pitman_yor.STRENGTH + discounts[2] * now.root_t) / (pitman_yor.STRENGTH + now.root_n)
+        for k, r in enumerate(ranks):
+            code = contexts.code_of[r]
+            g = contexts.ending_of[code]
+            left = unseen * (pitman_yor.STRENGTH + discounts[1] * now.ending_t[g]) / (pitman_yor.STRENGTH + now.ending_n[g])
+            if code < 3:
+                left *= (pitman_yor.STRENGTH + discounts[0] * now.context_t[code]) / (pitman_yor.STRENGTH + now.context_n[code])
+            assert pair[:, k].sum() + left * (1 - 12 * 0.01) == pytest.approx(1)  # the rest of the spellings
+
+
+def test_seats_follow_the_process():
+    key = pitman_yor.mix(np.arange(20_000, dtype=np.uint64))
+    c, other, p, d = np.full(20_000, 40.0), 30.0, 0.02, 0.6
+    t = pitman_yor.seat(c, np.full(20_000, other), np.full(20_000, p), key, d)
+    rng, drawn = np.random.default_rng(1), []
+    for _ in range(4000):
+        tables = 1
+        for n in range(1, 40):
+            weight = (pitman_yor.STRENGTH + d * (other + tables)) * p
+            tables += rng.random() < weight / (n - d * tables + weight)
+        drawn.append(tables)
+    assert t.mean() == pytest.approx(np.mean(drawn), abs=0.05) and t.std() == pytest.approx(np.std(drawn), abs=0.08)
 
 
 def test_lm_of_odd_rows(odd_documents, no_documents):
