@@ -17,20 +17,29 @@ def regular_breakpoints(length: Column, every: float = 15.0) -> Column:
     return F.when(good == 0, F.array(F.lit(0.0))).otherwise(F.concat(F.filter(steps, lambda s: s < good), F.array(good)))
 
 
-def threshold_breakpoints(df: DataFrame, key: str, d: str, g: str, thresholds: tuple[float, ...] = (0.06, 0.10, 0.12)) -> DataFrame:
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def sample_grade() -> Column:
+    """The grade that segments are cut by: the rolling one over 20 m, else the plain one, else 0."""
+    return F.coalesce("rolling_grade_20m", "grade", F.lit(0.0))
+
+
+def threshold_breakpoints(df: DataFrame, key: str, d: str, g: str | Column, thresholds: tuple[float, ...] = (0.06, 0.10, 0.12)) -> DataFrame:
     """(key, threshold, at): where the absolute grade crosses a threshold, interpolated between samples."""
     w = along(key, d)
-    pairs = df.select(key, F.col(d).alias("_d"), F.abs(F.coalesce(F.col(g), F.lit(0.0))).alias("_l"), F.lead(d).over(w).alias("_d2"), F.abs(F.coalesce(F.lead(g).over(w), F.lit(0.0))).alias("_r")).where(F.col("_d2").isNotNull())
+    pairs = df.select(key, F.col(d).alias("_d"), F.abs(F.coalesce(_column(g), F.lit(0.0))).alias("_l"), F.lead(d).over(w).alias("_d2"), F.abs(F.coalesce(F.lead(_column(g)).over(w), F.lit(0.0))).alias("_r")).where(F.col("_d2").isNotNull())
     pairs = pairs.withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in sorted(map(abs, thresholds))))))
     t, left, right = F.col("threshold"), F.col("_l"), F.col("_r")
     crossed = pairs.where(((left < t) & (t <= right)) | ((right < t) & (t <= left)))
     return crossed.select(key, "threshold", (F.col("_d") + (t - left) / (right - left) * (F.col("_d2") - F.col("_d"))).alias("at"))
 
 
-def extrema_breakpoints(df: DataFrame, key: str, d: str, g: str, prominence: float = 0.02) -> DataFrame:
+def extrema_breakpoints(df: DataFrame, key: str, d: str, g: str | Column, prominence: float = 0.02) -> DataFrame:
     """(key, at): strict peaks and valleys of the grade that stand out from both neighbours."""
     w = along(key, d)
-    x = F.coalesce(F.col(g), F.lit(0.0))
+    x = F.coalesce(_column(g), F.lit(0.0))
     rows = df.select(key, F.col(d).alias("at"), x.alias("_x"), F.lag(x).over(w).alias("_b"), F.lead(x).over(w).alias("_a"))
     up, down = F.col("_x") - F.col("_b"), F.col("_x") - F.col("_a")
     return rows.where(((up > 0) & (down > 0) | (up < 0) & (down < 0)) & (F.least(F.abs(up), F.abs(down)) >= prominence)).select(key, "at")

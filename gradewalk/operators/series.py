@@ -22,9 +22,15 @@ def checked_distances(df: DataFrame, key: str = "edge_id", d: str = "dist_m") ->
 
 
 def grade(key: str = "edge_id", d: str = "dist_m", z: str = "z_smooth_m") -> Column:
-    """Slope from the sample before; null at the first."""
+    """Slope from the sample before; null at the first.  Distances that don't rise strictly fail."""
     w = along(key, d)
-    return (F.col(z) - F.lag(z).over(w)) / (F.col(d) - F.lag(d).over(w))
+    return rising(key, d, (F.col(z) - F.lag(z).over(w)) / (F.col(d) - F.lag(d).over(w)))
+
+
+def rising(key: str, d: str, value: Column) -> Column:
+    """``value``, or a failure where the distance isn't above the one before; it needs no window of its own."""
+    wrong = F.lag(d).over(along(key, d)) >= F.col(d)
+    return F.when(wrong, F.raise_error(F.lit("distances must rise strictly")).cast("double")).otherwise(value)
 
 
 def rolling_grade(window_m: float, key: str = "edge_id", d: str = "dist_m", z: str = "z_smooth_m") -> Column:
@@ -45,7 +51,7 @@ def with_grades(df: DataFrame, key: str = "edge_id", d: str = "dist_m", z: str =
 
 
 def gain_loss(df: DataFrame, key: str = "edge_id", d: str = "dist_m", z: str = "z_smooth_m") -> DataFrame:
-    dz = df.withColumn("_dz", F.col(z) - F.lag(z).over(along(key, d)))
+    dz = df.withColumn("_dz", rising(key, d, F.col(z) - F.lag(z).over(along(key, d))))
     return dz.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("_dz") > 0, F.col("_dz"))), F.lit(0.0)).alias("gain_m"), F.coalesce(F.sum(F.when(F.col("_dz") <= 0, -F.col("_dz"))), F.lit(0.0)).alias("loss_m"))
 
 

@@ -99,6 +99,8 @@ ORACLES = {
       select event_id, highway <> 'motorway' and not closed and not (no_sidewalk and highway = 'residential') as walkable from t""",
     "json_heights": "select event_id, cast(cast(value as decimal(20, 4)) as varchar)::double as z_m from events",
     "directed_edges": "select 2 * o_orderkey + 1 as edge_id, o_custkey as source, o_orderkey % 97 as target from orders union all select 2 * o_orderkey + 2, o_orderkey % 97, o_custkey from orders",
+    "segment_numbers": """with w as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos from lineitem)
+      select l_orderkey as way_idx, pos, row_number() over (order by l_orderkey, pos) - 1 as number from w""",
     "explain_text": f"""with {E}, {PROFILES_SQL}, {COST}, {METRICS}, r as (select l_orderkey, round(time_s, 4) as t, round(distance_m, 4) + 0.37 as d, round(max_up, 4) as g from m),
       o as (select o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as before from orders),
       j as (select o_orderkey, a.*, b.t as ft, b.g as fg from o join r a on a.l_orderkey = o_orderkey left join r b on b.l_orderkey = before),

@@ -15,7 +15,7 @@ from gradewalk.functions import cost, geo, text
 from gradewalk.operators import alternatives, breaks, joins, narrate, routing, series, smoothing
 from gradewalk.plans.fixture import hill_graph
 from gradewalk.schemas import PROFILES, prefs_for_mode, prefs_struct, with_profiles
-from gradewalk.sources import graph
+from gradewalk.sources import build, graph
 from gradewalk.sources.elevation import parse_batch_answer
 from gradewalk.sources.osm import is_walkable_way
 
@@ -278,9 +278,28 @@ def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def directed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as segments between customer and clerk's nation, walked both ways: ids 2i + 1 and 2i + 2."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("a"), F.pmod("o_orderkey", F.lit(97)).alias("b"))
-    both = F.array(F.struct((2 * F.col("i") + 1).alias("edge_id"), F.col("a").alias("source"), F.col("b").alias("target")), F.struct((2 * F.col("i") + 2).alias("edge_id"), F.col("b").alias("source"), F.col("a").alias("target")))
-    return o.select(F.explode(both).alias("e")).select("e.*")
+    line = F.array().cast("array<struct<lon:double,lat:double>>")
+    o = table(spark, sf_dir, "orders").select((2 * F.col("o_orderkey") + 1).alias("edge_id"), F.col("o_custkey").alias("source_osm_node_id"), F.pmod("o_orderkey", F.lit(97)).alias("target_osm_node_id"), line.alias("geometry"), F.lit(None).alias("osm_way_id"), F.lit(None).alias("tags"))
+    return build.both_ways(o).select("edge_id", "source", "target")
+
+
+def segment_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as segments of ways, numbered in order of way and place."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    ways = li.select(F.col("l_orderkey").alias("way_idx"), place.alias("pos"))
+    return build.numbered(ways, range_ways=1024).select("way_idx", "pos", F.col("number").cast("long").alias("number"))
+
+
+def centerline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-point lines of customers and of suppliers that lie within 60 m of each other, on a flat patch."""
+    def lines(name: str, key: str, turn: int) -> DataFrame:
+        x, y = F.pmod(F.col(key) * (7919 + turn), F.lit(2003)) * 1e-5, F.pmod(F.col(key) * (104729 + turn), F.lit(1999)) * 1e-5
+        at = lambda dx, dy: F.struct((x - 122.44 + dx).alias("lon"), (y + 37.77 + dy).alias("lat"))
+        return table(spark, sf_dir, name).select(key, F.array(at(0.0, 0.0), at(F.pmod(F.col(key), F.lit(11)) * 2e-5, F.pmod(F.col(key), F.lit(7)) * 3e-5)).alias("geometry"))
+
+    near = joins.lines_within(lines("customer", "c_custkey", 0), "c_custkey", lines("supplier", "s_suppkey", 2), "s_suppkey", 60.0)
+    return near.select("c_custkey", "s_suppkey", F.round("distance_m", 1).alias("distance_m"))
 
 
 def _requests(spark: SparkSession) -> DataFrame:
@@ -316,4 +335,4 @@ def supplier_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     grade_lag, gain_loss, rolling_grades, edge_grade_metrics, reverse_profile, hampel_filter, savgol_smooth, smooth_profile, threshold_breaks, extrema_breaks, regular_breaks, merge_breaks,
     penalty_curves, edge_cost_profiles, route_metrics, snap_nearest, distance_join, bearing_turns, shortest_path_cost, supplier_routes, connector_reach, dedupe_overlap, pareto_front, hill_events,
-    direction_steps, absorb_short, street_name_format, walkable_filter, json_heights, explain_text, directed_edges, route_candidates, geojson_features)}
+    direction_steps, absorb_short, street_name_format, walkable_filter, json_heights, explain_text, directed_edges, segment_numbers, centerline_distances, route_candidates, geojson_features)}

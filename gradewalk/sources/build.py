@@ -38,15 +38,32 @@ def densified(segments: DataFrame, spacing_m: float = 20.0) -> DataFrame:
     return dense.select("edge_id", (F.row_number().over(order) - 1).alias("seq"), "lon", "lat", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("dist_m"))
 
 
+def numbered(segments: DataFrame, range_ways: int = 1 << 16) -> DataFrame:
+    """Segments with ``number``, their place from 0 in order of way_idx and pos: sums over ranges of ways, then over the ways of a range."""
+    in_way = segments.withColumn("_nth", F.row_number().over(Window.partitionBy("way_idx").orderBy("pos")) - 1)
+    ways = segments.groupBy("way_idx").agg(F.count("*").alias("n")).withColumn("_range", F.floor(F.col("way_idx") / range_ways))
+    until = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ways.groupBy("_range").agg(F.sum("n").alias("n")).withColumn("_before", until(Window.orderBy("_range"))).drop("n")
+    ways = ways.withColumn("_inside", until(Window.partitionBy("_range").orderBy("way_idx"))).join(ranges, "_range")
+    return in_way.join(ways.select("way_idx", (F.col("_before") + F.col("_inside")).alias("_first")), "way_idx").withColumn("number", F.col("_first") + F.col("_nth")).drop("_first", "_nth")
+
+
+def both_ways(segments: DataFrame) -> DataFrame:
+    """Directed edges of segments (edge_id, odd, and the ends as ``*_osm_node_id``): the edge back has the next id and the line turned round."""
+    rest = ["osm_way_id", "tags"]
+    ends = lambda a, b: [F.col(f"{a}_osm_node_id").alias("source"), F.col(f"{b}_osm_node_id").alias("target")]
+    forward = segments.select("edge_id", *ends("source", "target"), "geometry", *rest)
+    back = segments.select((F.col("edge_id") + 1).alias("edge_id"), *ends("target", "source"), F.reverse("geometry").alias("geometry"), *rest)
+    return forward.unionByName(back)
+
+
 def build_directed_graph(segments: DataFrame, heights: Callable[[DataFrame], DataFrame], spacing_m: float = 20.0) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges.  ``segments`` as from ``osm.segments``; ``heights`` adds z_m to points (lat, lon).
 
     Segment i gives edge 2i + 1 forward and 2i + 2 backward.  A node's height is the smoothed height at
     the last segment that touches it, its target end after its source end.
     """
-    numbered = segments.select("*", F.row_number().over(Window.partitionBy("way_idx").orderBy("pos")).alias("in_way"))
-    before = numbered.groupBy("way_idx").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("way_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    base = stored(numbered.join(before.drop("n"), "way_idx").withColumn("edge_id", 2 * (F.col("before") + F.col("in_way") - 1) + 1))
+    base = stored(numbered(segments).withColumn("edge_id", 2 * F.col("number") + 1))
     dense = densified(base, spacing_m)
     places = heights(dense.select("lat", "lon").distinct())
     raw = dense.join(places, ["lat", "lon"]).select("edge_id", "dist_m", F.col("z_m").alias("z_raw_m"), F.col("z_m").alias("z_smooth_m"))
@@ -54,10 +71,8 @@ def build_directed_graph(segments: DataFrame, heights: Callable[[DataFrame], Dat
     backward = reversed_samples(forward.withColumn("edge_id", F.col("edge_id") + 1))
     samples = forward.unionByName(backward)
     lists = samples.groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct("dist_m", "z_raw_m", "z_smooth_m", "grade", "rolling_grade_20m", "rolling_grade_50m"))).alias("samples"))
-    one = base.select("edge_id", F.col("source_osm_node_id").alias("source"), F.col("target_osm_node_id").alias("target"), "geometry", "osm_way_id", "tags")
-    other = base.select((F.col("edge_id") + 1).alias("edge_id"), F.col("target_osm_node_id").alias("source"), F.col("source_osm_node_id").alias("target"), F.reverse("geometry").alias("geometry"), "osm_way_id", "tags")
     length = geo.geometry_length_m(F.col("geometry"))
-    both = one.unionByName(other).withColumns({**edge_attributes(F.col("tags")), "source_tags": F.col("tags"), "length_m": length, "base_time_s": length / WALKING_SPEED}).drop("tags")
+    both = both_ways(base).withColumns({**edge_attributes(F.col("tags")), "source_tags": F.col("tags"), "length_m": length, "base_time_s": length / WALKING_SPEED}).drop("tags")
     both = both.join(lists, "edge_id", "left").join(edge_grade_metrics(samples), "edge_id", "left")
     fields = _schema(EDGES)
     have = set(both.columns)

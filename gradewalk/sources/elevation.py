@@ -10,6 +10,7 @@ from urllib.parse import urlencode
 from urllib.request import urlopen
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +87,35 @@ def ask_batch_service(keys: list[str], batch: int = 25, retries: int = 4, timeou
     return out
 
 
-def heights(points: DataFrame, ask: Callable[[list[str]], list[float]], cache: DataFrame | None = None, at_once: int = 4) -> DataFrame:
-    """``points`` (lat, lon) with z_m.  Each distinct point that the cache (key, z_m) lacks is asked for once, by ``at_once`` tasks."""
+PROVIDERS: dict[str, Callable[[list[str]], list[float]]] = {"usgs": ask_point_service, "open-meteo": ask_batch_service}
+
+
+def provided(points: DataFrame, provider: str, cache_path: str | None = None, z_m: float = 0.0) -> DataFrame:
+    """``points`` with the heights of a provider by name; ``flat`` gives all the same one."""
+    if provider == "flat":
+        return flat(points, z_m)
+    if provider not in PROVIDERS:
+        raise ValueError(f"no provider of heights is named {provider}")
+    return heights(points, PROVIDERS[provider], cache_path=cache_path)
+
+
+def cached(points: DataFrame, path: str) -> DataFrame | None:
+    """The heights kept at a path, or None where there are none yet."""
+    try:
+        return points.sparkSession.read.schema("key string, z_m double").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def heights(points: DataFrame, ask: Callable[[list[str]], list[float]], cache: DataFrame | None = None, at_once: int = 4, cache_path: str | None = None) -> DataFrame:
+    """``points`` (lat, lon) with z_m.  Each distinct point that the cache (key, z_m) lacks is asked for once, by ``at_once`` tasks.
+
+    With ``cache_path`` the cache is the Parquet table there, and what was asked for is added to it.
+    """
+    if cache_path is not None:
+        cache = cached(points, cache_path)
     keyed = points.withColumn("key", point_key(F.col("lat"), F.col("lon")))
     wanted = keyed.select("key").distinct()
     if cache is not None:
@@ -98,4 +126,7 @@ def heights(points: DataFrame, ask: Callable[[list[str]], list[float]], cache: D
             yield f.assign(z_m=ask(f["key"].tolist()))
 
     got = stored(wanted.repartition(at_once).mapInPandas(asked, "key string, z_m double"))
+    if cache_path is not None:
+        cache = stored(cache) if cache is not None else None  # what it held before this
+        got.write.mode("append").parquet(cache_path)
     return keyed.join(got if cache is None else got.union(cache.select("key", "z_m")), "key", "left").drop("key")

@@ -25,9 +25,31 @@ def is_walkable_way(tags: Column) -> Column:
     return highway.isin(WALKABLE) & ~value("access").isin(CLOSED) & ~value("foot").isin(CLOSED) & ~((value("sidewalk") == "no") & ~highway.isin(WITHOUT_SIDEWALK))
 
 
-def overpass_query(south: float, west: float, north: float, east: float) -> str:
-    kinds = "|".join(sorted(WALKABLE))
-    return f'[out:json][timeout:90];(way["highway"~"^({kinds})$"]({south},{west},{north},{east}););(._;>;);out body;'
+#: Named boxes as south, west, north, east.
+BOXES = {"page-duboce": (37.7678, -122.4412, 37.7744, -122.4314), "sf": (37.7070, -122.5155, 37.8335, -122.3550)}
+SIDES = ("south", "west", "north", "east")
+
+
+def box(preset: str = "sf", **sides: float | None) -> dict[str, float]:
+    """A named box, each side replaced by the one that is given."""
+    if preset not in BOXES:
+        raise ValueError(f"no box is named {preset}")
+    if set(sides) - set(SIDES):
+        raise TypeError("a box has the sides south, west, north and east")
+    return dict(zip(SIDES, BOXES[preset], strict=True)) | {k: float(v) for k, v in sides.items() if v is not None}
+
+
+def overpass_query(south: float, west: float, north: float, east: float, timeout_s: int = 120) -> str:
+    """Walkable ways in a box and their nodes, as a query of the Overpass service."""
+    ways = f'way["highway"~"^({"|".join(sorted(WALKABLE))})$"]({south},{west},{north},{east});'
+    settings, members = f"[out:json][timeout:{timeout_s}];", "(._;>;);"
+    return f"{settings}({ways});{members}out body;"
+
+
+def box_segments(spark: SparkSession, within: dict[str, float], to: str, url: str, timeout_s: int = 120) -> DataFrame:
+    """Walkable segments in a box: the service's answer is kept in the file ``to``, which all executors must see."""
+    fetch(url, to, overpass_query(**within, timeout_s=timeout_s), timeout_s)
+    return segments(read_overpass(spark, to))
 
 
 def fetch(url: str, to: str, query: str | None = None, timeout_s: float = 120) -> None:
