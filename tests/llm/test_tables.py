@@ -42,6 +42,7 @@ def test_links_by_brute_force(spark):
     vectors = [*base, *near, base[3], base[3] * 4, base[5]]
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
     odd = [(1000, None), (1001, [0.0] * 16), (1002, [None] * 16), (1003, [float("nan")] * 16), (1004, [float("inf")] + [1.0] * 15), (1005, [1.0, 2.0]), (1006, []), (None, rows[0][1])]
+    # vectors that differ in length from most of the others
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     got = {r["vec_id"]: r for r in pivots.link_vectors(df.where("vec_id is null or vec_id is not null"), block=64).collect()}
     u = np.array([v for _, v in rows])
@@ -74,6 +75,21 @@ def test_links_inside_a_large_group_of_noisy_copies(spark, sizes):
     assert [got[i] for i in range(len(u))] == links.tolist()
 
 
+def test_links_of_rare_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(100, 129)]
+    rows += [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 2.001]), (4, [-2.0, 1.0]), (5, [1.0, 2.0, 0.0, 0.0, 0.0]), (6, [1.0, 2.0, 0.0, 0.0, 0.01]), (7, [0.0, 0.0, 1.0, 0.0]), (7, [0.0, 0.0, 0.0, 1.0]), (8, [0.0, 0.0, 1.0, 0.01])]
+    got = pivots.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id < 100").collect()
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got)
+    assert found == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (7, 1, 7, True), (8, 1, 7, False)]
+
+
+def test_urls_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "http://example.com/en/"), (1, "http://example.com/en/"), (1, None)], "page_id long, url string")
+    rows = sorted((r["page_id"], r["verdict"]) for r in urls.filter_urls(df, urls.rules_table(spark, URL_RULES)).collect())
+    assert rows == [(1, "allow"), (1, "block"), (1, "block")]
+
+
 def test_links_of_empty_tables(spark):
     df = spark.createDataFrame([(1, [0.0])], "vec_id long, embedding array<float>")
     assert pivots.link_vectors(df.limit(0)).count() == 0

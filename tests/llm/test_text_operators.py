@@ -42,6 +42,24 @@ def test_encoding_equals_the_library(spark, odd_documents):
     assert {i: "".join(r["text"] for r in back if r["doc_id"] == i) for i in range(len(texts))} == {i: t.replace("▁", " ") for i, t in enumerate(texts)}
 
 
+def test_boundary_states_of_many_chunks(spark):
+    """The tree of products and the way back down give the path of greatest weight that a plain pass finds."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for row, n in ((1, 300), (2, 1), (3, 7)):
+        states = [["0|"], *([f"{k}|x" for k in range(3)] for _ in range(n - 1)), ["0|end"]]
+        best = {"0|": (0, ["0|"])}
+        for chunk in range(n):
+            weight = {(e, x): rng.randrange(10**6) for e in states[chunk] for x in states[chunk + 1] if rng.random() < 0.8 or (e, x) == (states[chunk][0], states[chunk + 1][0])}
+            rows += [(row, n, chunk, e, x, w) for (e, x), w in weight.items()]
+            best = {x: max((best[e][0] + weight[e, x], [*best[e][1], x]) for e in best if (e, x) in weight) for x in states[chunk + 1] if any((e, x) in weight for e in best)}
+        want[row] = best["0|end"][1]
+    df = spark.createDataFrame(rows, "row long, n int, block int, e string, x string, weight long").repartition(3)
+    got = sentencepiece_bpe.boundary_states(df, 300).collect()
+    for row, path in want.items():
+        assert [(r["e"], r["x"]) for r in sorted(got, key=lambda r: r["block"]) if r["row"] == row] == list(zip(path, path[1:], strict=False))
+
+
 def test_encoding_of_odd_rows(odd_documents, no_documents):
     rows = sentencepiece_bpe.encoding_report(odd_documents, PIECES).collect()
     assert len(rows) == 10 and all(r["round_trip"] for r in rows) and {r["n_ids"] for r in rows if r["doc_id"] in (2, 3)} == {0}
@@ -137,6 +155,37 @@ def test_toxicity_held_out(labelled):
     assert len(rows) == 600 and sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_kneser_ney_models_are_distributions(labelled):
+    docs, labels = labelled
+    sample = docs.join(labels, "doc_id").select("doc_id", "text", "toxic")
+    model = toxicity.fit_kneser_ney(sample)
+    pairs, words = [Counter(), Counter()], set()
+    for r in sample.collect():
+        w = r["text"].split()
+        words.update(w)
+        pairs[r["toxic"]].update(zip(w, w[1:], strict=False))
+    ends = [Counter(b for _, b in p) for p in pairs]
+    followed = {b for p in pairs for _, b in p}
+    n_rare = len(followed) - len(model.words) + 1
+    assert model.word_p.sum(axis=1) + model.rare_p * n_rare == pytest.approx(np.ones(2))
+    names = sorted(words)
+    data = "".join(names).encode()
+    edges = np.concatenate([[0], np.cumsum([len(x.encode()) for x in names])])
+    h = dict(zip(names, find_words(np.frombuffer(data, np.uint8), edges).hash(), strict=True))
+    assert {"idiot", "moron", "scum"} <= {x for x in names if h[x] in model.words}
+    total = [sum(e.values()) for e in ends]
+    for x in names:
+        if h[x] in model.words:  # by hand, up to the common scale
+            at = np.searchsorted(model.words, h[x])
+            telling = [y for y in names if h[y] in model.words]
+            shared = sum(e[x] for e in ends) / sum(e[y] for e in ends for y in telling)
+            by_hand = [(max(e[x] - 0.75, 0) + 0.75 * max(1, sum(e[y] > 0 for y in telling)) * shared) / total[c] for c, e in enumerate(ends)]
+            assert model.word_p[:, at] == pytest.approx(by_hand, rel=0.02)
+    for k, a in enumerate(model.histories):  # what pairs are given and what is left to the words is everything
+        mine = [j for (x, y) in {*pairs[0], *pairs[1]} if h[x] == a for j in np.flatnonzero(model.pairs == toxicity.pair_hash(np.array([h[x]]), np.array([h[y]]))[0])]
+        assert model.given[:, mine].sum(axis=1) + model.left[:, k] == pytest.approx(np.ones(2))
+
+
 def test_toxicity_of_odd_rows(spark, odd_documents, no_documents, labelled):
     empty = labelled[1].limit(0)
     rows = toxicity.score_toxicity(odd_documents, empty).collect()
@@ -223,6 +272,43 @@ def test_posteriors_by_enumeration():
         assert np.allclose(got[a:b], p / p.sum(axis=1, keepdims=True))
 
 
+def test_expected_transitions_by_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(7)
+    energy, transitions = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
+    begins = np.array([True, False, False, False, False])
+    forward, p = langid.messages(energy, begins, transitions, block=2)
+    got = langid.pair_posteriors(forward, p, transitions)
+    want, total = np.zeros((4, 3, 3)), 0.0
+    for labels in product(range(3), repeat=5):
+        weight = np.exp(sum(energy[t, c] for t, c in enumerate(labels)) + sum(transitions[a, b] for a, b in zip(labels, labels[1:], strict=False)))
+        total += weight
+        for t in range(4):
+            want[t, labels[t], labels[t + 1]] += weight
+    assert np.allclose(got, want / total)
+    # the gradient of the logarithm of the sum over all labellings, by finite differences
+    log_sum = lambda tr: np.log(sum(np.exp(sum(energy[t, c] for t, c in enumerate(x)) + sum(tr[a, b] for a, b in zip(x, x[1:], strict=False))) for x in product(range(3), repeat=5)))
+    for i, j in ((0, 0), (1, 2), (2, 1)):
+        step = np.zeros((3, 3))
+        step[i, j] = 1e-5
+        assert got.sum(axis=0)[i, j] == pytest.approx((log_sum(transitions + step) - log_sum(transitions - step)) / 2e-5, abs=1e-6)
+
+
+def test_language_sample_is_bounded_where_ids_repeat(spark):
+    docs = [(7, f"das ist ein text nummer {i}", "de") for i in range(500)] + [(i, f"the text number {i}", "en") for i in range(8, 300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    seen = []
+    real = langid.fit_field
+    langid.fit_field = lambda texts, langs: seen.append(Counter(langs)) or real(texts, langs)
+    try:
+        rows = langid.identify_language(df, a_language=50).collect()
+    finally:
+        langid.fit_field = real
+    assert sum(r["lang_pred"] == ("de" if r["doc_id"] == 7 else "en") for r in rows) > 780
+    assert 0 < seen[0]["en"] <= 50 and seen[0]["de"] <= 50
+
+
 def test_language_of_odd_rows(odd_documents, no_documents):
     rows = langid.identify_language(odd_documents).collect()
     assert len(rows) == 10 and all((r["lang_pred"] == "und") == (r["doc_id"] in (2, 3, 4, 5)) for r in rows)
@@ -318,6 +404,40 @@ def test_signatures_are_unbiased():
     assert np.mean(agree) == pytest.approx(jaccard(*b), abs=0.03)
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    df = spark.createDataFrame([(1, a), (1, b), (2, near(a)), (3, near(b)), (4, prose(3, 80)), (4, near(a))], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert rows == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 4, True)]
+    import corpus_pipeline
+
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b), (4, prose(3, 80))])
+
+
+def test_cells_find_what_brute_force_finds(spark):
+    """One group of noisy copies, of whose pairs some lie just below the similarity, in cells of few rows."""
+    rng = random.Random(4)
+    base = prose(500, 120).split()
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            copy[rng.randrange(120)] = rng.choice(WORDS) + "x"
+        texts.append(" ".join(copy))
+    b = bags(texts)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(b[i], b[j]) >= 0.8 and root[i] != root[j]:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, block=16).collect()} == dict(enumerate(root))
+    assert 1 < len(set(root)) < 150
+
+
 def test_near_duplicates_of_odd_rows(odd_documents, no_documents):
     rows = minhash.near_duplicates(odd_documents).collect()
     assert len(rows) == 10 and {r["doc_id"]: r["kept"] for r in rows}[8] is False and sum(not r["kept"] for r in rows) == 1
