@@ -35,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most_rows: int = 10_000, most_bytes: int = 16_000_000) -> None:
+    """Bounds the session's Arrow batches, so that a task's memory is bounded where rows are large; smaller bounds stay."""
+    for name, most in (("maxRecordsPerBatch", most_rows), ("maxBytesPerBatch", most_bytes)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if now > most or now <= 0:
+            spark.conf.set(key, str(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
