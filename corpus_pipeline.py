@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewalk.llm import langid, minhash, packing, secrets, toxicity
-from gradewalk.llm.common import cut, row_key, table
+from gradewalk.llm.common import bounded_batches, cut, row_key, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,24 +20,16 @@ def _with_row(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns], F.struct(*docs.columns).alias("_row"))
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Whole rows pass through Python here: batches of 2,000 rows and 16 MB at most bound a task's memory, unless the session says less."""
-    for name, most in (("maxRecordsPerBatch", 2_000), ("maxBytesPerBatch", 16_000_000)):
-        key = f"spark.sql.execution.arrow.{name}"
-        if int(spark.conf.get(key).rstrip("bB")) > most:
-            spark.conf.set(key, str(most))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model marks as toxic go."""
-    _small_batches(spark)
+    bounded_batches(spark, most_rows=2_000)  # whole rows pass through Python
     scored = toxicity.score_toxicity(_with_row(docs), table(spark, sf_dir, "labels"), row="_row")
     return scored.where("predicted = 0").select("_row.*")
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identifiable language go: those with null texts or no letter."""
-    _small_batches(spark)
+    bounded_batches(spark, most_rows=2_000)  # whole rows pass through Python
     labelled = langid.identify_language(_with_row(docs), row="_row")
     return labelled.where("lang_pred <> 'und'").select("_row.*")
 
