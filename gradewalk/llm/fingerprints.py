@@ -107,18 +107,21 @@ def with_next(df: DataFrame, column: str, rows_a_range: int = 64, most_ranges: i
     passed = lambda keys: F.size(F.filter(keys, lambda c: c <= F.col("_key")))
     df = df.withColumn("_coarse", passed(literal(cuts[side - 1 :: side], f"array<{kind}>")))
     fine = literal([cuts[k * side : (k + 1) * side - 1] for k in range(side)], f"array<array<{kind}>>")
-    df = df.withColumn("range", (F.col("_coarse") * side + passed(F.get(fine, F.col("_coarse")))).cast("long")).drop("_coarse")
-    heads = cut(df.groupBy("range").agg(F.max("_key").alias("_head")))
-    order = Window.orderBy(F.desc("range"))  # as many rows as ranges
-    heads = heads.withColumn("_before", F.coalesce(F.lag("range").over(order), F.min("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    place = lambda r, copy: F.struct(r.alias("r"), F.lit(copy).alias("copy"))
-    here = place(F.col("range"), 0)
-    dealt = df.join(F.broadcast(heads), "range").withColumn("_place", F.explode(F.when(F.col("_key") == F.col("_head"), F.array(here, place(F.col("_before"), 1))).otherwise(F.array(here))))
-    window = Window.partitionBy("_place.r").orderBy("_place.copy", F.desc("_key"))
-    dealt = dealt.withColumns({"nth": F.row_number().over(window), "_next": F.lead(F.struct(F.col(column).alias("c"), F.col("range").alias("r"), F.col("_place.copy").alias("copy"))).over(window)}).where(F.col("_place.copy") == 0)
+    df = df.withColumn("_home", (F.col("_coarse") * side + passed(F.get(fine, F.col("_coarse")))).cast("long")).drop("_coarse")
+    heads = cut(df.groupBy("_home").agg(F.max("_key").alias("_head")))
+    order = Window.orderBy(F.desc("_home"))  # as many rows as ranges
+    heads = heads.withColumn("_before", F.coalesce(F.lag("_home").over(order), F.min("_home").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    place = lambda r, copy: F.struct(r.alias("range"), F.lit(copy).alias("_copy"))
+    here = place(F.col("_home"), 0)
+    dealt = df.join(F.broadcast(heads), "_home").withColumn("_place", F.explode(F.when(F.col("_key") == F.col("_head"), F.array(here, place(F.col("_before"), 1))).otherwise(F.array(here))))
+    dealt = dealt.select(*df.columns, "_place.range", "_place._copy")
+    # partitioned by range: what groups by range and nth later needs no shuffle of its own
+    window = Window.partitionBy("range").orderBy("_copy", F.desc("_key"))
+    following = F.lead(F.struct(F.col(column).alias("c"), F.col("_home").alias("r"), F.col("_copy").alias("copy"))).over(window)
+    dealt = dealt.withColumns({"nth": F.row_number().over(window), "_next": following}).where(F.col("_copy") == 0)
     return dealt.withColumns({
         f"next_{column}": F.col("_next.c"), "next_range": F.col("_next.r"), "next_nth": F.when(F.col("_next.copy") == 1, 1).otherwise(F.col("nth") + 1),
-    }).drop("_key", "_head", "_before", "_place", "_next")
+    }).drop("_key", "_home", "_copy", "_next")
 
 
 def fingerprint_documents(docs: DataFrame, least_idf: float = LEAST_IDF, most_idf: float = MOST_IDF) -> DataFrame:
