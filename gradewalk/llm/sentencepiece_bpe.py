@@ -479,8 +479,9 @@ def walk(model: Pieces, before: str, body: str, after: str, entry: State, leave:
     """A chunk's ids between its boundary states, and whether they spell the characters between these."""
     text, cut_in, cut_out = before + body + after, len(before), len(before) + len(body)
     begin, end = cut_in + entry[0], cut_out + leave[0]
-    out = []
-    for a, b in words_of(text[:end], begin):
+    out, places = [], list(words_of(text[:end], begin))
+    model.stretches.learn({text[a + 1 : b] for a, b in places if text[a] == SPACE})
+    for a, b in places:
         inside = a == begin and entry[1] != NONE and not (text[a] == SPACE and entry[1][-1] != SPACE)
         out.append(model.number(model.path(text[:b], entry[1], a)) if inside or text[a] != SPACE else model.stretches[text[a + 1 : b]])
     ids = b"".join(out)
