@@ -296,7 +296,8 @@ def test_expected_transitions_by_enumeration():
 
 
 def test_language_sample_is_bounded_where_ids_repeat(spark):
-    docs = [(7, f"das ist ein text nummer {i}", "de") for i in range(500)] + [(i, f"the text number {i}", "en") for i in range(8, 300)]
+    one = next(i for i in range(8) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = [(one, f"das ist ein text nummer {i}", "de") for i in range(500)] + [(i, f"the text number {i}", "en") for i in range(8, 300)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     seen = []
     real = langid.fit_field
@@ -305,8 +306,8 @@ def test_language_sample_is_bounded_where_ids_repeat(spark):
         rows = langid.identify_language(df, a_language=50).collect()
     finally:
         langid.fit_field = real
-    assert sum(r["lang_pred"] == ("de" if r["doc_id"] == 7 else "en") for r in rows) > 780
-    assert 0 < seen[0]["en"] <= 50 and seen[0]["de"] <= 50
+    assert sum(r["lang_pred"] == ("de" if r["doc_id"] == one else "en") for r in rows) > 780
+    assert 0 < seen[0]["en"] <= 50 and 0 < seen[0]["de"] <= 50
 
 
 def test_language_of_odd_rows(odd_documents, no_documents):
