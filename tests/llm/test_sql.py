@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "labels", "conversations"):
         db.execute(f"create view {table} as select * from read_parquet('{FOLDER}/{table}.parquet')")
     found = db.execute(ORACLES[name])
     columns = [c[0] for c in found.description]
