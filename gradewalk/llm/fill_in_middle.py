@@ -91,7 +91,7 @@ def fill_in_middle(docs: DataFrame, grammar: str = GRAMMARS["lines"], seed: int
     draw = lambda k: F.conv(F.substring("_digest", 8 * k + 1, 8), 16, 10).cast("long")
     added = ["n", "form", "prefix_chars", "middle_chars", "output"]
     kept = [c for c in docs.columns if c not in added]
-    cut = docs.withColumns({"_text": F.coalesce(F.col(text), F.lit("")), "_digest": digest}).select(*kept, "_text", "_digest")
+    cut = docs.select(F.struct(*kept).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"), digest.alias("_digest"))
     cut = cut.withColumn("_units", units(F.col("_text"), grammar)).withColumn("n", F.size("_units").cast("long"))
     one, two = draw(0) % (F.col("n") + 1), draw(1) % (F.col("n") + 1)
     held = F.lit(False)
@@ -104,7 +104,7 @@ def fill_in_middle(docs: DataFrame, grammar: str = GRAMMARS["lines"], seed: int
     output = F.when(F.col("form") == "psm", F.concat(F.lit(p), "_prefix", F.lit(s), "_suffix", F.lit(m), "_middle")).when(
         F.col("form") == "spm", F.concat(F.lit(s), "_suffix", F.lit(p), "_prefix", F.lit(m), "_middle")).otherwise(F.col("_text"))
     size = lambda c: F.when(F.col("form") != "plain", F.length(c).cast("long"))
-    return parts.select(*kept, "n", "form", size("_prefix").alias("prefix_chars"), size("_middle").alias("middle_chars"), output.alias("output"))
+    return parts.select("_row.*", "n", "form", size("_prefix").alias("prefix_chars"), size("_middle").alias("middle_chars"), output.alias("output"))
 
 
 def middle_report(docs: DataFrame) -> DataFrame:
