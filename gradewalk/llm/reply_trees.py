@@ -89,31 +89,34 @@ def linked(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     are any.  An ``up`` that the tree doesn't have makes its message a root.  Messages that answer each other in
     a circle hang on no root; they are in no sum.
     """
-    nodes = messages.select("tree", "node")
-    known = nodes.select("tree", F.col("node").alias("up"), F.lit(True).alias("_known"))
-    state = cut(messages.join(known, ["tree", "up"], "left").select("tree", "node", F.when(F.col("_known"), F.col("up")).alias("up"), F.lit(1).cast("long").alias("depth"), "score", "chars"))
+    known = messages.select("tree", F.col("node").alias("up"), F.lit(True).alias("_known"))
+    first = cut(messages.join(known, ["tree", "up"], "left").select("tree", "node", F.when(F.col("_known"), F.col("up")).alias("up"), F.lit(1).cast("long").alias("depth"), "score", "chars"))
+    settled, pending = first.where("up is null"), first.where("up is not null")
     jumps: list[DataFrame] = []
-    left = state.where("up is not null").count()
+    left = pending.count()
     while left:
-        jumps.append(state.where("up is not null").select("tree", "node", "up"))
-        above = state.select("tree", F.col("node").alias("up"), *(F.col(c).alias(f"_{c}") for c in ("up", "depth", "score", "chars")))
-        more = lambda c: (F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c)
-        state = cut(state.join(above, ["tree", "up"], "left").select("tree", "node", F.col("_up").alias("up"), more("depth"), more("score"), more("chars")))
-        before, left = left, state.where("up is not null").count()
+        jumps.append(pending.select("tree", "node", "up"))
+        above = settled.union(pending).select("tree", F.col("node").alias("up"), *(F.col(c).alias(f"_{c}") for c in ("up", "depth", "score", "chars")))
+        # what has met its root stays as it is; the others, fewer each round, go on
+        moved = cut(pending.join(above, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in ("depth", "score", "chars"))))
+        settled, pending = settled.union(moved.where("up is null")), moved.where("up is not null")
+        before, left = left, pending.count()
         if left == before:  # only circles are left: as long as a way to a root is, every round ends some
             break
-    return state.where("up is null").drop("up"), jumps
+    return settled.drop("up"), jumps
 
 
 def unfolded(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
-    """Every message of the paths from the root to ``leaves`` (tree, leaf), as (tree, leaf, node).
+    """Every message of the paths from the root to ``leaves`` (tree, leaf, depth), as (tree, leaf, node).
 
-    A message stands for 2 ** k of its path; a round lets it stand for half of them and adds the message that stands for the others.
+    A message stands for up to 2 ** k of its path; a round lets it stand for half of them and adds the message that
+    stands for the others.  A leaf comes in at the round that its depth calls for.
     """
-    rows = leaves.select("tree", "leaf", F.col("leaf").alias("node"))
-    for jump in reversed(jumps):
-        rows = rows.join(jump, ["tree", "node"], "left").select("tree", "leaf", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
-    return rows
+    of_depth = lambda low, high: leaves.where((F.col("depth") > low) & (F.col("depth") <= high)).select("tree", "leaf", F.col("leaf").alias("node"))
+    rows = of_depth(2 ** len(jumps), 2**62)  # none
+    for k, jump in reversed(list(enumerate(jumps))):
+        rows = rows.union(of_depth(2**k, 2 ** (k + 1))).join(jump, ["tree", "node"], "left").select("tree", "leaf", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
+    return rows.union(of_depth(0, 1))
 
 
 def format_trees(messages: DataFrame, best: int = 1, template: Template = Template(), learned: str = "assistant") -> DataFrame:
