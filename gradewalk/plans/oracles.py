@@ -78,8 +78,11 @@ ORACLES = {
     "supplier_routes": f"""with recursive {E}, {PROFILES_SQL}, {COST}, w as (select source, target, min(cost) as s from c where mode = 'balanced' and cost is not null group by 1, 2),
       p(node, cost) using key (node) as (select 0::bigint, 0.0::double union (select w.target, min(p.cost + w.s) from p join w on p.node = w.source left join recurring.p as q on q.node = w.target where q.cost is null or p.cost + w.s < q.cost group by 1))
       select node as goal, round(cost, 4) as cost from p where node <> 0""",
-    "connector_reach": f"""with recursive {E}, w as (select source, target, min(length_m) as s from e where length_m <= 50 group by 1, 2),
-      p(start, node, cost) using key (start, node) as (select s_suppkey, s_suppkey, 0.0::double from supplier union (select p.start, w.target, min(p.cost + w.s) from p join w on p.node = w.source left join recurring.p as q on q.start = p.start and q.node = w.target where p.cost + w.s <= 100 and (q.cost is null or p.cost + w.s < q.cost) group by 1, 2))
+    "landmark_routes": f"""with recursive {E}, w as (select source, target, min(time_s) as s from e group by 1, 2), r as (select s_suppkey as start, (s_suppkey * 7919 + 3) % n as goal from supplier, (select max(s_suppkey) + 1 as n from supplier)),
+      p(start, node, cost) using key (start, node) as (select start, start, 0.0::double from r union (select p.start, w.target, min(p.cost + w.s) from p join w on p.node = w.source left join recurring.p as q on q.start = p.start and q.node = w.target where q.cost is null or p.cost + w.s < q.cost group by 1, 2))
+      select r.start, r.goal, round(cost, 4) as cost from r join p on p.start = r.start and p.node = r.goal""",
+    "connector_reach": f"""with recursive {E}, w as (select source, target, min(length_m) as s from e where length_m <= 20 group by 1, 2),
+      p(start, node, cost) using key (start, node) as (select s_suppkey, s_suppkey, 0.0::double from supplier union (select p.start, w.target, min(p.cost + w.s) from p join w on p.node = w.source left join recurring.p as q on q.start = p.start and q.node = w.target where p.cost + w.s <= 40 and (q.cost is null or p.cost + w.s < q.cost) group by 1, 2))
       select start, node, round(cost, 4) as cost from p""",
     "dedupe_overlap": """with s as (select l_orderkey, list_distinct(list(l_partkey)) as parts from lineitem group by 1), o as (select o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as before from orders)
       select o.o_orderkey, o.before, round(len(list_intersect(a.parts, b.parts)) / least(len(a.parts), len(b.parts))::double, 6) + 0.0 as overlap from o join s a on a.l_orderkey = o.o_orderkey join s b on b.l_orderkey = o.before""",

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from gradewalk.functions import cost, geo, text
 from gradewalk.operators import alternatives, breaks, joins, narrate, routing, series, smoothing
+from gradewalk.operators.landmarks import landmark_paths
+from gradewalk.operators.overlay import build_overlay, overlay_paths
 from gradewalk.plans.fixture import hill_graph
 from gradewalk.schemas import PROFILES, prefs_for_mode, prefs_struct, with_profiles
 from gradewalk.sources import build, graph
 from gradewalk.sources.elevation import parse_batch_answer
 from gradewalk.sources.osm import is_walkable_way
+from gradewalk.storage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -200,10 +203,10 @@ def shortest_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connector_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that edges of at most 50 m reach within 100 m from every supplier, as connectors do."""
-    edges = walk_edges(spark, sf_dir).where("length_m <= 50").select("source", "target", F.col("length_m").alias("cost"))
+    """Nodes that edges of at most 20 m reach within 40 m from every supplier, as connectors do."""
+    edges = walk_edges(spark, sf_dir).where("length_m <= 20").select("source", "target", F.col("length_m").alias("cost"))
     starts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("start"), F.col("s_suppkey").alias("node"))
-    return routing.min_plus(edges, starts, 100.0).select("start", "node", F.round("cost", 4).alias("cost"))
+    return routing.min_plus(edges, starts, 40.0).select("start", "node", F.round("cost", 4).alias("cost"))
 
 
 def dedupe_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,18 +324,28 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A* from supplier 0 to every supplier under the balanced profile: cost and hops."""
+    """From supplier 0 to every supplier under the balanced profile, over an overlay of cells: cost of the paths' edges."""
     edges = walk_edges(spark, sf_dir).withColumn("prefs", prefs_struct(prefs_for_mode("balanced")))
     edges = edges.select(F.lit("balanced").alias("profile"), "edge_id", "source", "target", cost.edge_cost(F.col("prefs")).alias("cost"))
     edges = edges.groupBy("profile", "source", "target").agg(F.min(F.struct("cost", "edge_id")).alias("b")).select("profile", (F.col("source") * 100_000 + F.col("target")).alias("edge_id"), "source", "target", "b.cost")
     nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
     requests = nodes.select(F.col("node_id").cast("string").alias("request_id"), F.lit("balanced").alias("profile"), F.lit(0).cast("long").alias("start"), F.col("node_id").alias("goal"))
-    paths = routing.shortest_paths(requests, nodes, edges)
+    edges = stored(edges)
+    paths = overlay_paths(requests, build_overlay(nodes, edges, most=256))
     steps = paths.select("goal", F.explode("edge_ids").alias("edge_id")).join(edges.select("edge_id", "cost"), "edge_id")
     return steps.groupBy("goal").agg(F.round(F.sum("cost"), 4).alias("cost"))
 
 
+def landmark_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every supplier to another one by searches that landmarks lead: least time."""
+    edges = walk_edges(spark, sf_dir).select("edge_id", "source", "target", F.col("base_time_s").alias("cost"))
+    n = table(spark, sf_dir, "supplier").agg((F.max("s_suppkey") + 1).alias("n"))
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"))
+    requests = nodes.crossJoin(F.broadcast(n)).select(F.col("node_id").alias("start"), F.pmod(F.col("node_id") * 7919 + 3, F.col("n")).alias("goal"))
+    return landmark_paths(requests, nodes, edges).select("start", "goal", F.round("cost", 4).alias("cost"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     grade_lag, gain_loss, rolling_grades, edge_grade_metrics, reverse_profile, hampel_filter, savgol_smooth, smooth_profile, threshold_breaks, extrema_breaks, regular_breaks, merge_breaks,
-    penalty_curves, edge_cost_profiles, route_metrics, snap_nearest, distance_join, bearing_turns, shortest_path_cost, supplier_routes, connector_reach, dedupe_overlap, pareto_front, hill_events,
+    penalty_curves, edge_cost_profiles, route_metrics, snap_nearest, distance_join, bearing_turns, shortest_path_cost, supplier_routes, landmark_routes, connector_reach, dedupe_overlap, pareto_front, hill_events,
     direction_steps, absorb_short, street_name_format, walkable_filter, json_heights, explain_text, directed_edges, segment_numbers, centerline_distances, route_candidates, geojson_features)}
