@@ -74,17 +74,28 @@ def segment_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.when(cross, 0.0).otherwise(ends)
 
 
+def crossed_cells(segments: DataFrame, cell_m: float, grow: float = 0.0) -> DataFrame:
+    """Each segment once for every grid cell (cx, cy) that comes within ``grow`` metres of it, and few others.
+
+    In every column of cells the segment is clipped to the column's width, so that a long segment has as many cells as
+    its length calls for, whatever its direction.
+    """
+    edge = grow + 1e-6  # more than rounding
+    floor, dx, dy = (lambda c: F.floor(c / cell_m)), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    columns = F.sequence(floor(F.least("x1", "x2") - edge), floor(F.greatest("x1", "x2") + edge))
+    wide = segments.withColumn("cx", F.explode(columns))
+    at = lambda x: F.when(dx != 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.col("x1")) / F.when(dx != 0, dx))))
+    one, two = at(F.col("cx") * cell_m - edge), at((F.col("cx") + 1) * cell_m + edge)
+    y = lambda t, otherwise: F.col("y1") + F.coalesce(t, F.lit(otherwise)) * dy
+    a, b = y(one, 0.0), y(two, 1.0)
+    return wide.withColumn("cy", F.explode(F.sequence(floor(F.least(a, b) - edge), floor(F.greatest(a, b) + edge))))
+
+
 def lines_within(a: DataFrame, a_key: str, b: DataFrame, b_key: str, metres: float, cell_m: float = 64.0) -> DataFrame:
-    """(a_key, b_key, distance_m) for polylines within ``metres``: segments meet on grid cells, then exactly."""
-    def celled(df: DataFrame, grow: float, names: dict[str, str]) -> DataFrame:
-        low = lambda u, v: F.floor((F.least(u, v) - grow) / cell_m)
-        high = lambda u, v: F.floor((F.greatest(u, v) + grow) / cell_m)
-        return (
-            df.withColumn("cx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2")))).withColumn("cy", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2")))).withColumnsRenamed(names)
-        )
-
-    left = celled(segments_of(a, a_key), metres, {c: f"a_{c}" for c in ("i", "x1", "y1", "x2", "y2")})
-    right = celled(segments_of(b, b_key), 0.0, {c: f"b_{c}" for c in ("i", "x1", "y1", "x2", "y2")})
+    """(a_key, b_key, distance_m) for polylines within ``metres``: segments meet on the grid cells that they cross, then exactly."""
+    names = ("i", "x1", "y1", "x2", "y2")
+    left = crossed_cells(segments_of(a, a_key), cell_m, metres).withColumnsRenamed({c: f"a_{c}" for c in names})
+    right = crossed_cells(segments_of(b, b_key), cell_m).withColumnsRenamed({c: f"b_{c}" for c in names})
     pairs = left.join(right, ["cx", "cy"])
-    d = segment_distance(tuple(F.col(f"a_{c}") for c in ("x1", "y1", "x2", "y2")), tuple(F.col(f"b_{c}") for c in ("x1", "y1", "x2", "y2")))
+    d = segment_distance(tuple(F.col(f"a_{c}") for c in names[1:]), tuple(F.col(f"b_{c}") for c in names[1:]))
     return pairs.groupBy(a_key, b_key).agg(F.min(d).alias("distance_m")).where(F.col("distance_m") <= metres)

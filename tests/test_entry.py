@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Loops of many small jobs; the larger check covers them.
-SLOW = {"supplier_routes", "connector_reach"}
+SLOW = {"supplier_routes", "landmark_routes"}
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline" and n not in SLOW)
 
 

@@ -1,0 +1,197 @@
+"""Operators whose groups, graphs or lines are large, against plain versions."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gradewalk.operators import alternatives, joins, landmarks, overlay, relaxation, routing, trees
+
+
+def grid(spark, width, profile="p"):
+    cost = lambda a, b: 1.0 + ((a * 7919 + b * 104729) % 1000) / 500
+    arcs = []
+    for i in range(width * width):
+        for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+            x, y = i % width + dx, i // width + dy
+            if 0 <= x < width and 0 <= y < width:
+                arcs.append((profile, len(arcs), i, y * width + x, cost(i, y * width + x)))
+    edges = spark.createDataFrame(arcs, "profile string, edge_id long, source long, target long, cost double")
+    place = spark.range(width * width).select(F.col("id").alias("node_id"), (F.col("id") % width).cast("double").alias("x"), F.floor(F.col("id") / width).cast("double").alias("y"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
+    adjacency = {}
+    for _, e, s, t, c in arcs:
+        adjacency.setdefault(s, []).append((e, t, c))
+    return place, edges, arcs, adjacency, {i: (float(i % width), float(i // width), None, None) for i in range(width * width)}
+
+
+@pytest.mark.parametrize(("width", "most", "n"), [(12, 16, 30), (316, 4096, 2)])
+def test_overlay_agrees_with_search(spark, width, most, n):
+    nodes, edges, arcs, adjacency, where = grid(spark, width)
+    rng = random.Random(width)
+    asked = [(str(k), "p", rng.randrange(width * width), rng.randrange(width * width)) for k in range(n)]
+    built = overlay.build_overlay(nodes, edges, most)
+    sizes = [r["count"] for r in built.cells.groupBy("cell").count().collect()]
+    assert sum(sizes) == width * width and max(sizes) <= most and len(sizes) >= width * width / most
+    got = {r["request_id"]: r["edge_ids"] for r in overlay.overlay_paths(spark.createDataFrame(asked, "request_id string, profile string, start long, goal long"), built).collect()}
+    for k, _, start, goal in asked:
+        best = routing.search(adjacency, where, start, goal)
+        assert [start, *(arcs[e][3] for e in got[k])] == [*(arcs[e][2] for e in got[k]), goal]
+        assert sum(arcs[e][4] for e in got[k]) == pytest.approx(sum(arcs[e][4] for e in best))
+
+
+def test_overlay_of_a_graph_without_places(spark):
+    """Few ways, one-way edges, parallel edges, closed ones, missing nodes and two profiles; cells by id."""
+    rng = random.Random(5)
+    arcs = [(p, i, rng.randrange(60), rng.randrange(60), rng.choice([0.0, -1.0, math.inf, *(rng.random() for _ in range(9))])) for p in "ab" for i in range(150)]
+    edges = spark.createDataFrame(arcs, "profile string, edge_id long, source long, target long, cost double")
+    nodes = spark.createDataFrame([(i, None, None, None, None) for i in range(57)], "node_id long, x double, y double, lon double, lat double")
+    asked = [(f"{p}{s}-{g}", p, s, g) for p in "abc" for s in (0, 7, 58, None) for g in (*range(58), None)]
+    requests = spark.createDataFrame(asked, "request_id string, profile string, start long, goal long")
+    for growth in (0.0, 8.0):  # cells that keep their arcs, cells with shortcuts
+        got = {r["request_id"]: r["edge_ids"] for r in overlay.overlay_paths(requests, overlay.build_overlay(nodes, edges, 8, growth)).collect()}
+        for k, p, s, g in asked:
+            adjacency = {}
+            for q, e, a, b, c in arcs:
+                if q == p and 0 <= c < math.inf:
+                    adjacency.setdefault(a, []).append((e, b, c))
+            best = routing.search(adjacency, {i: (0.0, 0.0, None, None) for i in range(57)}, s, g)
+            by_id = {e: c for q, e, _, _, c in arcs if q == p}
+            assert (got[k] is None) == (best is None), k
+            assert best is None or sum(by_id[e] for e in got[k]) == pytest.approx(sum(by_id[e] for e in best))
+
+
+@pytest.mark.parametrize("delta", [0.5, 3.0, math.inf])
+def test_relaxation_writes_gains_only(spark, delta, monkeypatch):
+    monkeypatch.setattr(relaxation, "MOST_TABLES", 3)  # merges often
+    _, edges, arcs, *_ = grid(spark, 9)
+    arcs_df = edges.select("source", "target", F.col("cost").alias("step"), "edge_id").cache()
+    first = spark.createDataFrame([(0, 0, 0.0), (1, 44, 2.0)], "start long, node long, cost double")
+    done = relaxation.relaxed(first, ["start"], lambda front: front.join(arcs_df, "source"), limit=9.0, delta=delta)
+    best = {(0, 0): 0.0, (1, 44): 2.0}
+    for _ in range(30):
+        for _, _, s, t, c in arcs:
+            for start in (0, 1):
+                if (start, s) in best and best[start, s] + c < best.get((start, t), 9.0000001):
+                    best[start, t] = best[start, s] + c
+    got = {(r["start"], r["node"]): r["cost"] for r in done.labels.collect()}
+    assert got == pytest.approx(best)
+    assert len(got) <= done.written <= 2 * len(got)  # not rounds times labels
+    assert done.rounds >= 4
+
+
+def test_landmarks_bound_and_lead(spark):
+    nodes, edges, arcs, adjacency, where = grid(spark, 8)
+    steps = landmarks.open_arcs(edges).cache()
+    marks = landmarks.landmark_table(nodes, steps, 8)
+    asked = spark.createDataFrame([(0, 30), (13, 50), (63, 5), (7, 7)], "start long, goal long")
+    plain, led = (landmarks.point_searches(asked, steps, m, 4.0) for m in (None, marks))
+    found = [{(r["start"], r["goal"]): r["cost"] for r in x.labels.where("node = goal").collect()} for x in (plain, led)]
+    for s, g in found[0]:
+        want = sum(arcs[e][4] for e in routing.search(adjacency, where, s, g))
+        assert found[0][s, g] == pytest.approx(want) and found[1][s, g] == pytest.approx(want)
+    assert len(found[0]) == len(found[1]) == 4 and led.written < plain.written
+    bound = landmarks.lower_bound(F.col("off"), F.col("on"), F.col("goal_off"), F.col("goal_on"))
+    ends = marks.where("node = 50").select(F.col("off").alias("goal_off"), F.col("on").alias("goal_on"))
+    for r in marks.where("node < 30").crossJoin(ends).select("node", bound.alias("b")).collect():
+        assert 0 <= r["b"] <= sum(arcs[e][4] for e in routing.search(adjacency, where, r["node"], 50)) + 1e-9
+
+
+def test_no_way_is_seen_by_landmarks(spark):
+    edges = spark.createDataFrame([(1, 1, 2, 1.0), (2, 2, 1, 1.0), (3, 3, 1, 1.0)], "edge_id long, source long, target long, cost double")
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node_id long")
+    asked = spark.createDataFrame([(1, 3), (3, 2), (1, 9)], "start long, goal long")
+    assert [tuple(r) for r in landmarks.landmark_paths(asked, nodes, edges, n=3).collect()] == [(3, 2, 2.0)]
+
+
+def test_ways_up_a_tree(spark):
+    rng = random.Random(2)
+    rows = [(t, i, None if i == 0 else i - 1 if t == "chain" else rng.randrange(i)) for t, n in (("chain", 67), ("bush", 40), ("one", 1)) for i in range(n)]
+    depths, jumps = trees.doubled(spark.createDataFrame(rows, "t string, node long, up long"), ["t"])
+    up = {(t, i): u for t, i, u in rows}
+    ways = {}
+    for t, i, _ in rows:
+        way, at = [], i
+        while at is not None:
+            way.append(at)
+            at = up[t, at]
+        ways[t, i] = sorted(way)
+    assert {(r["t"], r["node"]): r["depth"] for r in depths.collect()} == {k: len(w) - 1 for k, w in ways.items()}
+    got = {}
+    for r in trees.unfolded(depths.withColumnRenamed("node", "leaf"), ["t"], jumps).collect():
+        got.setdefault((r["t"], r["leaf"]), []).append(r["node"])
+    assert {k: sorted(v) for k, v in got.items()} == ways
+
+
+# ---- skyline ----
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_skyline_in_blocks(spark, block):
+    rng = random.Random(block)
+    value = lambda: rng.choice([0.1 * rng.randrange(12), 0.1 * rng.randrange(12) + 5e-10, None if rng.random() < 0.05 else 1.0])
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), i, value(), value(), value()) for i in range(300)]
+    df = spark.createDataFrame(rows, "g long, i long, x double, y double, z double")
+
+    def beats(a, b):
+        if None in (*a[2:], *b[2:], a[0], b[0]) or a[0] != b[0]:
+            return False
+        return all(p <= q + 1e-9 for p, q in zip(a[2:], b[2:])) and any(p < q - 1e-9 for p, q in zip(a[2:], b[2:]))
+
+    assert sorted(r["i"] for r in alternatives.pareto_rows(df, "g", ["x", "y", "z"], block).collect()) == [b[1] for b in rows if not any(beats(a, b) for a in rows)]
+
+
+def test_skyline_of_one_large_group(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit(1).alias("g"), "id", *((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1_000_003)) / 1000.0).alias(c) for k, c in enumerate("xyz")))
+    kept = {r["id"] for r in alternatives.pareto_rows(df, "g", list("xyz")).collect()}
+    at = df.toPandas()
+    v = at[["x", "y", "z"]].to_numpy()
+    order = np.argsort(v.sum(axis=1))
+    best: list[int] = []
+    for i in order:
+        if not any((v[j] <= v[i] + 1e-9).all() and (v[j] < v[i] - 1e-9).any() for j in best):
+            best.append(i)
+    assert kept == set(at["id"].to_numpy()[best])
+
+
+# ---- cells that segments cross ----
+
+
+def test_lines_within_by_brute_force(spark):
+    rng = random.Random(9)
+
+    def lines(n, seed):
+        made = []
+        for i in range(n):
+            x, y = -122.44 + rng.random() * 0.02, 37.77 + rng.random() * 0.02
+            far = rng.choice([0.0, 0.0003, 0.002, 0.03])
+            made.append((i, [(x, y), (x + far * rng.uniform(-1, 1), y + far * rng.uniform(-1, 1)), (x, y + rng.choice([0.0, far]))]))
+        return made + [(n, [(-122.50, 37.70), (-122.40, 37.79)]), (n + 1, [(-122.44, 37.75), (-122.44, 37.84)]), (n + 2, [(-122.52, 37.7777), (-122.40, 37.7777)])]  # 10 km and more
+
+    kind = "k long, geometry array<struct<lon:double,lat:double>>"
+    a, b = spark.createDataFrame(lines(60, 1), kind), spark.createDataFrame(lines(50, 2), kind).withColumnRenamed("k", "m")
+    got = {(r["k"], r["m"]): r["distance_m"] for r in joins.lines_within(a, "k", b, "m", 60.0).collect()}
+    left, right = joins.segments_of(a, "k").collect(), joins.segments_of(b, "m").collect()
+
+    def gap(p, s):
+        dx, dy = s[2] - s[0], s[3] - s[1]
+        t = min(1, max(0, ((p[0] - s[0]) * dx + (p[1] - s[1]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+        return math.hypot(p[0] - s[0] - t * dx, p[1] - s[1] - t * dy)
+
+    def apart(p, q):
+        side = lambda s, x, y: (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
+        if side(p, *q[:2]) * side(p, *q[2:]) < 0 and side(q, *p[:2]) * side(q, *p[2:]) < 0:
+            return 0.0
+        return min(gap(p[:2], q), gap(p[2:], q), gap(q[:2], p), gap(q[2:], p))
+
+    want = {}
+    for r in left:
+        for s in right:
+            d = apart((r["x1"], r["y1"], r["x2"], r["y2"]), (s["x1"], s["y1"], s["x2"], s["y2"]))
+            want[r["k"], s["m"]] = min(d, want.get((r["k"], s["m"]), math.inf))
+    want = {k: d for k, d in want.items() if d <= 60}
+    assert set(got) == set(want) and all(abs(got[k] - d) < 1e-6 for k, d in want.items()) and len(want) > 100
+    long = joins.crossed_cells(joins.segments_of(a.where("k = 60"), "k"), 64.0).agg(F.count("*"), F.max(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()
+    assert long[1] > 10_000 and long[0] < 3 * long[1] / 64  # as many cells as its length, not its box
