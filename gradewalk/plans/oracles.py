@@ -38,6 +38,26 @@ def savgol_sql(source: str, value: str) -> str:
   s3 as (select edge_id, dist_m, {value} as before, case {case} else ({mid}) / {scale} end as sz from s2)"""
 
 
+#: Streets, and options of routes over them: least-cost paths of each profile, then what is left of three tries a request.
+STREETS = f"""l as (select l_suppkey as source, (l_suppkey + 1 + l_partkey % (n // 10 + 1)) % n as target, l_orderkey * 8 + l_linenumber as id, l_quantity, l_quantity * 10 + (((l_orderkey * 8 + l_linenumber) * 7919) % 100003) * 0.00001::double as length_m, l_discount * 2 as g, l_tax as barrier, (l_returnflag = 'R' and l_linestatus = 'F') as stairs
+    from lineitem, (select max(s_suppkey) + 1 as n from supplier)),
+  e as (select source * 1000000 + target as edge_id, source, target, length_m, length_m / 1.34 as time_s, g, l_quantity * g as gain_m, barrier, stairs from (select *, row_number() over (partition by source, target order by length_m, id, g, barrier, stairs) as rn from l) where rn = 1),
+  {PROFILES_SQL}, {COST},
+  rq as (select mode || '-' || goal as request_id, mode, goal from profiles, (select unnest([n // 4, n // 2, 3 * n // 4])::bigint as goal from (select max(s_suppkey) + 1 as n from supplier))),
+  p(mode, node, cost, path) using key (mode, node) as (select mode, 0::bigint, 0.0::double, []::bigint[] from profiles union
+    (select p.mode, c.target, min(p.cost + c.cost), arg_min(list_append(p.path, c.edge_id), p.cost + c.cost) from p join c on p.node = c.source and p.mode = c.mode and c.cost is not null left join recurring.p as q on q.mode = p.mode and q.node = c.target where q.cost is null or p.cost + c.cost < q.cost group by 1, 2)),
+  t as (select r.request_id, r.goal, place, case place when 0 then 'fastest' when 2 then 'flattest' when 1 then case when r.mode = 'accessibility' then 'accessible' else 'recommended' end end as label, p.mode, p.path
+    from rq r, range(3) as k(place) join p on p.node = r.goal and p.mode = case place when 0 then 'fastest' when 1 then r.mode else 'avoid_hills' end),
+  o as (select t.request_id, t.place, any_value(t.goal) as goal, any_value(t.label) as label, any_value(t.path) as path, sum(c.time_s) as time_s, sum(c.length_m) as distance_m, max(c.g) as grade, sum(c.discomfort) as hill, sum(c.barrier) as barrier, sum(c.cost) as score
+    from (select *, unnest(path) as edge_id from t) t join c on c.edge_id = t.edge_id and c.mode = t.mode group by 1, 2),
+  it as (select o.* from o left join o f on f.request_id = o.request_id and f.place = 0 where o.label <> 'flattest' or f.place is null or o.time_s <= f.time_s + 300),
+  d1 as (select a.* from it a where a.place < 2 and not exists (select 1 from it b where b.request_id = a.request_id and b.place < a.place and len(list_intersect(a.path, b.path)) / least(len(a.path), len(b.path))::double > 0.95)),
+  d2 as (select * from d1 union all select a.* from it a where a.place = 2 and not exists (select 1 from d1 b where b.request_id = a.request_id and len(list_intersect(a.path, b.path)) / least(len(a.path), len(b.path))::double > 0.95)),
+  kept as (select a.* from d2 a where not exists (select 1 from d2 b where b.request_id = a.request_id
+    and b.time_s <= a.time_s + 1e-9 and b.distance_m <= a.distance_m + 1e-9 and b.grade <= a.grade + 1e-9 and b.hill <= a.hill + 1e-9 and b.barrier <= a.barrier + 1e-9 and b.score <= a.score + 1e-9
+    and (b.time_s < a.time_s - 1e-9 or b.distance_m < a.distance_m - 1e-9 or b.grade < a.grade - 1e-9 or b.hill < a.hill - 1e-9 or b.barrier < a.barrier - 1e-9 or b.score < a.score - 1e-9))),
+  ranked as (select *, (row_number() over (partition by request_id order by case when label in ('recommended', 'accessible') then 0 when label = 'fastest' then 1 else 2 end, score, place) - 1)::int as rank from kept)"""
+
 ORACLES = {
     "grade_lag": f"with {P}, {G} select edge_id, {r6('dist_m', 'dist_m')}, {r6('grade', 'grade')} from g",
     "gain_loss": f"with {P}, {G} select edge_id, {r6('coalesce(sum(case when dz > 0 then dz end), 0)', 'gain_m')}, {r6('coalesce(sum(case when dz <= 0 then -dz end), 0)', 'loss_m')} from g group by 1",
@@ -81,6 +101,11 @@ ORACLES = {
     "landmark_routes": f"""with recursive {E}, w as (select source, target, min(time_s) as s from e group by 1, 2), r as (select s_suppkey as start, (s_suppkey * 7919 + 3) % n as goal from supplier, (select max(s_suppkey) + 1 as n from supplier)),
       p(start, node, cost) using key (start, node) as (select start, start, 0.0::double from r union (select p.start, w.target, min(p.cost + w.s) from p join w on p.node = w.source left join recurring.p as q on q.start = p.start and q.node = w.target where q.cost is null or p.cost + w.s < q.cost group by 1, 2))
       select r.start, r.goal, round(cost, 4) as cost from r join p on p.start = r.start and p.node = r.goal""",
+    "route_candidates": f"with recursive {STREETS} select request_id, rank, label, array_to_string(path, ',') as edge_ids, round(time_s, 4) as time_s, {r6('grade', 'max_uphill_grade')}, round(score, 4) as route_score from ranked",
+    "geojson_features": f"""with recursive {STREETS}, pt as ({points_sql('supplier', 's_suppkey')}), w as (select request_id, rank, unnest(path) as edge_id, unnest(range(1, len(path) + 1)) as place from ranked)
+      select request_id, rank, 0::bigint as place, 'route' as feature_type, 0::bigint as edge_id, 0.0::double as length_m, {r6('lon', 'lon')} from ranked, pt where id = 0
+      union all select request_id, rank, place, 'edge', w.edge_id, round(e.length_m, 4), {r6('lon', 'lon')} from w join e on e.edge_id = w.edge_id join pt on pt.id = e.source
+      union all select request_id, rank, 1000000 + k, ['origin', 'destination'][k + 1], 0, 0.0, {r6('lon', 'lon')} from ranked, range(2) as x(k) join pt on pt.id = case k when 0 then 0 else goal end""",
     "connector_reach": f"""with recursive {E}, w as (select source, target, min(length_m) as s from e where length_m <= 20 group by 1, 2),
       p(start, node, cost) using key (start, node) as (select s_suppkey, s_suppkey, 0.0::double from supplier union (select p.start, w.target, min(p.cost + w.s) from p join w on p.node = w.source left join recurring.p as q on q.start = p.start and q.node = w.target where p.cost + w.s <= 40 and (q.cost is null or p.cost + w.s < q.cost) group by 1, 2))
       select start, node, round(cost, 4) as cost from p""",

@@ -15,8 +15,7 @@ from gradewalk.functions import cost, geo, text
 from gradewalk.operators import alternatives, breaks, joins, narrate, routing, series, smoothing
 from gradewalk.operators.landmarks import landmark_paths
 from gradewalk.operators.overlay import build_overlay, overlay_paths
-from gradewalk.plans.fixture import hill_graph
-from gradewalk.schemas import PROFILES, prefs_for_mode, prefs_struct, with_profiles
+from gradewalk.schemas import EDGE_DEFAULTS, EDGES, PROFILES, prefs_for_mode, prefs_struct, with_profiles
 from gradewalk.sources import build, graph
 from gradewalk.sources.elevation import parse_batch_answer
 from gradewalk.sources.osm import is_walkable_way
@@ -305,22 +304,48 @@ def centerline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("c_custkey", "s_suppkey", F.round("distance_m", 1).alias("distance_m"))
 
 
-def _requests(spark: SparkSession) -> DataFrame:
-    modes = ["fastest", "balanced", "avoid_hills", "accessibility"]
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("request_id"), F.lit(1).cast("long").alias("start"), F.lit(99).cast("long").alias("goal"), prefs_struct(prefs_for_mode(m)).alias("prefs")) for m in modes)))
-    return spark.range(1).select(each.alias("r")).select("r.*")
+def street_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as crossings and the shortest order line between two of them as their street, with all columns that routes read.
+
+    A line's id lengthens it by up to a metre, so that no two ways are equally long.  Crossings have a place on the map, but x = y = 0:
+    times between suppliers say nothing of their places, so no estimate may be drawn from these.
+    """
+    at = points(table(spark, sf_dir, "supplier"), "s_suppkey", "node_id")
+    nodes = at.select("node_id", "lon", "lat", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z_m"), F.lit("intersection").alias("node_type"))
+    g, length = F.col("max_uphill_grade"), F.col("length_m") + F.pmod(F.col("edge_id") * 7919, F.lit(100_003)) * 0.00001
+    lines = walk_edges(spark, sf_dir).withColumn("length_m", length).groupBy("source", "target").agg(F.min(F.struct("length_m", "edge_id", "max_uphill_grade", "barrier_penalty", "stairs", "gain_m")).alias("b")).select("source", "target", "b.*")
+    place = lambda end: at.select(F.col("node_id").alias(end), F.struct("lon", "lat").alias(f"at_{end}"))
+    lines = lines.join(place("source"), "source").join(place("target"), "target")
+    above = {f"length_above_{t}pct_up_m": F.when(g > t / 100, F.col("length_m")).otherwise(0.0) for t in (6, 8, 10)}
+    known = above | {
+        "edge_id": F.col("source") * 1_000_000 + F.col("target"), "geometry": F.array("at_source", "at_target"), "base_time_s": F.col("length_m") / 1.34, "loss_m": F.lit(0.0), "max_downhill_grade": F.lit(0.0),
+        "max_abs_grade": g, "sustained_uphill_grade_20m": g, "sustained_uphill_grade_50m": g, "street_name": F.concat(F.lit("Street "), F.pmod("edge_id", F.lit(7)).cast("string"))}
+    value = lambda f: known.get(f.name, F.col(f.name) if f.name in lines.columns else F.lit(EDGE_DEFAULTS.get(f.name)).cast(f.dataType)).alias(f.name)
+    edges = lines.select(*(value(f) for f in graph._schema(EDGES)))
+    return nodes, edges
+
+
+def street_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From supplier 0 to three others, under each of the four profiles."""
+    n = table(spark, sf_dir, "supplier").agg((F.max("s_suppkey") + 1).alias("n"))
+    goals = n.select(F.explode(F.array(*(F.floor(F.col("n") * k / 4).cast("long") for k in (1, 2, 3)))).alias("goal"))
+    each = with_profiles(goals)
+    return each.select(F.concat_ws("-", "prefs.mode", F.col("goal").cast("string")).alias("request_id"), F.lit(0).cast("long").alias("start"), "goal", "prefs")
 
 
 def route_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Options of every profile on the hill graph."""
-    nodes, edges = hill_graph(spark)
-    return alternatives.route_candidates(_requests(spark), nodes, edges).select("request_id", "rank", "label", "edge_ids", "metrics.time_s", "metrics.max_uphill_grade", "metrics.route_score", F.transform("directions", lambda d: d["instruction"]).alias("instructions"), "explanation")
+    """Options of every profile between suppliers: fastest, recommended or accessible, and flattest, as far as they differ and none is beaten."""
+    options = alternatives.route_candidates(street_requests(spark, sf_dir), *street_graph(spark, sf_dir))
+    return options.select("request_id", "rank", "label", F.array_join(F.col("edge_ids").cast("array<string>"), ",").alias("edge_ids"), F.round("metrics.time_s", 4).alias("time_s"), r6("metrics.max_uphill_grade").alias("max_uphill_grade"), F.round("metrics.route_score", 4).alias("route_score"))
 
 
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = hill_graph(spark)
-    requests = _requests(spark)
-    return graph.route_features(alternatives.route_candidates(requests, nodes, edges), nodes, edges, requests.select("request_id", "start", "goal"))
+    """The features of those options, as read back from their GeoJSON; edge 0 and length 0 where a feature is no edge."""
+    (nodes, edges), requests = street_graph(spark, sf_dir), stored(street_requests(spark, sf_dir))
+    features = graph.route_features(alternatives.route_candidates(requests, nodes, edges), nodes, edges, requests.select("request_id", "start", "goal"))
+    of = lambda path, kind: F.get_json_object("feature", f"$.{path}").cast(kind)
+    first = F.coalesce(of("geometry.coordinates[0][0]", "double"), of("geometry.coordinates[0]", "double"))
+    return features.select("request_id", "rank", F.col("place").cast("long").alias("place"), of("properties.feature_type", "string").alias("feature_type"), F.coalesce(of("properties.edge_id", "long"), F.lit(0)).alias("edge_id"), F.coalesce(F.round(of("properties.length_m", "double"), 4), F.lit(0.0)).alias("length_m"), r6(first).alias("lon"))
 
 
 def supplier_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
