@@ -179,12 +179,17 @@ def fit_field(texts: list[str], langs: list[str], epochs: int = 8, lanes: int =
     return Field(names, lexicon, weights.astype(np.float32), transitions)
 
 
+def learnable(docs: DataFrame, most_chars: int = 20_000) -> DataFrame:
+    """The labelled rows that a model may learn from: outside the held-out fold, with a letter, not over ``most_chars``."""
+    return docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT) & (F.length("text") <= most_chars) & F.col("text").rlike(r"\p{L}"))
+
+
 def sampled_field(docs: DataFrame, a_language: int = 200, most_chars: int = 20_000, most_langs: int = 100) -> Field:
     """Fit on ``a_language`` different texts of each language at most, none over ``most_chars``, outside the held-out fold.
 
     They're drawn by a hash of id and text.  Of the values of ``lang`` the ``most_langs`` with most rows are learned.
     """
-    known = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT) & (F.length("text") <= most_chars) & F.col("text").rlike(r"\p{L}"))
+    known = learnable(docs, most_chars)
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
     order = F.xxhash64("doc_id", "text", F.lit(23))
     # twice as many as wanted by share, then the first of each language

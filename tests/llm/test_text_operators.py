@@ -565,18 +565,45 @@ def test_lm_predictions_sum_to_one():
             assert pair[:, k].sum() + left * (1 - 12 * 0.01) == pytest.approx(1)  # the rest of the spellings
 
 
-def test_seats_follow_the_process():
-    key = pitman_yor.mix(np.arange(20_000, dtype=np.uint64))
-    c, other, p, d = np.full(20_000, 40.0), 30.0, 0.02, 0.6
-    t = pitman_yor.seat(c, np.full(20_000, other), np.full(20_000, p), key, d)
-    rng, drawn = np.random.default_rng(1), []
-    for _ in range(4000):
-        tables = 1
-        for n in range(1, 40):
-            weight = (pitman_yor.STRENGTH + d * (other + tables)) * p
-            tables += rng.random() < weight / (n - d * tables + weight)
-        drawn.append(tables)
-    assert t.mean() == pytest.approx(np.mean(drawn), abs=0.05) and t.std() == pytest.approx(np.std(drawn), abs=0.08)
+def seatings(c, other, p, d):
+    """The distribution of the number of tables, by every partition of few customers, by the recursion for more."""
+    weight = {}
+    if c <= 8:
+        def walk(n, sizes, w):
+            if n == c:
+                opening = math.prod((pitman_yor.STRENGTH + d * (other + i)) * p for i in range(len(sizes)))
+                weight[len(sizes)] = weight.get(len(sizes), 0.0) + w * opening
+                return
+            for i, size in enumerate(sizes):
+                walk(n + 1, [*sizes[:i], size + 1, *sizes[i + 1 :]], w * (size - d))
+            walk(n + 1, [*sizes, 1], w)
+
+        walk(0, [], 1.0)
+    else:
+        s = {0: 0.0}
+        for n in range(c):  # logarithms
+            new = {}
+            for t, x in s.items():
+                for to, y in ((t + 1, x), (t, x + math.log(n - t * d) if n > t * d else -math.inf)):
+                    if y > -math.inf:
+                        m = max(y, new.get(to, -math.inf))
+                        new[to] = m + math.log(math.exp(y - m) + math.exp(new.get(to, -math.inf) - m))
+            s = new
+        logs = {t: x + sum(math.log((pitman_yor.STRENGTH + d * (other + i)) * p) for i in range(t)) for t, x in s.items()}
+        top = max(logs.values())
+        weight = {t: math.exp(x - top) for t, x in logs.items()}
+    total = sum(weight.values())
+    mean = sum(t * w for t, w in weight.items()) / total
+    return mean, math.sqrt(sum(t * t * w for t, w in weight.items()) / total - mean**2)
+
+
+@pytest.mark.parametrize(("c", "other", "p", "d"), [(2, 0, 0.2, 0.5), (3, 4, 0.2, 0.5), (6, 0, 0.2, 0.5), (8, 2, 0.4, 0.7), (12, 5, 0.1, 0.6), (30, 50, 0.2, 0.5), (100, 0, 0.2, 0.5), (256, 9, 0.05, 0.8), (257, 50, 0.2, 0.5), (600, 0, 0.001, 0.5), (700, 900, 0.1, 0.75)])
+def test_a_gibbs_step_has_the_seatings_distribution(c, other, p, d):
+    n = 40_000
+    t = pitman_yor.seat(np.full(n, float(c)), np.full(n, float(other)), np.full(n, p), pitman_yor.mix(np.arange(n, dtype=np.uint64)), d)
+    mean, deviation = seatings(c, other, p, d)
+    assert t.mean() == pytest.approx(mean, rel=0.01) and t.std() == pytest.approx(deviation, rel=0.05, abs=0.02)
+    assert ((t >= 1) & (t <= c)).all() and (pitman_yor.seat(np.zeros(3), np.zeros(3), np.full(3, p), np.arange(3, dtype=np.uint64), d) == 0).all()
 
 
 def test_lm_of_odd_rows(odd_documents, no_documents):
