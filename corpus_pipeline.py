@@ -27,11 +27,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select("_row.*")
 
 
-def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go: those with null texts or no letter."""
+#: Mean posterior that a document's best language needs; four languages have a quarter each by chance.
+LEAST_POSTERIOR = 0.275
+
+
+def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = LEAST_POSTERIOR) -> DataFrame:
+    """Documents without an identifiable language go: null texts, those without a letter, and those none of whose languages the model finds likelier than ``least``.
+
+    Where no document has a language to learn from, nothing is known of any, and all stay.
+    """
+    if not langid.learnable(docs).limit(1).count():
+        return docs
     bounded_batches(spark, most_rows=2_000)  # whole rows pass through Python
     labelled = langid.identify_language(_with_row(docs), row="_row")
-    return labelled.where("lang_pred <> 'und'").select("_row.*")
+    return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
