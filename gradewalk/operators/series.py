@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 STEEP = (0.06, 0.08, 0.10, 0.12)
 
 
-def along(key: str, d: str) -> WindowSpec:
+def along(key: str | list[str], d: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(d)
 
 
@@ -29,17 +29,24 @@ def grade(key: str = "edge_id", d: str = "dist_m", z: str = "z_smooth_m") -> Col
 
 def rising(key: str, d: str, value: Column) -> Column:
     """``value``, or a failure where the distance isn't above the one before; it needs no window of its own."""
-    wrong = F.lag(d).over(along(key, d)) >= F.col(d)
+    return checked(F.lag(d).over(along(key, d)) >= F.col(d), value)
+
+
+def checked(wrong: Column, value: Column) -> Column:
     return F.when(wrong, F.raise_error(F.lit("distances must rise strictly")).cast("double")).otherwise(value)
 
 
-def rolling_grade(window_m: float, key: str = "edge_id", d: str = "dist_m", z: str = "z_smooth_m") -> Column:
-    """Slope over the trailing ``window_m``, its start interpolated between samples; 0 at the first sample."""
+def rolling_grade(window_m: float, key: str | list[str] = "edge_id", d: str = "dist_m", z: str = "z_smooth_m", carried: Column | None = None) -> Column:
+    """Slope over the trailing ``window_m``, its start interpolated between samples; 0 at the first sample.
+
+    ``carried``: the last sample (d, z) before those of the key, null if there is none.
+    """
     if window_m <= 0:
         raise ValueError("the window must be positive")
     # frames bounded by a fraction can only be said in SQL
-    at, over = f"named_struct('d', `{d}`, 'z', `{z}`)", f"over (partition by `{key}` order by `{d}` range between"
-    left = F.coalesce(F.expr(f"max({at}) {over} unbounded preceding and {float(window_m)}D preceding)"), F.expr(f"min({at}) {over} unbounded preceding and current row)"))
+    keys = ", ".join(f"`{k}`" for k in ([key] if isinstance(key, str) else key))
+    at, over = f"named_struct('d', `{d}`, 'z', `{z}`)", f"over (partition by {keys} order by `{d}` range between"
+    left = F.coalesce(F.expr(f"max({at}) {over} unbounded preceding and {float(window_m)}D preceding)"), *([] if carried is None else [carried]), F.expr(f"min({at}) {over} unbounded preceding and current row)"))
     right = F.expr(f"min({at}) {over} {float(window_m)}D preceding and current row)")
     start = F.greatest(F.col(d) - window_m, left["d"])
     start_z = F.when(right["d"] > left["d"], left["z"] + (start - left["d"]) / (right["d"] - left["d"]) * (right["z"] - left["z"])).otherwise(left["z"])
@@ -58,7 +65,11 @@ def gain_loss(df: DataFrame, key: str = "edge_id", d: str = "dist_m", z: str = "
 def edge_grade_metrics(df: DataFrame, key: str = "edge_id", d: str = "dist_m", z: str = "z_smooth_m") -> DataFrame:
     """Fourteen metrics an edge; all 0 below two samples."""
     w = along(key, d)
-    graded = with_grades(df, key, d, z).withColumns({"_dz": F.col(z) - F.lag(z).over(w), "_dd": F.col(d) - F.lag(d).over(w)})
+    return metrics_of(with_grades(df, key, d, z).withColumns({"_dz": F.col(z) - F.lag(z).over(w), "_dd": F.col(d) - F.lag(d).over(w)}), key, d, z)
+
+
+def metrics_of(graded: DataFrame, key: str, d: str, z: str) -> DataFrame:
+    """The metrics of samples with their grades and the steps ``_dd`` and ``_dz`` from the sample before."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     most = lambda c: zero(F.greatest(F.lit(0.0), F.max(c)))
     up, down = most(F.col("grade")), most(-F.col("grade"))
