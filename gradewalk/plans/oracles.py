@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gradewalk.functions.text import SUFFIXES
 from gradewalk.operators.smoothing import WEIGHTS
-from gradewalk.plans.queries import COST, CURVE, HAVERSINE, PROFILES_SQL, E, G, P, R, points_sql, rolling_sql
+from gradewalk.plans.queries import COST, CURVE, HAVERSINE, PG, PROFILES_SQL, E, G, P, R, points_sql, rolling_sql
 
 
 def r6(x: str, name: str) -> str:
@@ -118,6 +118,11 @@ ORACLES = {
       i as (select *, case when street is not distinct from lag(street) over w and since - lag(till) over w <= 20 then 0 else 1 end as new from y window w as (partition by l_orderkey order by pos)),
       k as (select *, sum(new) over (partition by l_orderkey order by pos rows unbounded preceding) as event from i)
       select l_orderkey as route_id, event::bigint as event, arg_min(street, pos) as street_name, round(min(since), 10) as start_m, round(max(till) - min(since), 10) as length_m, round(sum(gain_m), 10) as elevation_gain_m, round(sum(gain_m) / (max(till) - min(since)), 10) as avg_grade, round(max(g), 10) as max_grade from k group by 1, 2""",
+    "giant_grades": f"with {PG}, {G}, {rolling_sql(20)}, {rolling_sql(50)} select r20.edge_id, {r6('r20.dist_m', 'dist_m')}, {r6('grade', 'grade')}, {r6('roll20', 'rolling_grade_20m')}, {r6('roll50', 'rolling_grade_50m')} from r20 join r50 on r20.dist_m = r50.dist_m join g on g.dist_m = r20.dist_m",
+    "giant_hills": f"""with o as (select o_orderkey as pos, 'Street ' || (o_orderkey // 9) as street, floor(o_totalprice)::bigint as c from orders), x as (select *, 4 + (c % 64) * 0.25::double as length_m, (c % 13) / 100.0 as g, (c % 32) * 0.125::double as gain_m from o),
+      y as (select *, sum(length_m) over (order by pos rows unbounded preceding) as till from x), s as (select *, till - length_m as since from y where g >= 0.06),
+      i as (select *, case when street = lag(street) over w and since - lag(till) over w <= 20 then 0 else 1 end as new from s window w as (order by pos)), k as (select *, sum(new) over (order by pos rows unbounded preceding) as event from i)
+      select 0::bigint as route_id, event::bigint as event, arg_min(street, pos) as street_name, {r6('min(since)', 'start_m')}, {r6('max(till) - min(since)', 'length_m')}, {r6('sum(gain_m)', 'elevation_gain_m')}, {r6('sum(gain_m) / (max(till) - min(since))', 'avg_grade')}, {r6('max(g)', 'max_grade')} from k group by event""",
     "direction_steps": f"with {E}, {R}, {STEPS} select l_orderkey as route_id, step::bigint as step, any_value(street) as street_name, round(sum(length_m), 4) as length_m, {r6('max(g)', 'max_uphill')}, count(*) as n_edges from stepped group by 1, 2",
     "street_name_format": f"""with v as (select p_partkey, upper(p_name) as base, case when p_size % 3 = 0 then 'ST' when p_size % 3 = 1 then 'AVE.' else '' end as last from part),
       t as (select p_partkey, string_split(trim(regexp_replace(base || ' ' || last, '\\s+', ' ', 'g')), ' ') as w from v), m as (select map {{{', '.join(f"'{k}': '{x}'" for k, x in SUFFIXES.items())}}} as suffixes),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewalk.functions import cost, geo, text
-from gradewalk.operators import alternatives, breaks, joins, narrate, routing, series, smoothing
+from gradewalk.operators import alternatives, breaks, joins, narrate, ranged, routing, series, smoothing
 from gradewalk.operators.landmarks import landmark_paths
 from gradewalk.operators.overlay import build_overlay, overlay_paths
 from gradewalk.schemas import EDGE_DEFAULTS, EDGES, PROFILES, prefs_for_mode, prefs_struct, with_profiles
@@ -237,6 +237,33 @@ def hill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("route_id", F.col("event").cast("long").alias("event"), "street_name", *(F.round(c, 10).alias(c) for c in ("start_m", "length_m", "elevation_gain_m", "avg_grade", "max_grade")))
 
 
+def giant_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series: 2.5 m and a bit from one to the next, heights a hundredth of the value."""
+    e = F.col("event_id")
+    z = (F.col("value") / 100.0).alias("z")
+    return table(spark, sf_dir, "events").select(F.lit(0).cast("long").alias("edge_id"), (e * 2.5 + F.pmod(e * 7919, F.lit(16)) * 0.125).alias("dist_m"), z.alias("z_raw_m"), z.alias("z_smooth_m"))
+
+
+PG = "p as (select 0::bigint as edge_id, event_id * 2.5::double + ((event_id * 7919) % 16) * 0.125::double as dist_m, value / 100.0 as z from events)"
+
+
+def giant_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling grades of one series that holds all rows, dealt to ranges of 5 km."""
+    graded = ranged.with_grades(giant_profile(spark, sf_dir), 5_000.0)
+    return graded.select("edge_id", r6("dist_m").alias("dist_m"), r6("grade").alias("grade"), r6("rolling_grade_20m").alias("rolling_grade_20m"), r6("rolling_grade_50m").alias("rolling_grade_50m"))
+
+
+def giant_hills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hill events of one route that walks all orders, dealt to ranges of 4,096 positions."""
+    cents, key = F.floor(F.col("o_totalprice")).cast("long"), F.col("o_orderkey")
+    g = F.pmod(cents, F.lit(13)) / 100.0
+    legs = table(spark, sf_dir, "orders").select(
+        F.lit(0).cast("long").alias("route_id"), key.alias("pos"), F.concat(F.lit("Street "), F.floor(key / 9).cast("string")).alias("street_name"), (4 + F.pmod(cents, F.lit(64)) * 0.25).alias("length_m"),
+        g.alias("max_uphill_grade"), g.alias("sustained_uphill_grade_20m"), g.alias("sustained_uphill_grade_50m"), (F.pmod(cents, F.lit(32)) * 0.125).alias("gain_m"), F.lit(0.0).alias("length_above_8pct_up_m"), F.lit(0.0).alias("length_above_10pct_up_m"))
+    ev = ranged.hill_events(legs, 4096)
+    return ev.select("route_id", F.col("event").cast("long").alias("event"), "street_name", *(r6(c).alias(c) for c in ("start_m", "length_m", "elevation_gain_m", "avg_grade", "max_grade")))
+
+
 def direction_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = narrate.direction_groups(routes(spark, sf_dir), key="street_name")
     return runs.groupBy("route_id", "step").agg(F.first("street_name").alias("street_name"), F.sum("length_m").alias("length_m"), F.max("max_uphill_grade").alias("max_uphill"), F.count("*").alias("n_edges")).select(
@@ -372,5 +399,5 @@ def landmark_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     grade_lag, gain_loss, rolling_grades, edge_grade_metrics, reverse_profile, hampel_filter, savgol_smooth, smooth_profile, threshold_breaks, extrema_breaks, regular_breaks, merge_breaks,
-    penalty_curves, edge_cost_profiles, route_metrics, snap_nearest, distance_join, bearing_turns, shortest_path_cost, supplier_routes, landmark_routes, connector_reach, dedupe_overlap, pareto_front, hill_events,
+    penalty_curves, edge_cost_profiles, route_metrics, snap_nearest, distance_join, bearing_turns, shortest_path_cost, supplier_routes, landmark_routes, connector_reach, dedupe_overlap, pareto_front, hill_events, giant_grades, giant_hills,
     direction_steps, absorb_short, street_name_format, walkable_filter, json_heights, explain_text, directed_edges, segment_numbers, centerline_distances, route_candidates, geojson_features)}
