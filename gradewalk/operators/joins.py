@@ -6,48 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewalk.functions import geo
-from gradewalk.storage import stored
+from gradewalk.operators import cell_tree
 
 METRES_PER_DEGREE = 111_000.0
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, cell_deg: float = 0.01) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, most: int = 32) -> DataFrame:
     """``points`` (point_id, lat, lon) with node_id and distance_m of the nearest node by great circle; ties go to the least id.
 
-    A point looks into rings of cells around its own; it is settled once its nearest find is nearer than
-    anything outside the searched rings can be, else the rings double, until all of the nodes' box is searched.
-    An empty node table gives no rows.
+    Points descend through a tree of cells with ``most`` places at most in each that isn't divided.  An empty node table
+    gives no rows, nor do points without a place.
     """
-    grid = stored(nodes.select("node_id", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), F.floor(F.col("lat") / cell_deg).alias("cy"), F.floor(F.col("lon") / cell_deg).alias("cx")))
-    box = grid.agg(F.min("cy"), F.max("cy"), F.min("cx"), F.max("cx")).first()
-    left = stored(points.select("point_id", "lat", "lon"))
-    out: DataFrame | None = None
-    if box[0] is None:
-        return left.select("point_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("distance_m")).limit(0)
-    cells = grid.groupBy("cy", "cx").count().select("cy", "cx")
-    rings = 1
-    while True:
-        last = rings >= max(box[1] - box[0], box[3] - box[2]) + 1
-        if last:
-            # what few points lie far outside: their cell moves to the box's edge, the rings span the box
-            at_y, at_x = (F.least(F.greatest(F.floor(F.col(c) / cell_deg), F.lit(a)), F.lit(b)) for c, a, b in (("lat", box[0], box[1]), ("lon", box[2], box[3])))
-        else:
-            at_y, at_x = F.floor(F.col("lat") / cell_deg), F.floor(F.col("lon") / cell_deg)
-        around = left.withColumns({"py": at_y, "px": at_x}).withColumn("cy", F.explode(F.sequence(F.col("py") - rings, F.col("py") + rings))).withColumn("cx", F.explode(F.sequence(F.col("px") - rings, F.col("px") + rings)))
-        near = around.join(cells, ["cy", "cx"], "left_semi").join(grid, ["cy", "cx"])
-        near = near.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon")))
-        best = near.groupBy("point_id", "lat", "lon").agg(F.min(F.struct("distance_m", "node_id")).alias("b")).select("point_id", "lat", "lon", "b.node_id", "b.distance_m")
-        # the nearest unseen place is ``rings`` cells away at least, along the shorter axis
-        seen = F.lit(rings * cell_deg * METRES_PER_DEGREE) * F.least(F.lit(1.0), F.cos(F.radians(F.abs(F.col("lat")) + rings * cell_deg)))
-        done = stored(best if last else best.where(F.col("distance_m") <= seen))
-        out = done if out is None else out.union(done)
-        if last:
-            break
-        left = stored(left.join(done.select("point_id"), "point_id", "left_anti"))
-        if left.limit(1).count() == 0:
-            break
-        rings *= 2
-    return out.select("point_id", "node_id", "distance_m")
+    tree = cell_tree.build_cell_tree(nodes, most)
+    if tree is None:
+        return points.select("point_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("distance_m")).limit(0)
+    return cell_tree.nearest(points, tree)
 
 
 def segments_of(lines: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:

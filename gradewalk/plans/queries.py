@@ -174,7 +174,7 @@ def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest supplier of every customer."""
-    found = joins.nearest_node(points(table(spark, sf_dir, "customer"), "c_custkey", "point_id"), points(table(spark, sf_dir, "supplier"), "s_suppkey", "node_id"), cell_deg=0.01)
+    found = joins.nearest_node(points(table(spark, sf_dir, "customer"), "c_custkey", "point_id"), points(table(spark, sf_dir, "supplier"), "s_suppkey", "node_id"))
     return found.select(F.col("point_id").alias("c_custkey"), F.col("node_id").alias("s_suppkey"), F.round("distance_m", 3).alias("distance_m"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradewalk.operators import alternatives, joins, landmarks, overlay, relaxation, routing, trees
+from gradewalk.operators import alternatives, cell_tree, joins, landmarks, overlay, relaxation, routing, trees
 
 
 def grid(spark, width, profile="p"):
@@ -195,3 +195,41 @@ def test_lines_within_by_brute_force(spark):
     assert set(got) == set(want) and all(abs(got[k] - d) < 1e-6 for k, d in want.items()) and len(want) > 100
     long = joins.crossed_cells(joins.segments_of(a.where("k = 60"), "k"), 64.0).agg(F.count("*"), F.max(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()
     assert long[1] > 10_000 and long[0] < 3 * long[1] / 64  # as many cells as its length, not its box
+
+
+# ---- nearest nodes by a tree of cells ----
+
+
+def circle_m(a, b):
+    p, q = math.radians(a[0]), math.radians(b[0])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(h)))
+
+
+@pytest.mark.parametrize("most", [1, 5])
+def test_nearest_by_brute_force(spark, most):
+    """Poles, the date line, the other side of the earth, equal places, nodes on a line, points and nodes without a place."""
+    rng = random.Random(most)
+    at = lambda: rng.choice([(rng.uniform(37.7, 37.8), rng.uniform(-122.5, -122.4)), (rng.uniform(-90, 90), rng.uniform(-180, 180)), (90.0, rng.uniform(-180, 180)), (rng.uniform(-1, 1), rng.choice([-180.0, 179.9999, 180.0])), (37.75, -122.45 + rng.randrange(9) * 0.001)])
+    nodes = [(i, *at()) for i in range(150)] + [(900, None, 1.0), (901, math.nan, 1.0)]
+    points = [(i, *at()) for i in range(120)] + [(500, 37.75, -122.4505), (501, -37.75, 57.55), (502, None, 2.0), (503, 1.0, math.nan), (504, 37.75, -122.4505)]
+    got = {r["point_id"]: (r["node_id"], r["distance_m"]) for r in joins.nearest_node(spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(nodes, "node_id long, lat double, lon double"), most).collect()}
+    assert set(got) == {p[0] for p in points} - {502, 503}
+    for i, *p in points:
+        if i in got:
+            every = {n[0]: circle_m(p, n[1:]) for n in nodes if n[0] < 900}
+            least = min(every.values())
+            assert got[i][1] == pytest.approx(least, abs=1e-6) and every[got[i][0]] <= least + 1e-6, i
+    nobody = spark.createDataFrame([(1, None, None)], "node_id long, lat double, lon double")
+    assert joins.nearest_node(spark.createDataFrame(points, "point_id long, lat double, lon double"), nobody).collect() == []
+
+
+def test_far_points_visit_few_cells(spark):
+    """20,000 nodes in a square of 11 km, points around it and 1,000 km away, straight ahead of a side too."""
+    spread = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1_000_003)) / 1_000_003 * 0.1
+    nodes = spark.range(20_000).select(F.col("id").alias("node_id"), (37.7 + spread(1)).alias("lat"), (-122.5 + spread(2)).alias("lon"))
+    tree = cell_tree.build_cell_tree(nodes)
+    assert 20_000 / 32 <= tree.leaves.select("level", "cell").distinct().count() <= 20_000
+    asked = spark.createDataFrame([(37.75, -122.45), (28.0, -122.45), (47.0, -122.41), (37.75, -110.0), (45.0, -130.0), (37.7, -122.5)], "lat double, lon double")
+    visited = cell_tree.candidate_leaves(asked, tree).groupBy("lat", "lon").count().collect()
+    assert len(visited) == 6 and max(r["count"] for r in visited) <= 16, visited
