@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradewalk.operators.naming import assign_display_names
 from gradewalk.schemas import EDGES, NODES
-from gradewalk.sources.graph import _schema, complete
+from gradewalk.sources.graph import complete, graph_schema
 
 #: Nodes (id, lon, lat, x, y, z), and edges (id, source, target, street, length, time, width, wheelchair, samples).
 NODE_ROWS = [(1, -122.4194, 37.7749, 0.0, 0.0, 0.0), (10, -122.4154, 37.7750, 350.0, 0.0, 0.0), (11, -122.4144, 37.7750, 441.44, 0.0, 14.6304), (20, -122.4160, 37.7780, 430.0, 120.0, 5.0), (99, -122.4090, 37.7755, 965.606, 0.0, 5.0)]
@@ -22,13 +22,13 @@ EDGE_ROWS = [
 
 def edges_from(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Edges from dicts with any of their columns; the others take their defaults, metrics come from samples."""
-    schema = _schema(EDGES)
+    schema = graph_schema(EDGES)
     full = [tuple(r.get(f.name) for f in schema) for r in rows]
     return complete(spark.createDataFrame(full, schema), fill_time=True)
 
 
 def hill_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    nodes = spark.createDataFrame([(*n, "intersection") for n in NODE_ROWS], _schema(NODES))
+    nodes = spark.createDataFrame([(*n, "intersection") for n in NODE_ROWS], graph_schema(NODES))
     place = {n[0]: (n[1], n[2]) for n in NODE_ROWS}
     rows = [{"edge_id": i, "source": s, "target": t, "street_name": name, "length_m": length, "base_time_s": time, "sidewalk_availability": "both", "sidewalk_width_m": width, "wheelchair_access": chair,
              "geometry": [place[s], place[t]], "samples": [(d, z, z, None, None, None) for d, z in samples]} for i, s, t, name, length, time, width, chair, samples in EDGE_ROWS]

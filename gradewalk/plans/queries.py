@@ -348,7 +348,7 @@ def street_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         "edge_id": F.col("source") * 1_000_000 + F.col("target"), "geometry": F.array("at_source", "at_target"), "base_time_s": F.col("length_m") / 1.34, "loss_m": F.lit(0.0), "max_downhill_grade": F.lit(0.0),
         "max_abs_grade": g, "sustained_uphill_grade_20m": g, "sustained_uphill_grade_50m": g, "street_name": F.concat(F.lit("Street "), F.pmod("edge_id", F.lit(7)).cast("string"))}
     value = lambda f: known.get(f.name, F.col(f.name) if f.name in lines.columns else F.lit(EDGE_DEFAULTS.get(f.name)).cast(f.dataType)).alias(f.name)
-    edges = lines.select(*(value(f) for f in graph._schema(EDGES)))
+    edges = lines.select(*(value(f) for f in graph.graph_schema(EDGES)))
     return nodes, edges
 
 

@@ -12,7 +12,7 @@ from gradewalk.operators.naming import assign_display_names
 from gradewalk.operators.series import edge_grade_metrics, reversed_samples
 from gradewalk.operators.smoothing import smooth_profile
 from gradewalk.schemas import EDGE_DEFAULTS, EDGES
-from gradewalk.sources.graph import WALKING_SPEED, _schema
+from gradewalk.sources.graph import WALKING_SPEED, graph_schema
 from gradewalk.sources.osm import edge_attributes
 from gradewalk.storage import stored
 
@@ -74,7 +74,7 @@ def build_directed_graph(segments: DataFrame, heights: Callable[[DataFrame], Dat
     length = geo.geometry_length_m(F.col("geometry"))
     both = both_ways(base).withColumns({**edge_attributes(F.col("tags")), "source_tags": F.col("tags"), "length_m": length, "base_time_s": length / WALKING_SPEED}).drop("tags")
     both = both.join(lists, "edge_id", "left").join(edge_grade_metrics(samples), "edge_id", "left")
-    fields = _schema(EDGES)
+    fields = graph_schema(EDGES)
     have = set(both.columns)
     edges = both.select(*(F.col(f.name) if f.name in have else F.lit(EDGE_DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name) for f in fields))
     ends = forward.groupBy("edge_id").agg(F.min_by("z_smooth_m", "dist_m").alias("z_first"), F.max_by("z_smooth_m", "dist_m").alias("z_last"))
