@@ -89,6 +89,15 @@ ORACLES = {
     "snap_nearest": f"""with a as ({points_sql('customer', 'c_custkey')}), b as ({points_sql('supplier', 's_suppkey')}), d as (select a.id as c, b.id as s, {HAVERSINE} as m from a, b),
       k as (select *, row_number() over (partition by c order by m, s) as n from d) select c as c_custkey, s as s_suppkey, round(m, 3) as distance_m from k where n = 1""",
     "distance_join": f"with a as ({points_sql('customer', 'c_custkey')}), b as ({points_sql('supplier', 's_suppkey')}), d as (select a.id as c_custkey, b.id as s_suppkey, {HAVERSINE} as m from a, b) select c_custkey, s_suppkey, round(m, 3) as distance_m from d where m <= 250",
+    "geodesic_lines": f"""with recursive f as (select 1 / 298.257223563::double as f, 6378137.0::double as a), k as (select c_custkey, (c_custkey * 104729 % 15001) * 0.01::double - 75 as lat, (c_custkey * 7919 % 36001) * 0.01::double - 180 as lon from customer),
+      u as (select c_custkey, f, a, atan((1 - f) * tan(radians(lat))) as u1, atan((1 - f) * tan(radians(lat + (c_custkey * 31 % 1001) * 0.01::double - 5))) as u2, radians(lon + (c_custkey * 37 % 8009) * 0.01::double - 40 - lon) as wide from k, f),
+      i(n, c_custkey, f, a, u1, u2, wide, lam) as (select 0, *, wide from u union all select n + 1, c_custkey, f, a, u1, u2, wide, wide + (1 - c) * f * sa * (s + c * ss * (m + c * cs * (2 * m * m - 1)))
+        from (select *, f / 16 * (1 - sa * sa) * (4 + f * (4 - 3 * (1 - sa * sa))) as c, cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) as m from (select *, atan2(ss, cs) as s, coalesce(cos(u1) * cos(u2) * sin(lam) / nullif(ss, 0), 0) as sa from
+          (select *, sqrt((cos(u2) * sin(lam)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) ** 2) as ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) as cs from i where n < 8)))),
+      e as (select *, atan2(ss, cs) as s, coalesce(cos(u1) * cos(u2) * sin(lam) / nullif(ss, 0), 0) as sa from (select *, sqrt((cos(u2) * sin(lam)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) ** 2) as ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) as cs from i where n = 8)),
+      w as (select *, cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) as m, (1 - sa * sa) * (1 / (1 - f) ** 2 - 1) as q from e), v as (select *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) as aa, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) as bb from w)
+      select c_custkey, round(a * (1 - f) * aa * (s - bb * ss * (m + bb / 4 * (cs * (2 * m * m - 1) - bb / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))), 3) as distance_m,
+        {r6(bearing_sql('cos(u2) * sin(lam)', 'cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)'), 'azimuth')} from v""",
     "bearing_turns": f"""with v as (select l_orderkey, l_linenumber, {bearing_sql('l_quantity - 25.3', 'l_discount * 1000 - 41.7')} as a, {bearing_sql('l_tax * 1000 - 33.3', 'l_quantity - 20.6')} as b from lineitem),
       t as (select *, fmod(b - a + 540.0, 360.0) - 180.0 as d, fmod(abs(a - b), 180.0) as p from v)
       select l_orderkey, l_linenumber, {r6('a', 'bearing')}, {compass_sql('a')} as compass, case when abs(d) < 30 then 'Continue' when abs(d) > 150 then 'Turn around' when d > 0 then 'Turn right' else 'Turn left' end as turn, {r6('least(p, 180 - p)', 'delta')} from t""",

@@ -188,6 +188,15 @@ def distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(s, ["cy", "cx"]).withColumn("d", d).where(F.col("d") <= 250).select("c_custkey", "s_suppkey", F.round("d", 3).alias("distance_m"))
 
 
+def geodesic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and first azimuth of a line on the ellipsoid from each customer's place on the earth to one up to 40 degrees away."""
+    k = F.col("c_custkey")
+    ends = table(spark, sf_dir, "customer").select(k, (F.pmod(k * 104729, F.lit(15001)) * 0.01 - 75).alias("lat"), (F.pmod(k * 7919, F.lit(36001)) * 0.01 - 180).alias("lon"))
+    ends = ends.withColumns({"lat2": F.col("lat") + F.pmod(k * 31, F.lit(1001)) * 0.01 - 5, "lon2": F.col("lon") + F.pmod(k * 37, F.lit(8009)) * 0.01 - 40})
+    line = geo.geodesic(F.struct("lon", "lat"), F.struct(F.col("lon2").alias("lon"), F.col("lat2").alias("lat")))
+    return ends.withColumn("g", line).select("c_custkey", F.round("g.distance_m", 3).alias("distance_m"), r6("g.azimuth").alias("azimuth"))
+
+
 def bearing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compass and turn texts for bearings taken from order lines."""
     b = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", geo.bearing_of(F.col("l_quantity") - 25.3, F.col("l_discount") * 1000 - 41.7).alias("a"), geo.bearing_of(F.col("l_tax") * 1000 - 33.3, F.col("l_quantity") - 20.6).alias("b"))
@@ -399,5 +408,5 @@ def landmark_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     grade_lag, gain_loss, rolling_grades, edge_grade_metrics, reverse_profile, hampel_filter, savgol_smooth, smooth_profile, threshold_breaks, extrema_breaks, regular_breaks, merge_breaks,
-    penalty_curves, edge_cost_profiles, route_metrics, snap_nearest, distance_join, bearing_turns, shortest_path_cost, supplier_routes, landmark_routes, connector_reach, dedupe_overlap, pareto_front, hill_events, giant_grades, giant_hills,
+    penalty_curves, edge_cost_profiles, route_metrics, snap_nearest, distance_join, geodesic_lines, bearing_turns, shortest_path_cost, supplier_routes, landmark_routes, connector_reach, dedupe_overlap, pareto_front, hill_events, giant_grades, giant_hills,
     direction_steps, absorb_short, street_name_format, walkable_filter, json_heights, explain_text, directed_edges, segment_numbers, centerline_distances, route_candidates, geojson_features)}

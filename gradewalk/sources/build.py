@@ -20,18 +20,18 @@ from gradewalk.storage import stored
 def densified(segments: DataFrame, spacing_m: float = 20.0) -> DataFrame:
     """(edge_id, seq, lon, lat, dist_m): k evenly spaced points between each two, k the whole spacings in their distance.
 
-    Points are interpolated in degrees, which at these lengths is within a millimetre of the geodesic.
+    Points lie on the geodesic.
     """
     if spacing_m <= 0:
         raise ValueError("the spacing must be positive")
     points = segments.select("edge_id", F.posexplode("geometry").alias("i", "p"))
     w = Window.partitionBy("edge_id").orderBy("i")
-    pairs = points.withColumn("q", F.lead("p").over(w)).withColumn("length", F.coalesce(geo.geodesic_m(F.col("p"), F.col("q")), F.lit(0.0)))
+    pairs = points.withColumn("q", F.lead("p").over(w)).withColumn("line", geo.geodesic(F.col("p"), F.col("q"))).withColumn("length", F.coalesce("line.distance_m", F.lit(0.0)))
     k = F.when(F.col("q").isNull(), 0).otherwise(F.floor(F.col("length") / spacing_m).cast("int"))
     steps = pairs.withColumn("k", k).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k"))))
     share = F.col("j") / (F.col("k") + 1)
-    at = lambda c: F.when(F.col("j") == 0, F.col(f"p.{c}")).otherwise(F.col(f"p.{c}") + share * (F.col(f"q.{c}") - F.col(f"p.{c}")))
-    dense = steps.select("edge_id", "i", "j", at("lon").alias("lon"), at("lat").alias("lat"))
+    at = F.when(F.col("j") == 0, F.struct("p.lon", "p.lat")).otherwise(geo.geodesic_at(F.col("p"), F.col("line.azimuth"), share * F.col("length")))
+    dense = steps.select("edge_id", "i", "j", at.alias("at")).select("edge_id", "i", "j", "at.lon", "at.lat")
     order = Window.partitionBy("edge_id").orderBy("i", "j")
     here, before = F.struct("lon", "lat"), F.lag(F.struct("lon", "lat")).over(order)
     dense = dense.withColumn("step", F.coalesce(geo.geodesic_m(before, here), F.lit(0.0)))
