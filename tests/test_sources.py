@@ -1,5 +1,8 @@
 """Databases, caches, boxes and numbering."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +125,37 @@ def test_paths_by_joins_cost_edges_as_they_are_reached(spark):
     costs = edges.crossJoin(kinds).select("profile", "edge_id", "source", "target", edge_cost(F.col("prefs")).alias("cost"))
     want = {r["request_id"]: r["edge_ids"] for r in routing.shortest_paths(asked, nodes, costs).collect()}
     assert got == want == {"a": [101, 102, 103], "b": [201, 202], "c": None}
+
+
+def test_one_rate_and_no_key_twice(spark, tmp_path):
+    """Four tasks under one rate; a request that fails once loses no answer that came before it."""
+    log = tmp_path / "asked"
+
+    def ask(keys):
+        if any(k.startswith("7.") for k in keys):
+            try:
+                os.mkdir(f"{log}.failed")
+            except FileExistsError:
+                pass
+            else:
+                raise OSError("no answer")
+        with open(log, "a") as f:
+            f.write(f"{time.time()} {' '.join(keys)}\n")
+        return [float(k.split(",")[0]) for k in keys]
+
+    points = spark.range(48).select((F.col("id") % 24).cast("double").alias("lat"), F.lit(2.0).alias("lon"))
+    path = str(tmp_path / "heights")
+    for _ in range(3):  # a session that allows no second attempt fails, and the next call goes on
+        try:
+            got = elevation.heights(points, ask, cache_path=path, batch=2, rate=8.0).collect()
+            break
+        except Exception:  # noqa: BLE001
+            time.sleep(6)  # until the killed tasks have ended
+    assert sorted((r["lat"], r["z_m"]) for r in got) == sorted((float(i % 24), float(i % 24)) for i in range(48))
+    lines = [x.split(" ", 1) for x in log.read_text().splitlines()]
+    asked = [k for x in lines for k in x[1].split()]
+    assert os.path.isdir(f"{log}.failed") and len(asked) == len(set(asked)) == 24
+    times = sorted(float(x[0]) for x in lines)
+    for i, t in enumerate(times):
+        assert sum(t <= u < t + 1 for u in times[i:]) <= 8 + 2  # a request's own time may shift it a little
+    assert not os.path.exists(path + ".answers") and elevation.cached(points, path).count() == 24
