@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewalk.functions.text import format_street_name
+from gradewalk.sources.members import members, says
 
 #: Ways that can be walked, and access tags that close them.
 WALKABLE = ["footway", "path", "pedestrian", "steps", "living_street", "residential", "service", "unclassified", "tertiary", "secondary", "primary", "crossing"]
 CLOSED = ["no", "private", "customers", "permit"]
 WITHOUT_SIDEWALK = ["footway", "path", "pedestrian", "steps", "crossing"]
-OVERPASS = "elements array<struct<type:string,id:long,lat:double,lon:double,nodes:array<long>,tags:map<string,string>>>"
-CENTERLINES = "type string, features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
+ELEMENT = "struct<type:string,id:long,lat:double,lon:double,nodes:array<long>,tags:map<string,string>>"
+FEATURE = "struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
+OVERPASS, CENTERLINES = f"elements array<{ELEMENT}>", f"type string, features array<{FEATURE}>"
 
 
 def is_walkable_way(tags: Column) -> Column:
@@ -63,8 +65,13 @@ def fetch(url: str, to: str, query: str | None = None, timeout_s: float = 120) -
         json.dump(payload, f)
 
 
-def read_overpass(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of saved answers, one row each, with ``way_idx``, their place."""
+def read_overpass(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
+    """Elements of saved answers, one row each, with ``way_idx``, their place.
+
+    ``split`` reads a large answer in many tasks; without it each file is one task's.
+    """
+    if split:
+        return members(spark, path, "elements").select(F.col("nth").cast("int").alias("way_idx"), F.from_json("json", ELEMENT).alias("e")).select("way_idx", "e.*")
     return spark.read.schema(OVERPASS).json(path, multiLine=True).select(F.posexplode("elements").alias("way_idx", "e")).select("way_idx", "e.*")
 
 
@@ -92,14 +99,23 @@ def edge_attributes(tags: Column) -> dict[str, Column]:
     }
 
 
-def read_centerlines(spark: SparkSession, path: str) -> DataFrame:
+def read_centerlines(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """One row a line: line_id, display_name, dataset, feature_id, active, geometry, properties.
 
     Features without a name, or of other shapes than lines, go; parts of a multi-line are numbered, and
     those with fewer than two points go without renumbering.  Another top level than a FeatureCollection fails.
+    ``split`` reads a large document in many tasks; without it each file is one task's.
     """
+    if split:
+        if says(spark, path, "type", "FeatureCollection").where("not said").limit(1).count():
+            raise ValueError("not a FeatureCollection")
+        return _centerlines(members(spark, path, "features").select(F.col("nth").cast("int").alias("feature"), F.from_json("json", FEATURE).alias("f")))
     doc = spark.read.schema(CENTERLINES).json(path, multiLine=True)
     features = doc.select(F.posexplode(F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(F.raise_error(F.lit("not a FeatureCollection")).cast(doc.schema["features"].dataType))).alias("feature", "f"))
+    return _centerlines(features)
+
+
+def _centerlines(features: DataFrame) -> DataFrame:
     value = lambda k: F.when(F.try_element_at("f.properties", F.lit(k)) != "", F.try_element_at("f.properties", F.lit(k)))
     parts = F.when(F.col("f.geometry.type") == "LineString", F.array(F.from_json("f.geometry.coordinates", "array<array<double>>"))).when(F.col("f.geometry.type") == "MultiLineString", F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))
     rows = features.select("feature", F.coalesce(value("streetname"), value("streetname_gc")).alias("name"), value("cnn").alias("cnn"), truthy(F.try_element_at("f.properties", F.lit("active"))).alias("active"), F.col("f.properties").alias("properties"), parts.alias("parts")).where(F.col("name").isNotNull())
