@@ -329,17 +329,6 @@ def segment_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.numbered(ways, range_ways=1024).select("way_idx", "pos", F.col("number").cast("long").alias("number"))
 
 
-def centerline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-point lines of customers and of suppliers that lie within 60 m of each other, on a flat patch."""
-    def lines(name: str, key: str, turn: int) -> DataFrame:
-        x, y = F.pmod(F.col(key) * (7919 + turn), F.lit(2003)) * 1e-5, F.pmod(F.col(key) * (104729 + turn), F.lit(1999)) * 1e-5
-        at = lambda dx, dy: F.struct((x - 122.44 + dx).alias("lon"), (y + 37.77 + dy).alias("lat"))
-        return table(spark, sf_dir, name).select(key, F.array(at(0.0, 0.0), at(F.pmod(F.col(key), F.lit(11)) * 2e-5, F.pmod(F.col(key), F.lit(7)) * 3e-5)).alias("geometry"))
-
-    near = joins.lines_within(lines("customer", "c_custkey", 0), "c_custkey", lines("supplier", "s_suppkey", 2), "s_suppkey", 60.0)
-    return near.select("c_custkey", "s_suppkey", F.round("distance_m", 1).alias("distance_m"))
-
-
 def street_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers as crossings and the shortest order line between two of them as their street, with all columns that routes read.
 
@@ -409,4 +398,4 @@ def landmark_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     grade_lag, gain_loss, rolling_grades, edge_grade_metrics, reverse_profile, hampel_filter, savgol_smooth, smooth_profile, threshold_breaks, extrema_breaks, regular_breaks, merge_breaks,
     penalty_curves, edge_cost_profiles, route_metrics, snap_nearest, distance_join, geodesic_lines, bearing_turns, shortest_path_cost, supplier_routes, landmark_routes, connector_reach, dedupe_overlap, pareto_front, hill_events, giant_grades, giant_hills,
-    direction_steps, absorb_short, street_name_format, walkable_filter, json_heights, explain_text, directed_edges, segment_numbers, centerline_distances, route_candidates, geojson_features)}
+    direction_steps, absorb_short, street_name_format, walkable_filter, json_heights, explain_text, directed_edges, segment_numbers, route_candidates, geojson_features)}
