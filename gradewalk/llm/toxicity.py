@@ -30,7 +30,8 @@ FOLDS, HELD_OUT = 5, 0
 class KneserNey:
     """Sorted hashes with values by class (rows: ordinary, toxic).
 
-    ``word_p``: probabilities of the telling words; ``rare_p``: of each other word;
+    ``word_p``: probabilities of the telling words, and of the others that end a telling pair; ``rare_p``: of any
+    other word, for each shared count of it (a word never seen has one), so that classes differ by one factor there;
     ``given``: discounted shares of the telling pairs; ``left``: what their histories leave to the words.
     """
 
@@ -124,22 +125,27 @@ def fit_kneser_ney(sample: DataFrame, evidence: float = 10.0) -> KneserNey:
     counts = sample.select("text", "toxic").mapInArrow(_counts, "key long, a long, b long, n0 long, n1 long")
     pairs = cut(counts.groupBy("key").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     ends = pairs.groupBy("b").agg(F.count_if(F.col("n0") > 0).alias("c0"), F.count_if(F.col("n1") > 0).alias("c1"))
-    sums = [float(x or 0) for x in [*ends.agg(F.sum("c0"), F.sum("c1"), F.count("*")).first(), *pairs.agg(F.sum("n0"), F.sum("n1")).first()]]
-    total, n_words, all_pairs = sums[:2], sums[2], sums[3:]
+    sums = [float(x or 0) for x in [*ends.agg(F.sum("c0"), F.sum("c1")).first(), *pairs.agg(F.sum("n0"), F.sum("n1")).first()]]
+    total, all_pairs = sums[:2], sums[2:]
+    ends = ends.withColumn("told", telling(F.col("c0"), F.col("c1"), *total) >= evidence)
     frequent = pairs.where(telling(F.col("n0"), F.col("n1"), *all_pairs) >= 2 * evidence)
     starts = pairs.groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).join(frequent.select("a").distinct(), "a")
-    e, s, p = _arrays(ends.where(telling(F.col("c0"), F.col("c1"), *total) >= evidence)), _arrays(starts), _arrays(frequent.select("key", "a", "n0", "n1"))
+    # other words' shared counts cancel out of the classes' ratio, unless a telling pair's share is added to them
+    used = ends.join(frequent.select("b").distinct().withColumn("ended", F.lit(True)), "b", "left").where("told or ended").select("b", "c0", "c1", F.col("told").cast("int"))
+    e, s, p = _arrays(used), _arrays(starts), _arrays(frequent.select("key", "a", "n0", "n1"))
 
     all_ends = np.maximum(np.array(total), 1)[:, None]
-    words, (c,) = _sorted(e["b"], [np.stack([e["c0"], e["c1"]]).astype(float)])
-    held = DISCOUNT * (c > 0).sum(axis=1, keepdims=True)
-    shared = c.sum(axis=0) / max(1.0, c.sum())
-    word_p = (np.maximum(c - DISCOUNT, 0) + np.maximum(held, DISCOUNT) * shared) / all_ends
-    # the others' mass in each class; it is dealt alike in both, here evenly, with one part for words never seen
-    n_rare = n_words - len(words) + 1
-    rare_p = (np.maximum(all_ends[:, 0] - c.sum(axis=1), 0) + 1) / all_ends[:, 0] / n_rare
-    scale = word_p.sum(axis=1) + rare_p * n_rare
-    word_p, rare_p = word_p / scale[:, None], rare_p / scale
+    words, (c, told) = _sorted(e["b"], [np.stack([e["c0"], e["c1"]]).astype(float), e["told"] == 1])
+    known = c[:, told]
+    held = DISCOUNT * (known > 0).sum(axis=1, keepdims=True)
+    shared = known.sum(axis=0) / max(1.0, known.sum())
+    # the others' mass in each class is dealt by their shared counts; words never seen have one such count
+    rare = (np.maximum(all_ends[:, 0] - known.sum(axis=1), 0) + 1) / all_ends[:, 0]
+    n_rare = max(0.0, sum(total) - known.sum()) + 1
+    word_p = rare[:, None] / n_rare * c.sum(axis=0)
+    word_p[:, told] = (np.maximum(known - DISCOUNT, 0) + np.maximum(held, DISCOUNT) * shared) / all_ends
+    scale = word_p[:, told].sum(axis=1) + rare
+    word_p, rare_p = word_p / scale[:, None], rare / n_rare / scale
 
     histories, (h_total,) = _sorted(s["a"], [np.stack([s["n0"], s["n1"]]).astype(float)])
     pair, (n, a) = _sorted(p["key"], [np.stack([p["n0"], p["n1"]]).astype(float), p["a"]])

@@ -155,9 +155,17 @@ def test_toxicity_held_out(labelled):
     assert len(rows) == 600 and sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held) >= 0.97 * len(held)
 
 
-def test_kneser_ney_models_are_distributions(labelled):
+def evidence_by_hand(n, of):
+    share = of[1] / sum(of)
+    return 2 * sum(x * math.log(x / (sum(n) * q)) for x, q in zip(n, (1 - share, share), strict=True) if x)
+
+
+def test_kneser_ney_models_by_hand(labelled):
+    """Both models are distributions, and give every word of a text the ratio that a plain model gives it."""
     docs, labels = labelled
     sample = docs.join(labels, "doc_id").select("doc_id", "text", "toxic")
+    # a telling pair whose second word tells nothing by its contexts
+    sample = sample.union(docs.sparkSession.createDataFrame([(9_000 + i, f"grim lake {i}", 1) for i in range(40)], sample.schema))
     model = toxicity.fit_kneser_ney(sample)
     pairs, words = [Counter(), Counter()], set()
     for r in sample.collect():
@@ -166,21 +174,35 @@ def test_kneser_ney_models_are_distributions(labelled):
         pairs[r["toxic"]].update(zip(w, w[1:], strict=False))
     ends = [Counter(b for _, b in p) for p in pairs]
     followed = {b for p in pairs for _, b in p}
-    n_rare = len(followed) - len(model.words) + 1
-    assert model.word_p.sum(axis=1) + model.rare_p * n_rare == pytest.approx(np.ones(2))
     names = sorted(words)
     data = "".join(names).encode()
     edges = np.concatenate([[0], np.cumsum([len(x.encode()) for x in names])])
     h = dict(zip(names, find_words(np.frombuffer(data, np.uint8), edges).hash(), strict=True))
-    assert {"idiot", "moron", "scum"} <= {x for x in names if h[x] in model.words}
-    total = [sum(e.values()) for e in ends]
-    for x in names:
-        if h[x] in model.words:  # by hand, up to the common scale
-            at = np.searchsorted(model.words, h[x])
-            telling = [y for y in names if h[y] in model.words]
-            shared = sum(e[x] for e in ends) / sum(e[y] for e in ends for y in telling)
-            by_hand = [(max(e[x] - 0.75, 0) + 0.75 * max(1, sum(e[y] > 0 for y in telling)) * shared) / total[c] for c, e in enumerate(ends)]
-            assert model.word_p[:, at] == pytest.approx(by_hand, rel=0.02)
+    total, in_pairs = [sum(e.values()) for e in ends], [sum(p.values()) for p in pairs]
+    told = {x for x in followed if evidence_by_hand([e[x] for e in ends], total) >= 10}
+    strong = {ab for ab in {*pairs[0], *pairs[1]} if evidence_by_hand([p[ab] for p in pairs], in_pairs) >= 20}
+    assert {"idiot", "moron", "scum"} <= told and ("grim", "lake") in strong and "lake" not in told
+    assert {x for x in names if h[x] in model.words} == told | {b for _, b in strong}
+    shared = {x: sum(e[x] for e in ends) for x in followed}
+    known, rest = sum(shared[x] for x in told), sum(shared[x] for x in followed - told) + 1
+
+    def word(c, x):
+        mass = (max(0, total[c] - sum(ends[c][y] for y in told)) + 1) / total[c]
+        own = {y: (max(ends[c][y] - 0.75, 0) + 0.75 * max(1, sum(ends[c][z] > 0 for z in told)) * shared[y] / known) / total[c] for y in told}
+        return (own[x] if x in told else mass * shared.get(x, 1) / rest) / (sum(own.values()) + mass)
+
+    for c in (0, 1):
+        assert sum(word(c, x) for x in {*followed, "never seen"}) == pytest.approx(1)
+    p_word = {x: [word(c, x) for c in (0, 1)] for x in {*names, "neverseen"}}
+    histories = {a for a, _ in strong}
+    out = {a: [sum(n for (x, _), n in p.items() if x == a) for p in pairs] for a in histories}
+    given = {ab: [max(p[ab] - 0.75, 0) / max(1, out[ab[0]][c]) for c, p in enumerate(pairs)] for ab in strong}
+    left = {a: [1 - sum(g[c] for (x, _), g in given.items() if x == a) for c in (0, 1)] for a in histories}
+    for text in [*(r["text"] for r in sample.limit(40).collect()), "neverseen idiot neverseen", " ".join(f"{a} {b} neverseen" for a, b in sorted(strong)[:20])]:
+        w = text.split()
+        p = [[p_word[x][c] if a not in histories else left[a][c] * p_word[x][c] + given.get((a, x), (0, 0))[c] for c in (0, 1)] for a, x in zip([None, *w], w, strict=False)]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert model.log_ratio(find_words(raw, np.array([0, len(raw)]))) == pytest.approx([math.log(t) - math.log(o) for o, t in p])
     for k, a in enumerate(model.histories):  # what pairs are given and what is left to the words is everything
         mine = [j for (x, y) in {*pairs[0], *pairs[1]} if h[x] == a for j in np.flatnonzero(model.pairs == toxicity.pair_hash(np.array([h[x]]), np.array([h[y]]))[0])]
         assert model.given[:, mine].sum(axis=1) + model.left[:, k] == pytest.approx(np.ones(2))
