@@ -40,6 +40,14 @@ def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarra
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(likeness, some, 1), axis=1, kind="stable"), 1)
 
 
+def ranks_kept(n_pivots: int, near: int = 8) -> int:
+    """How many nearest pivots describe a vector: ``near``, and one more for each doubling of the pivots beyond 256.
+
+    The more pivots there are, the fewer of their ``near`` nearest two alike vectors share.
+    """
+    return near + max(0, int(np.ceil(np.log2(max(1, n_pivots) / 256))))
+
+
 def spread_pivots(pivots: np.ndarray, least: float) -> np.ndarray:
     """In order, the pivots whose cosine to each one chosen before is below ``least``."""
     free, chosen = np.ones(len(pivots), bool), []
@@ -82,7 +90,8 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, near: int = 8, shared:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id and kept.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; those
-    of different lengths don't link.  Equal vectors count as links of each other and are indexed once.
+    of different lengths don't link.  A vector is described by ``near`` pivots and a few more where there are many
+    (``ranks_kept``).  Equal vectors count as links of each other and are indexed once.
     One pivot for ``a_pivot`` distinct vectors of the most common length is sampled by a hash, ``most_pivots``
     at most, and those within twice the link's angle of one chosen before are dropped; vectors of other
     lengths meet the pivots cut or filled up with zeros to their length, in lists of their own.  The vectors
@@ -106,6 +115,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, near: int = 8, shared:
     drawn = nodes.where(F.size("embedding") == lengths["size"]).orderBy(F.xxhash64("embedding"), "vec_id").limit(n_pivots).select("embedding").toArrow()
     around = 2 * cosine * cosine - 1 if cosine > 0 else -1.0  # the cosine of twice the link's angle
     pivots = spread_pivots(_unit(_matrix(drawn.column("embedding"))), around)
+    near = ranks_kept(len(pivots), near)
     together = min(1 if lengths["count"] <= 4 * a_pivot * most_pivots else 2, len(pivots))
     home_key = sum(most_pivots**k for k in range(together))
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)

@@ -94,3 +94,14 @@ def test_links_of_empty_tables(spark):
     df = spark.createDataFrame([(1, [0.0])], "vec_id long, embedding array<float>")
     assert pivots.link_vectors(df.limit(0)).count() == 0
     assert pivots.link_vectors(df).select(F.col("kept")).first()["kept"]
+
+
+def test_alike_vectors_share_pivots_however_many_there_are():
+    """Isolated pairs at a cosine of 0.9 in every direction: at least 99 of 100 are candidates, with few pivots and with many."""
+    draw, unit = np.random.default_rng(5), lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for size, many in ((64, 4096), (256, 1024), (64, 256)):
+        points, a, side = (unit(draw.standard_normal((n, size))) for n in (many, 1000, 1000))
+        side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+        b = 0.9 * a + np.sqrt(1 - 0.81) * side
+        one, two = (pivots.nearest_pivots(x, points, pivots.ranks_kept(many)) for x in (a, b))
+        assert np.mean([len(set(x) & set(y)) >= 2 for x, y in zip(one.tolist(), two.tolist(), strict=True)]) >= 0.99
