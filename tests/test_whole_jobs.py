@@ -17,3 +17,21 @@ def test_lengths_round_as_their_sql_does(spark):
     got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, x double").orderBy("i").select(queries.rounded(F.col("x"), 4)).collect()]
     assert got == [r[0] for r in duckdb.execute("select round(x, 4) + 0.0 from (select unnest(?::double[]) as x)", [values]).fetchall()]
     assert got[0] == 10.2404
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_connectors_reach_the_whole_limit(spark):
+    edges = queries.walk_edges(spark, SF).where("length_m <= 50").groupBy("source", "target").agg(F.min("length_m").alias("s")).collect()
+    want: dict[tuple, float] = {}
+    starts = [r[0] for r in queries.table(spark, SF, "supplier").select("s_suppkey").collect()]
+    for start in starts:
+        cost = {start: 0.0}
+        for _ in range(40):
+            for e in edges:
+                if e["source"] in cost and cost[e["source"]] + e["s"] <= min(300, cost.get(e["target"], 301) - 1e-9):
+                    cost[e["target"]] = cost[e["source"]] + e["s"]
+        want |= {(start, node): c for node, c in cost.items()}
+    got = {(r["start"], r["node"]): r["cost"] for r in queries.connector_reach(spark, SF).collect()}
+    assert got == pytest.approx(want) and max(got.values()) > 40
+
+
