@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gradewalk.functions import geo
 from gradewalk.operators import joins, naming
-from gradewalk.plans.queries import E, R, points, points_sql, r6, street_graph, table
+from gradewalk.plans.queries import E, R, points, points_sql, r6, rounded, street_graph, table
 from gradewalk.sources import osm
 
 # ---- ways ----
@@ -132,7 +132,7 @@ APART = f"case when {side_sql('a', 'b', 1)} * {side_sql('a', 'b', 2)} < 0 and {s
 def centerline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of customers and of suppliers that lie within 60 m of each other."""
     near = joins.lines_within(short_lines(spark, sf_dir, "customer", "c_custkey", 0, 1.0), "c_custkey", short_lines(spark, sf_dir, "supplier", "s_suppkey", 2, 1.0), "s_suppkey", 60.0)
-    return near.select("c_custkey", "s_suppkey", F.round("distance_m", 4).alias("distance_m"))
+    return near.select("c_custkey", "s_suppkey", rounded("distance_m", 4).alias("distance_m"))
 
 
 def official_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gradewalk.operators import joins
 from gradewalk.plans import queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -35,3 +36,15 @@ def test_connectors_reach_the_whole_limit(spark):
     assert got == pytest.approx(want) and max(got.values()) > 40
 
 
+def test_frequent_cells_are_dealt_to_blocks(spark):
+    """All lines in one cell: blocks of bounded size, more tasks than the session's partitions where pairs call for them."""
+    rows = [(i, [(-122.44 + i * 1e-8, 37.77), (-122.44 + i * 1e-8, 37.7701)]) for i in range(90)]
+    schema = "k long, geometry array<struct<lon:double,lat:double>>"
+    a, b = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[:70], schema).withColumnRenamed("k", "m")
+    place = lambda df: df.drop("geometry").withColumn("cell", F.lit(0))
+    left, right = joins.blocks_of(place(a), place(b), ["cell"], side=16, task_pairs=100)
+    assert left.rdd.getNumPartitions() == 63
+    met = left.join(right, ["cell", "_a", "_b"])
+    assert met.count() == met.select("k", "m").distinct().count() == 6_300
+    assert met.groupBy("_a", "_b").count().agg(F.max("count")).first()[0] < 1_500
+    assert joins.lines_within(a, "k", b, "m", 60.0).count() == 6_300
