@@ -48,3 +48,9 @@ def test_frequent_cells_are_dealt_to_blocks(spark):
     assert met.count() == met.select("k", "m").distinct().count() == 6_300
     assert met.groupBy("_a", "_b").count().agg(F.max("count")).first()[0] < 1_500
     assert joins.lines_within(a, "k", b, "m", 60.0).count() == 6_300
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_distance_join_is_dealt_by_its_pairs(spark):
+    """As many tasks as partitions at least, also where the customers' file is one split."""
+    assert queries.distance_join(spark, SF).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
