@@ -1,14 +1,17 @@
 """Results at ties, whole limits and large groups."""
 
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gradewalk.operators import joins
+from gradewalk.functions import geo
+from gradewalk.operators import joins, naming, routing
 from gradewalk.plans import queries
+from gradewalk.plans.fixture import edges_from
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -54,3 +57,37 @@ def test_frequent_cells_are_dealt_to_blocks(spark):
 def test_distance_join_is_dealt_by_its_pairs(spark):
     """As many tasks as partitions at least, also where the customers' file is one split."""
     assert queries.distance_join(spark, SF).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_start_bounds_its_own_search(spark):
+    edges = spark.createDataFrame([(i, i + 1, 10.0) for i in range(9)], "source long, target long, cost double")
+    starts = spark.createDataFrame([(0, 0, 25.0), (3, 3, 40.0), (5, 5, 0.0)], "start long, node long, most double")
+    got = {(r["start"], r["node"]) for r in routing.min_plus(edges, starts, 30.0).collect()}
+    assert got == {(0, 0), (0, 1), (0, 2), (3, 3), (3, 4), (3, 5), (3, 6), (5, 5)}
+
+
+def test_reached_names_are_the_best_of_all(spark):
+    """Against every street that connectors reach, with equal bearings, both directions of a street and nodes without one; few pairs are scored."""
+    rng = random.Random(4)
+    at = {n: (-122.4 + rng.randrange(4) * 0.001, 37.7 + rng.randrange(4) * 0.001) for n in range(24)}
+    rows = []
+    for i in range(160):
+        a, b = rng.sample(range(24), 2)
+        named = rng.random() < 0.4 and a > 6 and b > 6
+        rows.append({"edge_id": i, "source": a, "target": b, "length_m": float(rng.randrange(1, 120)), "edge_type": "residential" if named else "crossing", "street_name": f"Street {rng.randrange(5)}" if named else None, "geometry": [{"lon": x, "lat": y} for x, y in (at[a], at[b])]})
+    edges = edges_from(spark, rows)
+    bearing = {r["edge_id"]: r["b"] for r in edges.select("edge_id", geo.bearing(F.col("geometry")).alias("b")).collect()}
+    far = {(n, n): 0.0 for n in at}
+    for _ in range(24):
+        for r in rows:
+            for a, b in ((r["source"], r["target"]), (r["target"], r["source"])):
+                for n in at:
+                    if not r["street_name"] and (n, a) in far and far[n, a] + r["length_m"] <= min(300.0, far.get((n, b), 301.0)):
+                        far[n, b] = far[n, a] + r["length_m"]
+    want = {}
+    for c in (r for r in rows if not r["street_name"]):
+        turn = lambda s: abs(bearing[c["edge_id"]] - bearing[s["edge_id"]]) % 180.0  # noqa: B023, E731
+        scores = [(far[n, m] + 1.5 * min(turn(s), 180.0 - turn(s)), s["street_name"]) for n in (c["source"], c["target"]) for s in rows if s["street_name"] for m in (s["source"], s["target"]) if (n, m) in far]
+        if scores:
+            want[c["edge_id"]] = min(scores)[1]
+    assert {r["edge_id"]: r["reached_name"] for r in naming.reachable_names(edges).collect()} == want and len(want) > 60
