@@ -658,3 +658,26 @@ def test_queries_have_the_contracts_columns(spark, tmp_path, odd_documents, labe
     for name, columns in want.items():
         assert QUERIES[name](spark, str(tmp_path)).columns == columns.split()
     assert json.dumps(want)
+
+
+@pytest.mark.parametrize("most", [40, 10_000])
+def test_halls_sums_leave_a_task_together(most):
+    """One row a slice, each document once, while the bound isn't met; never a document lost or counted twice."""
+    rng = np.random.default_rng(3)
+    sums, want, rows = pitman_yor.DocumentSums(most), {}, []
+    for slices in ([70, 5], [70, 5], [5, 9 << 33], [1]) * 3:
+        at, doc, x = rng.integers(0, len(slices), 50), rng.integers(0, 12, 50), rng.integers(1, 9, 50)
+        for a, d, v in zip(at.tolist(), doc.tolist(), x.tolist(), strict=True):
+            want[slices[a], d] = want.get((slices[a], d), 0) + v
+        sums.add(np.array(slices), at << pitman_yor.DOC_BITS | doc, -x / 8, x / 4, x)
+        if sums.full:
+            rows += sums.taken()
+    rows += sums.taken()
+    got = {}
+    for r in rows:
+        docs, score, base, known = pitman_yor.numbers(r["docs"]), pitman_yor.doubles(r["score"]), pitman_yor.doubles(r["base"]), pitman_yor.numbers(r["known"])
+        assert len(set(docs.tolist())) == len(docs) and (score == -known / 8).all() and (base == known / 4).all()
+        for d, v in zip(docs.tolist(), known.tolist(), strict=True):
+            got[r["slice"], d] = got.get((r["slice"], d), 0) + v
+    assert got == want and list(sums.taken()) == []
+    assert (len(rows) == 4) == (most == 10_000)
