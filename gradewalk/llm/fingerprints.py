@@ -46,24 +46,32 @@ def _bits(shift: int, mask: int, wanted: int):
 
 
 def hashes(band: str, every: str) -> Column:
-    """Hashes of a sorted array of band terms, of all of them first, then of each subset; "-" where one is empty.
+    """Hashes of a sorted array of band terms: ``first`` of all of them, then ``rest``, 32 bits of each subset's; null where one is empty.
 
-    A text without a term of the band has the hash ``every`` of all its terms in place of the first.
+    A text without a term of the band is ``bare`` and has the hash ``every`` of all its terms in place of the first.
     """
-    hexed = lambda h, n: F.substring(F.lpad(F.hex(h), 16, "0"), 1, n)
     levels = [F.col(band)]
     for k in range(1, LEVELS):
         levels.append(F.filter(levels[-1], _bits(2 * k, 3, 0)))
     subsets = F.array(*(F.filter(levels[k], _bits(16 + 8 * k, SUBSETS - 1, j)) for k in range(LEVELS) for j in range(SUBSETS)))
-    first = F.when(F.size(band) > 0, hexed(F.xxhash64(band), 16)).otherwise(F.concat(F.lit("="), hexed(F.col(every), 16)))
-    return F.concat(F.array(first), F.transform(subsets, lambda xs: F.when(F.size(xs) == 0, F.lit("-")).otherwise(hexed(F.xxhash64(xs), 8))))
+    rest = F.transform(subsets, lambda xs: F.when(F.size(xs) > 0, F.shiftright(F.xxhash64(xs), 32).cast("int")))
+    bare = F.size(band) == 0
+    return F.struct(bare.alias("bare"), F.when(bare, F.col(every)).otherwise(F.xxhash64(band)).alias("first"), rest.alias("rest"))
+
+
+def written_out(marks: str) -> Column:
+    """``hashes`` as texts: hexadecimal, with "=" before the first of a bare text and "-" where a subset is empty."""
+    first = F.concat(F.when(F.col(f"{marks}.bare"), "=").otherwise(""), F.lpad(F.hex(f"{marks}.first"), 16, "0"))
+    low = F.lit(0xFFFFFFFF).cast("long")
+    return F.concat(F.array(first), F.transform(f"{marks}.rest", lambda x: F.coalesce(F.lpad(F.hex(x.cast("long").bitwiseAND(low)), 8, "0"), F.lit("-"))))
 
 
 def likeness(a: str, b: str) -> Column:
     """Equal hashes as a share of those that either document has; 1 for equal fingerprints."""
-    pairs = F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))
-    same = F.size(F.filter(pairs, lambda x: (x["a"] == x["b"]) & (x["a"] != "-")))
-    either = F.size(F.filter(pairs, lambda x: (x["a"] != "-") | (x["b"] != "-")))
+    pairs = F.arrays_zip(F.col(f"{a}.rest").alias("a"), F.col(f"{b}.rest").alias("b"))
+    head = (F.col(f"{a}.bare") == F.col(f"{b}.bare")) & (F.col(f"{a}.first") == F.col(f"{b}.first"))
+    same = head.cast("int") + F.size(F.filter(pairs, lambda x: x["a"] == x["b"]))
+    either = 1 + F.size(F.filter(pairs, lambda x: x["a"].isNotNull() | x["b"].isNotNull()))
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(same / either)
 
 
@@ -133,7 +141,7 @@ def fingerprint_documents(docs: DataFrame, least_idf: float = LEAST_IDF, most_id
     """
     rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("whole")))
     made = marked(rows.select("row", "text"), ["row"], {"marks": "text"}, lexicon(rows, least_idf, most_idf), {})
-    return rows.select("row", "whole").join(made, "row").select(*(F.col(f"whole.`{c}`") for c in docs.columns if c != "marks"), "marks")
+    return rows.select("row", "whole").join(made, "row").select(*(F.col(f"whole.`{c}`") for c in docs.columns if c != "marks"), written_out("marks").alias("marks"))
 
 
 def edited_report(docs: DataFrame, least_idf: float = LEAST_IDF, most_idf: float = MOST_IDF) -> DataFrame:
@@ -147,6 +155,6 @@ def edited_report(docs: DataFrame, least_idf: float = LEAST_IDF, most_idf: float
     made = cut(marked(rows, ["range", "nth"], {"marks": "text", "edited": "edited_text"}, band, extra))
     after = made.select(F.col("range").alias("next_range"), F.col("nth").alias("next_nth"), F.col("marks").alias("next_marks"))
     return made.join(after, ["next_range", "next_nth"]).select(
-        "doc_id", "n_chars", "edited_sha256", F.array_join("marks", ":").alias("fingerprint"), F.array_join("edited", ":").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.array_join(written_out("marks"), ":").alias("fingerprint"), F.array_join(written_out("edited"), ":").alias("edited_fingerprint"),
         likeness("marks", "edited").alias("near_edited"), likeness("marks", "next_marks").alias("near_next"),
     )

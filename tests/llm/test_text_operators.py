@@ -681,3 +681,15 @@ def test_halls_sums_leave_a_task_together(most):
             got[r["slice"], d] = got.get((r["slice"], d), 0) + v
     assert got == want and list(sums.taken()) == []
     assert (len(rows) == 4) == (most == 10_000)
+
+
+def test_fingerprints_travel_as_numbers(spark):
+    """Four bytes a subset where rows are shuffled; texts only at the end, with signs as unsigned digits."""
+    bands = [([(i * 0x9E3779B97F4A7C15 + 77) % 2**63 for i in range(n)], -n) for n in (0, 1, 40, 300)]
+    made = spark.createDataFrame(bands, "band array<long>, every long").withColumn("m", fingerprints.hashes("band", "every"))
+    assert made.schema["m"].dataType.simpleString() == "struct<bare:boolean,first:bigint,rest:array<int>>"
+    rows = made.select("m", fingerprints.written_out("m").alias("t"), fingerprints.likeness("m", "m").alias("near")).collect()
+    for r in rows:
+        first = ("=" if r["m"]["bare"] else "") + f"{r['m']['first'] & (2**64 - 1):016X}"
+        assert r["t"] == [first, *("-" if x is None else f"{x & (2**32 - 1):08X}" for x in r["m"]["rest"])] and r["near"] == 1.0
+    assert rows[0]["m"]["bare"] and set(rows[0]["m"]["rest"]) == {None} and any(x is not None and x < 0 for x in rows[3]["m"]["rest"])
