@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gradewalk.functions import geo
-from gradewalk.operators import joins, naming, routing
+from gradewalk.operators import joins, naming, narrate, routing
 from gradewalk.plans import queries
 from gradewalk.plans.fixture import edges_from
 
@@ -91,3 +91,16 @@ def test_reached_names_are_the_best_of_all(spark):
         if scores:
             want[c["edge_id"]] = min(scores)[1]
     assert {r["edge_id"]: r["reached_name"] for r in naming.reachable_names(edges).collect()} == want and len(want) > 60
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_routes_are_dealt_by_their_lines(spark):
+    """The more lines, the more tasks, each with whole orders, up to the steps that the queries give."""
+    n = queries.table(spark, SF, "lineitem").count()
+    dealt = queries.routes(spark, SF, 500)
+    tasks = dealt.rdd.getNumPartitions()
+    assert tasks >= n // 500
+    steps = narrate.direction_groups(dealt, key="street_name")
+    assert steps.groupBy("route_id", "step").count().rdd.getNumPartitions() == tasks
+    assert steps.select("route_id", F.spark_partition_id().alias("task")).distinct().groupBy("route_id").count().where("count > 1").count() == 0
+    assert queries.routes(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
