@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gradewalk.functions import geo
-from gradewalk.operators import joins, naming, narrate, routing
+from gradewalk.operators import joins, naming, narrate, relaxation, routing
 from gradewalk.plans import queries
-from gradewalk.plans.fixture import edges_from
+from gradewalk.plans.fixture import edges_from, hill_graph
+from gradewalk.schemas import prefs_for_mode, prefs_struct
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -104,3 +105,44 @@ def test_routes_are_dealt_by_their_lines(spark):
     assert steps.groupBy("route_id", "step").count().rdd.getNumPartitions() == tasks
     assert steps.select("route_id", F.spark_partition_id().alias("task")).distinct().groupBy("route_id").count().where("count > 1").count() == 0
     assert queries.routes(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_thinned_graph_bounds_the_whole(spark):
+    """Least costs, and of these the fewest hops and the least edge, from two starts over 40 arcs a node with many ties; one goal that no way leads to."""
+    rng = random.Random(5)
+    arcs = [(k, 1000 * s + i, s, (s + 1 + rng.randrange(30)) % 200, float(rng.randrange(1, 12))) for k in (0, 1) for s in range(200) for i in range(40)]
+    starts = [(0, 3), (0, 150), (1, 3)]
+    want: dict[tuple, tuple] = {}
+    for k, start in starts:
+        label = {start: (0.0, 0, None)}
+        for _ in range(200):
+            better = {}
+            for _, e, s, t, c in (a for a in arcs if a[0] == k):
+                if s in label and (new := (label[s][0] + c, label[s][1] + 1, e)) < (better.get(t) or label.get(t) or (float("inf"),)) and t != start:
+                    better[t] = new
+            if not better:
+                break
+            label |= better
+        want |= {(k, start, v): x for v, x in label.items()}
+    frame = spark.createDataFrame(arcs, "kind int, edge_id long, source long, target long, step double").withColumn("seen", F.lit(True))
+    first = spark.createDataFrame([(k, s, s, 0.0) for k, s in starts], "kind int, start long, node long, cost double")
+    goals = [(k, s, (s + d) % 200) for k, s in starts for d in (60, 199)]
+    asked = spark.createDataFrame(goals, "kind int, start long, node long")
+    labels = lambda a, g: {(r["kind"], r["start"], r["node"]): (r["cost"], r["hops"], r["edge_id"]) for r in relaxation.seeded(first, ["kind", "start"], a, ["kind"], g).collect()}
+    got = labels(frame, asked)
+    assert {g: got[g] for g in goals} == {g: want[g] for g in goals}
+    near = [(k, s, (s + 20) % 200) for k, s in starts]
+    assert labels(frame, spark.createDataFrame([*near, (1, 3, 999)], "kind int, start long, node long")).keys() == want.keys()
+    thin = relaxation.thinned(frame.where("kind = 0"), ["kind"], 4)
+    assert thin.count() <= 4 * 200 and thin.groupBy("source").agg(F.min("step").alias("m")).join(frame.where("kind = 0").groupBy("source").agg(F.min("step").alias("all")), "source").where("m <> `all`").count() == 0
+
+
+def test_paths_under_many_preferences_shuffle_no_texts(spark, monkeypatch):
+    """Labels carry a number for the preferences, and costed arcs no columns of the street."""
+    seen = []
+    monkeypatch.setattr(routing, "seeded", lambda first, by, arcs, within, goals: seen.append((by, arcs.columns)) or relaxation.seeded(first, by, arcs, within, goals))
+    nodes, edges = hill_graph(spark)
+    kinds = spark.range(1).select(F.lit("p").alias("profile"), prefs_struct(prefs_for_mode("fastest")).alias("prefs"))
+    asked = spark.createDataFrame([("a", "p", 1, 99)], "request_id string, profile string, start long, goal long")
+    assert routing.joined_paths(asked, nodes, edges, kinds).first()["edge_ids"] == [101, 102, 103]
+    assert seen == [(["kind", "start"], ["kind", "source", "target", "step", "edge_id"])]
