@@ -317,27 +317,33 @@ class Stretches(dict):
 
     def learn(self, texts: set[str]) -> None:
         """Cuts stretches where no piece goes on, and encodes the parts that are new together."""
-        if len(self) > self.model.most:
+        if len(self) > self.model.most:  # frequent ones are at hand again
+            kept = {t: self[t] for t in texts if t in self}
             self.clear()
-        if len(self.parts) > self.model.most:
-            self.parts.clear()
-        model, parts_of = self.model, {}
-        texts = texts.difference(self)
+            self.update(kept)
+        # looked up one by one: a set's difference would go through all that is known
+        texts = [t for t in texts if t not in self]
         alone = [t for t in texts if t.isalnum()]
-        for text in texts.difference(alone):
-            whole, begin, parts = SPACE + text, 0, []
-            for run in _RUN.finditer(whole):
-                k = run.end()
-                if k == len(whole) or whole[k - 1 : k + 1] not in model.inside:
-                    parts.append(whole[begin:k])
-                    begin = k
-            parts_of[text] = parts
-        fresh = list(set().union(*parts_of.values()).difference(self.parts))
+        mixed = [t for t in texts if not t.isalnum()]
+        inside, parts_of, fresh, known = self.model.inside, [], set(), self.parts
+        for text in mixed:
+            runs = _RUN.findall(SPACE + text)
+            part, parts = runs[0], []
+            for run in runs[1:]:
+                if part[-1] + run[0] in inside:
+                    part += run
+                else:
+                    parts.append(part)
+                    part = run
+            parts.append(part)
+            parts_of.append(parts)
+            fresh.update(parts)
+        if len(known) > self.model.most:
+            known = self.parts = {p: known[p] for p in fresh if p in known}
+        fresh = [p for p in fresh if p not in known]
         self.update(zip(alone, self.encoded([SPACE + t for t in alone]), strict=True))
-        self.parts.update(zip(fresh, self.encoded(fresh), strict=True))
-        known = self.parts.__getitem__
-        for text, parts in parts_of.items():
-            self[text] = b"".join(map(known, parts))
+        known.update(zip(fresh, self.encoded(fresh), strict=True))
+        self.update((text, b"".join([known[p] for p in parts])) for text, parts in zip(mixed, parts_of, strict=True))
 
     def encoded(self, parts: list[str]) -> list[bytes]:
         model = self.model
@@ -475,17 +481,22 @@ def boundary_states(matrices: DataFrame, most_blocks: int) -> DataFrame:
     return known
 
 
-def walk(model: Pieces, before: str, body: str, after: str, entry: State, leave: State) -> tuple[bytes, bool]:
-    """A chunk's ids between its boundary states, and whether they spell the characters between these."""
-    text, cut_in, cut_out = before + body + after, len(before), len(before) + len(body)
-    begin, end = cut_in + entry[0], cut_out + leave[0]
-    out, places = [], list(words_of(text[:end], begin))
-    model.stretches.learn({text[a + 1 : b] for a, b in places if text[a] == SPACE})
-    for a, b in places:
-        inside = a == begin and entry[1] != NONE and not (text[a] == SPACE and entry[1][-1] != SPACE)
-        out.append(model.number(model.path(text[:b], entry[1], a)) if inside or text[a] != SPACE else model.stretches[text[a + 1 : b]])
-    ids = b"".join(out)
-    return ids, model.spelled(np.frombuffer(ids, "<i4").tolist()) == text[begin:end].encode()
+def walk(model: Pieces, chunks: list[tuple[str, str, str, State, State]]) -> list[tuple[bytes, bool]]:
+    """Ids of chunks (before, body, after, entry and exit state) between their boundary states, and whether they spell the characters between these.
+
+    What comes before the first place that no piece crosses is searched from the entry state; the rest is encoded as whole texts are, that of all chunks together.
+    """
+    heads, rest = [], []
+    for before, body, after, entry, leave in chunks:
+        text = before + body + after
+        begin, end = len(before) + entry[0], len(before) + len(body) + leave[0]
+        first = begin
+        if begin < end and (text[begin] != SPACE or entry[1].endswith(SPACE)):
+            first = next(words_of(text[:end], begin))[1]
+        ids = model.number(model.path(text[:first], entry[1], begin)) if first > begin else b""
+        heads.append((ids, model.spelled(array("i", ids)) == text[begin:first].encode()))
+        rest.append(text[first:end])
+    return [(head + ids, good and ok) for (head, good), (ids, ok) in zip(heads, model.encode(rest), strict=True)]
 
 
 ENCODED = "doc_id long, row long, chunk int, n_chars long, n_ids long, ids_crc32 long, ids array<int>, round_trip boolean"
@@ -547,7 +558,7 @@ def _encoded(docs: DataFrame, model_path: str, chunk_chars: int) -> tuple[DataFr
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 texts = zip(*(part.column(c).to_pylist() for c in ("before", "body", "after", "e", "x")), strict=True)
-                yield _rows(part, part.column("chunk"), [walk(model, before, body, after, state_of(e), state_of(x)) for before, body, after, e, x in texts])
+                yield _rows(part, part.column("chunk"), walk(model, [(before, body, after, state_of(e), state_of(x)) for before, body, after, e, x in texts]))
 
     return small.mapInArrow(whole, ENCODED), chunks.join(states, ["row", "chunk"]).mapInArrow(walked, ENCODED)
 

@@ -60,6 +60,36 @@ def test_boundary_states_of_many_chunks(spark):
         assert [(r["e"], r["x"]) for r in sorted(got, key=lambda r: r["block"]) if r["row"] == row] == list(zip(path, path[1:], strict=False))
 
 
+def test_known_stretches_are_not_gone_through(monkeypatch):
+    """What is known is looked up: no call's work grows with the cache; a full cache keeps what is asked for."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    model = sentencepiece_bpe.Pieces(PIECES, most=12)
+    monkeypatch.setattr(sentencepiece_bpe.Stretches, "__iter__", lambda self: pytest.fail("all known stretches were gone through"), raising=False)
+    for i in range(4):
+        text = prose(i, 30) + ", it's 3.5%!\nEnd"
+        ids, good = model.encode([sentencepiece_bpe.SPACE + text.replace(" ", sentencepiece_bpe.SPACE)])[0]
+        assert good and np.frombuffer(ids, "<i4").tolist() == library.encode(text)
+
+
+def test_chunks_are_walked_together():
+    """Chunks from places inside words, and from one that only spaces lead up to, between the states of the whole text's encoding."""
+    import sentencepiece
+
+    library, model = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_bpe.Pieces(PIECES)
+    text, chunks, wanted = sentencepiece_bpe.SPACE + prose(3, 60).replace(" ", sentencepiece_bpe.SPACE) + sentencepiece_bpe.SPACE * 5 + "x" * 90, [], []
+    pieces = [library.id_to_piece(i) for i in library.encode(text[1:])]
+    ends = np.cumsum([len(p) for p in pieces]).tolist()
+    for size in (1, 7, 50):
+        cuts = list(range(size, len(text), 31))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            i, j = (next(k for k, e in enumerate(ends) if e >= at) for at in (a, b))
+            chunks.append((text[max(0, a - 16) : a], text[a:b], text[b : b + 16], (ends[i] - a, pieces[i]), (ends[j] - b, pieces[j])))
+            wanted.append(([library.piece_to_id(p) for p in pieces[i + 1 : j + 1]], True))
+    assert [(np.frombuffer(ids, "<i4").tolist(), good) for ids, good in sentencepiece_bpe.walk(model, chunks)] == wanted
+
+
 def test_encoding_of_odd_rows(odd_documents, no_documents):
     rows = sentencepiece_bpe.encoding_report(odd_documents, PIECES).collect()
     assert len(rows) == 10 and all(r["round_trip"] for r in rows) and {r["n_ids"] for r in rows if r["doc_id"] in (2, 3)} == {0}
