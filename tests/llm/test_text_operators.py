@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -658,6 +659,22 @@ def test_a_gibbs_step_has_the_seatings_distribution(c, other, p, d):
     assert ((t >= 1) & (t <= c)).all() and (pitman_yor.seat(np.zeros(3), np.zeros(3), np.full(3, p), np.arange(3, dtype=np.uint64), d) == 0).all()
 
 
+def test_lm_tables_of_large_rows_are_held_in_small_parts(spark, monkeypatch, tmp_path):
+    """A task holds a whole row group of the halls, and a whole Arrow batch: both are bounded."""
+    from pyspark.sql import DataFrame
+
+    from gradewalk.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    large = spark.range(0, 40, 1, 1).withColumn("blob", F.expr("aggregate(sequence(1, 4000), '', (t, i) -> concat(t, sha2(concat(id, ':', i), 256)))"))
+    assert isinstance(common.cut(large, 1_000_000), DataFrame)
+    groups = [pq.ParquetFile(f).metadata for f in tmp_path.glob("*/*.parquet")]
+    sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) == 40 and max(sizes) <= 8
+    pitman_yor.score_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= 4_000_000
+
+
 def test_lm_of_odd_rows(odd_documents, no_documents):
     rows = pitman_yor.score_texts(odd_documents).collect()
     assert len(rows) == 10 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)
