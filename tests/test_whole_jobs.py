@@ -4,6 +4,7 @@ import os
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,13 @@ def test_reached_names_are_the_best_of_all(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_streets_at_nodes_where_nobody_asks_do_not_count():
+    asked = pa.table({"edge_id": [7, 8], "own": [10.0, 20.0], "node": [1, 4], "cost": [0.0, 5.0]})
+    streets = pa.table({"node": [1, 2, 3, 4, 5], "street_name": ["far", "b", "c", "near", "e"], "bearing": [50.0, 10.0, 11.0, 22.0, 20.0]})
+    found = naming._best_streets(asked, streets).to_pylist()
+    assert [(r["edge_id"], r["score"], r["street_name"]) for r in found] == [(7, 60.0, "far"), (8, 8.0, "near")]
+
+
 def test_routes_are_dealt_by_their_lines(spark):
     """The more lines, the more tasks, each with whole orders, up to the steps that the queries give."""
     n = queries.table(spark, SF, "lineitem").count()
