@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gradewalk.functions import geo
-from gradewalk.operators import joins, naming, narrate, relaxation, routing
+from gradewalk.operators import alternatives, joins, naming, narrate, relaxation, routing
 from gradewalk.plans import queries
 from gradewalk.plans.fixture import edges_from, hill_graph
 from gradewalk.schemas import prefs_for_mode, prefs_struct
+from gradewalk.sources import graph
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -154,3 +155,33 @@ def test_paths_under_many_preferences_shuffle_no_texts(spark, monkeypatch):
     asked = spark.createDataFrame([("a", "p", 1, 99)], "request_id string, profile string, start long, goal long")
     assert routing.joined_paths(asked, nodes, edges, kinds).first()["edge_ids"] == [101, 102, 103]
     assert seen == [(["kind", "start"], ["kind", "source", "target", "step", "edge_id"])]
+
+
+def test_options_are_worked_out_once_for_their_features(spark):
+    nodes, edges = hill_graph(spark)
+    asked = spark.range(1).select(F.lit("r").alias("request_id"), F.lit(1).cast("long").alias("start"), F.lit(99).cast("long").alias("goal"), prefs_struct(prefs_for_mode("balanced")).alias("prefs"))
+    options = alternatives.route_candidates(asked, nodes, edges)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    ends = asked.select("request_id", "start", "goal")
+    features = graph.route_features(options.mapInArrow(counted, options.schema), nodes, edges, ends)
+    assert features.count() == 2 + 5 + 4 and seen.value == 2
+
+
+def test_searches_hold_without_broadcast_labels(spark, monkeypatch):
+    assert relaxation.SMALL <= 1 << 19  # 1,048,576 rows took over 200 MB of the driver, and a round hands out two tables
+    rng = random.Random(8)
+    arcs = spark.createDataFrame([(0, i, i % 40, rng.randrange(40), float(rng.randrange(1, 9))) for i in range(600)], "kind int, edge_id long, source long, target long, step double")
+    first = spark.createDataFrame([(0, 3, 3, 0.0)], "kind int, start long, node long, cost double")
+    goals = spark.createDataFrame([(0, 3, v) for v in (7, 11, 30)], "kind int, start long, node long")
+    found = []
+    for small in (relaxation.SMALL, 0):
+        monkeypatch.setattr(relaxation, "SMALL", small)
+        rows = relaxation.seeded(first, ["kind", "start"], arcs, ["kind"], goals).where(F.col("node").isin(7, 11, 30)).collect()
+        found.append(sorted(tuple(r) for r in rows))
+    assert found[0] == found[1] and len(found[0]) == 3
