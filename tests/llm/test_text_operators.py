@@ -542,6 +542,36 @@ def test_lm_depends_on_order_but_not_on_partitions(spark):
     assert all(two[i] == pytest.approx(seven[i], abs=1e-9) for i in two)
 
 
+def test_lm_rows_of_many_buckets_are_made_at_once():
+    """A slice's rows come in one batch, however many buckets there are, and are those of a loop over the buckets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    edges = np.append(0, np.cumsum(rng.integers(0, 9, 40)))
+    x = rng.integers(0, 1 << 32, edges[-1])
+    rows = pitman_yor.plane_rows(x, edges)
+    assert rows.to_pylist() == [pitman_yor.planes(x[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    cut = pa.chunked_array([rows.slice(3, 20), rows.slice(23, 0), rows.slice(23, 9)])
+    got, sizes = pitman_yor.unpacked_rows(cut)
+    assert got.tolist() == x[edges[3] : edges[32]].tolist() and sizes.tolist() == np.diff(edges)[3:32].tolist()
+    texts = [prose(i, 40) for i in range(12)] + [""]
+    data, first = np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    w, none = find_words(data, first, pitman_yor.NOT_SPACE), np.zeros(0, np.int64)
+    made = pitman_yor.occurrence_rows(w, np.arange(13) % 2, pitman_yor.Contexts(none.astype(np.uint64), none, none, [], none), 5000, 7)
+    assert isinstance(made, pa.RecordBatch) and made["bucket"].to_pylist() == sorted(set(made["bucket"].to_pylist())) and set(made["slice"].to_pylist()) == {7}
+    told = Counter()
+    for row in made.to_pylist():
+        at, per_word = 0, np.repeat(np.arange(len(pitman_yor.numbers(row["sizes"]))), pitman_yor.numbers(row["entries"]))
+        spelt = []
+        for size in pitman_yor.numbers(row["sizes"]).tolist():
+            spelt.append(row["spelling"][at : at + size].decode())
+            at += size
+        for k, doc, times in zip(per_word.tolist(), pitman_yor.numbers(row["docs"]).tolist(), pitman_yor.numbers(row["times"]).tolist(), strict=True):
+            told[spelt[k], doc] += times
+    want = Counter((word, 2 * i + i % 2) for i, t in enumerate(texts) for word in [*t.split(), ""])
+    assert told == want and made.num_rows > 80
+
+
 def test_lm_pairs_are_brought_together(monkeypatch):
     """Every pair's context and count, and what the endings' restaurants get at first, against plain loops."""
     halls = []
